@@ -1,8 +1,8 @@
 """The queries of the corpus operators."""
 
-from folioscope.llm import sharding_queries, url_filter_queries, vector_queries
+from folioscope.llm import packing_queries, sharding_queries, url_filter_queries, vector_queries
 
-MODULES = [sharding_queries, url_filter_queries, vector_queries]
+MODULES = [packing_queries, sharding_queries, url_filter_queries, vector_queries]
 
 
 def queries() -> dict:
