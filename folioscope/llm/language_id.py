@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from folioscope.llm.flat_text import flat, slices
 
@@ -185,6 +186,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                 names = [name for name in part.schema.names if name not in ("_text", "_letters")]
                 yield pa.RecordBatch.from_arrays([*columns, languages.take(pa.array(best)), pa.array(score), pa.array(close)], names=[*names, "lang_pred", "score", "ambiguous"])
 
-    schema = kept.schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]
     texts = kept.withColumns({"_text": F.coalesce(F.col(text).cast("string"), F.lit("")), "_letters": has_letter(F.col(text).cast("string"))})
-    return texts.mapInArrow(answer, schema)
+    return texts.mapInArrow(answer, StructType([*kept.schema.fields, *added]))
