@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes in order, by prefix doubling; a suffix that ends sooner comes first."""
+def suffix_array(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Positions of all suffixes in order, by prefix doubling; a suffix that ends sooner comes first.
+
+    With depth, in order of at least that many leading symbols.
+    """
     n = len(symbols)
     rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
     step = 1
@@ -18,7 +21,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         fresh[:1] = 0
         np.cumsum(key[order][1:] != key[order][:-1], out=fresh[1:])
         rank[order] = fresh
-        if n < 2 or fresh[-1] == n - 1 or step >= n:
+        if n < 2 or fresh[-1] == n - 1 or 2 * step >= (depth or 2 * n):
             return order
         step *= 2
 
