@@ -5,25 +5,36 @@ from __future__ import annotations
 import numpy as np
 
 
+def _numbered(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The rank of each position, equal keys sharing one."""
+    rank = np.zeros(len(order), dtype=np.int64)
+    rank[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
+    return rank
+
+
 def suffix_array(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Positions of all suffixes in order, by prefix doubling; a suffix that ends sooner comes first.
 
     With depth, in order of at least that many leading symbols.
     """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
+    present = np.zeros(int(symbols.max(initial=0)) + 1, dtype=np.int64)
+    present[symbols] = 1
+    rank = np.cumsum(present)[symbols]  # from 1: 0 is the end
+    bits = int(present.sum()).bit_length()
+    step, width = 1, bits
+    while 2 * width < 63 and step < n:  # as many leading symbols as one integer holds
+        rank = (rank << width) | np.concatenate([rank[step:], np.zeros(step, dtype=np.int64)])
+        step, width = 2 * step, 2 * width
+    order = np.argsort(rank, kind="stable")
+    rank = _numbered(rank[order], order)
+    while rank[order[-1]] < n - 1 and step < (depth or n):
         key = rank * (n + 1)
         key[: n - step] += rank[step:] + 1
         order = np.argsort(key, kind="stable")
-        fresh = np.empty(n, dtype=np.int64)
-        fresh[:1] = 0
-        np.cumsum(key[order][1:] != key[order][:-1], out=fresh[1:])
-        rank[order] = fresh
-        if n < 2 or fresh[-1] == n - 1 or 2 * step >= (depth or 2 * n):
-            return order
+        rank = _numbered(key[order], order)
         step *= 2
+    return order
 
 
 class WaveletMatrix:

@@ -176,11 +176,11 @@ class SuffixEncoder:
         at = order[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
         token = np.repeat(rules.numbers, times)
 
-        chars, which = np.unique(points, return_inverse=True)
+        chars = np.flatnonzero(np.bincount(points))
         names = [chr(c) for c in chars]
         codes = np.array([rules.tokens.get(c, rules.size + n) for n, c in enumerate(names)], dtype=np.int64)
         spelled = {int(code): rules.spell(name) for code, name in zip(codes, names, strict=True) if name not in rules.ids}
-        at, token = np.concatenate([inner, at]), np.concatenate([codes[which.ravel()], token])
+        at, token = np.concatenate([inner, at]), np.concatenate([codes[np.searchsorted(chars, points)], token])
         size = np.where(token < rules.size, rules.length[np.minimum(token, rules.size - 1)], 1)
         begins = np.repeat(starts, lengths + 1)
         ends = at + size - begins[at]
