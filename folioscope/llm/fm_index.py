@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from folioscope.llm.flat_text import mixed, rolling
+
 
 def _numbered(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The rank of each position, equal keys sharing one."""
@@ -71,46 +73,62 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search over one sequence of symbols 0 ... size-1; patterns never hold symbol 0, the separator."""
+    """Backward search over one sequence of symbols 0 ... size-1; patterns never hold symbol 0, the separator.
+
+    Common prefixes of neighbouring suffixes are kept up to DEPTH symbols, for giving up a match's end.
+    """
+
+    DEPTH = 127
 
     def __init__(self, symbols: np.ndarray, size: int):
         order = suffix_array(symbols)
         self.n = len(symbols)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])
         self.bwt = WaveletMatrix(symbols[order - 1], size)
+        common = np.zeros(self.n + 1, dtype=np.uint8)  # of suffixes i - 1 and i
+        common[1 : self.n] = self._common(symbols, order[:-1], order[1:])
+        self.least = [common]
+        while 2 << len(self.least) - 1 <= self.n:
+            last, half = self.least[-1], 1 << len(self.least) - 1
+            self.least.append(np.minimum(last[:-half], last[half:]))
+
+    def _common(self, symbols: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        have = np.zeros(len(first), dtype=np.int64)
+        values, step = mixed(symbols.astype(np.uint64) + np.uint64(1)), (self.DEPTH + 1) // 2
+        while step:
+            a, b = first + have, second + have
+            inside = np.flatnonzero((a + step <= self.n) & (b + step <= self.n))
+            a, b = a[inside], b[inside]
+            have[inside[rolling(values, a, a + step) == rolling(values, b, b + step)]] += step
+            step //= 2
+        return have.astype(np.uint8)
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals after putting a symbol in front of what the intervals stand for; -1 occurs nowhere."""
         known = np.maximum(symbols, 0)
-        both = self.bwt.rank(np.concatenate([known, known]), np.concatenate([low, high])) + np.concatenate([self.below[known]] * 2)
-        low, high = np.split(both, 2)
+        n = len(known)
+        both = self.bwt.rank(np.concatenate([known, known]), np.concatenate([low, high]))
+        below = self.below[known]
+        low, high = both[:n] + below, both[n:] + below
         return low, np.where(symbols < 0, low, high)
 
-    def _search(self, text: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), self.n)
-        for back in range(1, int(length.max(initial=0)) + 1):
-            on = np.flatnonzero((back <= length) & (high > low))
-            low[on], high[on] = self.extend(text[at[on] + length[on] - back], low[on], high[on])
-        return low, high
-
-    def _restart(self, text: np.ndarray, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The longest match at each position, known to be at most most long: doubling, then halving."""
-        low, high, have = np.zeros(len(at), dtype=np.int64), np.full(len(at), self.n), np.zeros(len(at), dtype=np.int64)
-        least_bad, probe = most + 1, np.minimum(1, most)
-        doubling = np.ones(len(at), dtype=bool)
-        while (open_ := np.flatnonzero(least_bad - have > 1)).size:
-            a, b = self._search(text, at[open_], probe[open_])
-            hit = b > a
-            good, bad = open_[hit], open_[~hit]
-            low[good], high[good], have[good] = a[hit], b[hit], probe[good]
-            least_bad[bad], doubling[bad] = probe[bad], False
-            probe = np.where(doubling, np.minimum(2 * np.maximum(have, 1), least_bad - 1), (have + least_bad) // 2)
-        return low, high, have
+    def shorten(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The least wider intervals, and how long a match they stand for: the match gives up its end."""
+        depth = np.maximum(self.least[0][low], self.least[0][high])
+        low, high = low.copy(), high.copy()
+        for level in range(len(self.least) - 1, -1, -1):
+            least, span = self.least[level], 1 << level
+            at = low - span + 1
+            low -= span * ((at > 0) & (least[np.maximum(at, 0)] >= depth))
+            fits = high + span <= self.n
+            high += span * (fits & (least[np.where(fits, high, 0)] >= depth))
+        return low, high, depth.astype(np.int64)
 
     def matching_statistics(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each position of text the length of the longest match that begins there, within its lane.
 
-        Lanes are text[start:end]; all of them are read from their ends in step.
+        Lanes are text[start:end]; all of them are read from their ends in step. Lengths above DEPTH may
+        be too small, but not below DEPTH.
         """
         out = np.zeros(len(text), dtype=np.int64)
         order = np.argsort(starts - ends, kind="stable")
@@ -121,11 +139,18 @@ class FMIndex:
         for back in range(1, int(lengths.max(initial=0)) + 1):
             active = int(np.searchsorted(rising, -back, side="right"))
             at = ends[:active] - back
-            a, b = self.extend(text[at], low[:active], high[:active])
+            symbols = text[at]
+            a, b = self.extend(symbols, low[:active], high[:active])
             lost = np.flatnonzero(b <= a)
             have[:active] += 1
-            if lost.size:
-                a[lost], b[lost], have[lost] = self._restart(text, at[lost], have[lost] - 1)
+            while lost.size:
+                over = (have[lost] <= 1) | (symbols[lost] < 0)
+                gone, lost = lost[over], lost[~over]
+                a[gone], b[gone], have[gone] = 0, self.n, 0
+                low[lost], high[lost], depth = self.shorten(low[lost], high[lost])
+                have[lost] = depth + 1
+                a[lost], b[lost] = self.extend(symbols[lost], low[lost], high[lost])
+                lost = lost[b[lost] <= a[lost]]
             low[:active], high[:active] = a, b
             out[at] = have[:active]
         return out

@@ -30,7 +30,8 @@ from folioscope.llm.storage import drop, store, width
 
 WINDOW = 50
 ANCHOR_WORDS = 8
-LANE_WORDS = 512
+LANE_WORDS = 128
+LANES = 8192
 SHARD_WORDS = 400_000
 RUN_SCHEMA = "shard long, leader long, streamed boolean, doc_id long, fp long, start int, words array<long>"
 FOUND_SCHEMA = "doc_id long, fp long, cuts array<int>, rest array<long>"
@@ -149,24 +150,24 @@ def search_shard(passages: pa.Table, window: int) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("cuts", pa.list_(pa.int32())), ("rest", pa.list_(pa.int64()))])
     if not held.num_rows or not asked.num_rows:
         return schema.empty_table()
-    keys, starts, ends = _symbols(held)
-    alphabet, numbers = np.unique(keys, return_inverse=True)
-    text = np.zeros(len(keys) + len(starts), dtype=np.int64)  # a separator ends every passage
-    text[np.arange(len(keys)) + np.repeat(np.arange(len(starts)), ends - starts)] = numbers.ravel() + 1
+    held_keys, starts, ends = _symbols(held)
+    held_bounds = (starts, ends)
+    alphabet, numbers = np.unique(held_keys, return_inverse=True)
+    text = np.zeros(len(held_keys) + len(starts), dtype=np.int64)  # a separator ends every passage
+    text[np.arange(len(held_keys)) + np.repeat(np.arange(len(starts)), ends - starts)] = numbers.ravel() + 1
     index = FMIndex(text, len(alphabet) + 1)
 
     keys, starts, ends = _symbols(asked)
     place = np.minimum(np.searchsorted(alphabet, keys), len(alphabet) - 1)
     symbols = np.where(alphabet[place] == keys, place + 1, -1)
-    lanes = [(a, min(a + LANE_WORDS + window - 1, e)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) for a in range(s, e, LANE_WORDS)]
-    matched = np.zeros(len(symbols), dtype=bool)
+    possible = _possible(held_keys, held_bounds, keys, starts, ends, window)
     # A lane reaches window - 1 words into the next one, so that each window is decided where it starts.
-    for at in range(0, len(lanes), 4096):
-        own = np.array(lanes[at : at + 4096], dtype=np.int64)
-        base = own[0, 0]
-        lengths = _reaching(index, symbols[base : own[:, 1].max()], own - base, window)
-        for (a, b), long in zip(own.tolist(), lengths, strict=True):
-            matched[a : min(a + LANE_WORDS, b)] = long[: min(LANE_WORDS, b - a)]
+    lanes = np.array([(x, min(x + LANE_WORDS + window - 1, b)) for a, b in _stretches(possible, window) for x in range(a, b - window + 1, LANE_WORDS)], dtype=np.int64).reshape(-1, 2)
+    matched = np.zeros(len(symbols), dtype=bool)
+    for at in range(0, len(lanes), LANES):
+        own = lanes[at : at + LANES]
+        for (a, b), reached in zip(own.tolist(), _reaching(index, symbols, own, window), strict=True):
+            matched[a : min(a + LANE_WORDS, b)] |= reached[: min(LANE_WORDS, b - a)]
 
     hashes = asked.column("words").combine_chunks()
     hashes = hashes.chunk(0) if isinstance(hashes, pa.ChunkedArray) else hashes
@@ -183,6 +184,34 @@ def search_shard(passages: pa.Table, window: int) -> pa.Table:
     return pa.table([asked.column("doc_id"), asked.column("fp"), pa.array(cuts, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.int64()))], schema=schema)
 
 
+def _grams(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """By first word the hash of size words; 0 where they would leave the passage."""
+    out = np.zeros(len(keys), dtype=np.uint64)
+    at = np.arange(max(0, len(keys) - size + 1))
+    out[: len(at)] = rolling(keys, at, at + size)
+    out[np.repeat(ends - size, ends - starts) < np.arange(len(keys))] = 0
+    return out
+
+
+def _possible(held: np.ndarray, held_bounds: tuple, asked: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Whether all short runs of words in the window that starts here occur in the index at all."""
+    size = min(ANCHOR_WORDS, window)
+    there = np.unique(_grams(held, *held_bounds, size))
+    own = _grams(asked, starts, ends, size)
+    place = np.minimum(np.searchsorted(there, own), len(there) - 1)
+    missing = np.concatenate([[0], np.cumsum((there[place] != own) | (own == 0))])
+    at = np.arange(len(asked))
+    inside = at + window <= np.repeat(ends, ends - starts)
+    last = np.minimum(at + window - size + 1, len(asked))
+    return inside & (missing[last] == missing[at])
+
+
+def _stretches(possible: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Word ranges of runs of consecutive possible windows."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], possible.astype(np.int8), [0]])))
+    return [(a, b + window - 1) for a, b in edges.reshape(-1, 2).tolist()]
+
+
 def _reaching(index: FMIndex, text: np.ndarray, lanes: np.ndarray, window: int) -> list[np.ndarray]:
     """For each lane whether its matching statistic reaches the window at each position."""
     sizes = lanes[:, 1] - lanes[:, 0]
@@ -200,7 +229,7 @@ def _search(docs: DataFrame, keys: DataFrame, window: int, whole: bool, tag: str
     streams = shared.agg(F.sum(F.col("cnt") - 1)).first()[0] or 0
     each = 1 if whole else window // 2  # words that a key stands for
     at_once = max(256, min(SHARD_WORDS // each, streams // (2 * width(spark))))
-    shards = max(4 * width(spark), math.ceil(streams * each / SHARD_WORDS))
+    shards = max(width(spark), math.ceil(streams * each / SHARD_WORDS))
     load = shared.groupBy("leader").agg(F.sum(F.col("cnt") - 1).alias("load")).where(F.col("load") > at_once)
     copies = load.select("leader", F.ceil(F.col("load") / at_once).alias("copies"))
     spread = store(shared.select("key", "leader").join(copies, "leader", "left").select("key", "leader", F.coalesce("copies", F.lit(1)).alias("copies")), f"{tag}-leaders")
