@@ -1 +1 @@
-"""State transitions, linkage and text operators over DataFrames."""
+"""Reusable relational operators."""

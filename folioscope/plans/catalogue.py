@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from folioscope.plans import listings, rollups
+
+MODULES: list = [listings, rollups]
 
 
 def queries() -> dict:
     found: dict = {}
     for module in MODULES:
-        found |= module.QUERIES
+        found |= module.registry.queries
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict = {}
     for module in MODULES:
-        found |= module.ORACLE_SQL
+        found |= module.registry.sql
     return found
