@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import listings, rollups
+from folioscope.plans import listings, personal, rollups, search, transitions
 
-MODULES: list = [listings, rollups]
+MODULES: list = [listings, rollups, search, personal, transitions]
 
 
 def queries() -> dict:
