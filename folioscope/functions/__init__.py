@@ -1 +1 @@
-"""Column expressions; each takes and returns pyspark Columns."""
+"""Scalar functions over text, identifiers, citations and names."""

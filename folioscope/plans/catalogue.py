@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import listings, personal, rollups, search, transitions
+from folioscope.plans import linkage, listings, mining, personal, rollups, search, transitions
 
-MODULES: list = [listings, rollups, search, personal, transitions]
+MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage]
 
 
 def queries() -> dict:
