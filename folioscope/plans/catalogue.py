@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import linkage, listings, mining, personal, rollups, search, transitions
+from folioscope.plans import linkage, listings, mining, personal, rollups, search, streams, transitions
 
-MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage]
+MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, streams]
 
 
 def queries() -> dict:

@@ -1 +1 @@
-"""Readers, writers, declared schemas and the relations built on them."""
+"""Readers and writers of the files that feeds, registries and editors exchange."""

@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Structured Streaming versions of ingest, alerts and debouncing."""
