@@ -1,9 +1,10 @@
 """Exact top-k inner products by aggregation without random access.
 
-Each component is a list of (row, value) sorted by value. For a query, every list is read from its
-good end; a row seen in some lists has a lower and an upper bound on its score, from what was read
-and from the lists' frontiers. Reading stops when no unseen row and few seen ones can still reach
-the k-th best lower bound; the scores of those few are then resolved.
+Each component is a list of (row, value) sorted by value. For a query, every list is read in turn from
+its good end; every row has a lower and an upper bound on its score, from what was read of it and from
+the lists' worst values and frontiers. Reading stops when only few rows can still reach the k-th
+best lower bound; the scores of those few are then resolved. Queries of a chunk read together, so the
+bounds of all of them are matrix products.
 
 The table is dealt into blocks with lists of their own, every block answers every query, and the
 blocks' best rows are merged. Blocks and query chunks are both bounded, so is the memory of a task.
@@ -21,52 +22,65 @@ from pyspark.sql import functions as F
 from folioscope.llm.vectors import best_per_query, finite, least_copies
 
 BLOCK_ROWS = 8192
-CHUNK_QUERIES = 2048
-FIRST_READ = 64
+CHUNK_QUERIES = 1024
+DEPTHS = (4, 2)  # lists are read down to 1/4, then 1/2 of a block's rows, then to their ends
+FEW = 64
 
 
 class SortedLists:
-    """The sorted lists of one block of distinct integer vectors."""
+    """The sorted lists of one block of distinct integer vectors, for many queries at a time."""
 
     def __init__(self, matrix: np.ndarray):
         self.matrix = matrix
-        self.rising = np.argsort(matrix, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(matrix, self.rising, axis=0)
+        self.sorted = np.sort(matrix, axis=0)
 
-    def survivors(self, query: np.ndarray, k: int, few: int = 64) -> np.ndarray:
-        """Row numbers that can be among the k best; all others certainly are not."""
+    def _bounds(self, high: np.ndarray, low: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (rows x queries) once every list is read to this depth.
+
+        high and low hold the positive and the negative weights: a positive weight's list is read from its
+        high end. What is read counts exactly, what is not counts as the list's worst value for the lower
+        and as its frontier for the upper bound.
+        """
+        rows = len(self.matrix)
+        top, bottom = self.sorted[rows - depth], self.sorted[depth - 1]
+        least, most = self.sorted[0], self.sorted[-1]
+        seen_top, seen_bottom = self.matrix >= top, self.matrix <= bottom
+        as32 = lambda x: np.ascontiguousarray(x, dtype=np.float32)
+        lower = as32((self.matrix - least) * seen_top) @ high + as32((self.matrix - most) * seen_bottom) @ low
+        upper = as32((self.matrix - top) * seen_top) @ high + as32((self.matrix - bottom) * seen_bottom) @ low
+        return lower + (as32(least) @ high + as32(most) @ low), upper + (as32(top) @ high + as32(bottom) @ low)
+
+    def survivors(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the row numbers that can be among the k best; all others certainly are not."""
         rows = len(self.matrix)
-        used = np.flatnonzero(query)
-        if rows <= max(k, few) or not len(used):
-            return np.arange(rows)
-        weight = query[used].astype(np.float64)
-        falls = weight > 0  # these lists are read from their high end
-        worst = np.where(falls, self.sorted[0, used], self.sorted[-1, used]) * weight
-        known = np.zeros(rows)
-        read = np.zeros((rows, len(used)), dtype=np.float32)
-        column = np.broadcast_to(np.arange(len(used)), (rows, len(used)))
-        at, depth = 0, min(FIRST_READ, rows)
-        while True:
-            places = np.where(falls, rows - 1 - np.arange(at, depth)[:, None], np.arange(at, depth)[:, None])
-            seen = self.rising[places, used]
-            known += np.bincount(seen.ravel(), (self.sorted[places, used] * weight).ravel(), rows)
-            read[seen, column[: depth - at]] = 1
-            if depth == rows:
-                lower = upper = known
-            else:
-                frontier = np.where(falls, self.sorted[rows - depth, used], self.sorted[depth - 1, used]) * weight
-                lower = known + worst.sum() - read @ worst
-                upper = known + frontier.sum() - read @ frontier
-            bar = np.partition(lower, rows - k)[rows - k]
-            alive = np.flatnonzero(upper >= bar - 0.5)  # scores are integers; float32 masks stay exact
-            if depth == rows or len(alive) <= few:
-                return alive
-            at, depth = depth, min(2 * depth, rows)
-
-
-def _answer(ids: list[np.ndarray], lists: SortedLists, own: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
-    alive = lists.survivors(query, k + 1)
-    scores = lists.matrix[alive] @ query
+        out = [np.arange(rows)] * len(queries)
+        if rows <= max(k, FEW):
+            return out
+        still = np.arange(len(queries))
+        # Bounds are single-precision sums of integers; slack covers their rounding.
+        size = np.abs(self.matrix).max(axis=0).astype(np.float64)
+        for part in DEPTHS:
+            own = queries[still].T.astype(np.float32)
+            lower, upper = self._bounds(np.maximum(own, 0), np.minimum(own, 0), max(1, rows // part))
+            slack = 1 + 1e-6 * (np.abs(queries[still]) @ size) * self.matrix.shape[1]
+            bar = np.partition(lower, rows - k, axis=0)[rows - k] - 2 * slack
+            alive = upper >= bar
+            few = alive.sum(axis=0) <= FEW
+            for i in np.flatnonzero(few):
+                out[still[i]] = np.flatnonzero(alive[:, i])
+            still = still[~few]
+            if not len(still):
+                return out
+        exact = self.matrix.astype(np.float64) @ queries[still].T.astype(np.float64)
+        bar = np.partition(exact, rows - k, axis=0)[rows - k]
+        for i, query in enumerate(still):
+            out[query] = np.flatnonzero(exact[:, i] >= bar[i] - 0.5)
+        return out
+
+
+def _answer(ids: list[np.ndarray], matrix: np.ndarray, alive: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """Final scores of the rows that are left, and the k best of their ids."""
+    scores = matrix[alive] @ query
     found: list[tuple[int, int]] = []
     for i in np.lexsort(([ids[a][0] for a in alive], -scores)):
         if len(found) >= k and scores[i] < found[k - 1][0]:
@@ -111,9 +125,10 @@ def top_inner_products(rows: DataFrame, is_query, id_col: str, vector_col: str,
             order = np.lexsort((block["id"], which.ravel()))
             cuts = np.searchsorted(which.ravel()[order], np.arange(1, len(distinct)))
             ids = np.split(block["id"].to_numpy()[order], cuts)
-            lists = SortedLists(distinct)
-            for own, query in zip(chunk["id"], matrix_of(chunk["vector"]), strict=True):
-                near, scores = _answer(ids, lists, own, query, k)
+            queries = matrix_of(chunk["vector"])
+            left = SortedLists(distinct).survivors(queries, k + 1)
+            for own, query, alive in zip(chunk["id"], queries, left, strict=True):
+                near, scores = _answer(ids, distinct, alive, own, query, k)
                 out["query_id"] += [own] * len(near)
                 out["id"] += near
                 out["score"] += scores
