@@ -29,6 +29,9 @@ from folioscope.llm.storage import store
 CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 400_000
+ENDINGS = frozenset(".,;:!?")  # one pre-token of their own after a word of letters
+WORD_END = "</w>"
+DOTTED_I = "\u0130"  # lower-cased to a letter and a mark
 CONTROLS = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for tokenizers
 
 
@@ -49,20 +52,45 @@ class _Known(dict):
 class WordEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    Only for tokenizers whose pre-tokenizer never crosses white space: a text's ids are then its
+    Only for tokenizers that lower-case, that mark a word's last token by WORD_END, and whose
+    pre-tokenizer never crosses white space and keeps letters apart from marks: a text's ids are then its
     words' ids in order. The ids of up to CACHED_WORDS words are kept between texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.known = _tokenizer(path), _Known()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, many in one call: each is one pre-token, whose last id ends a word."""
+        out = []
+        parts = [words[at : at + 512] for at in range(0, len(words), 512)]
+        for found in self.tokenizer.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False):
+            ids = np.array(found.ids, dtype="<u4")
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _fresh(self, words: set[str]) -> dict[str, bytes]:
+        ended = {w for w in words if w[-1] in ENDINGS and w[:-1].isalpha() and DOTTED_I not in w}
+        need = (words - ended) | {x for w in ended for x in (w[:-1], w[-1])}
+        plain = [w for w in need if w.isalpha() and DOTTED_I not in w]
+        fresh = dict(zip(plain, self._plain(plain), strict=True))
+        other = [w for w in need if w not in fresh]
+        for w, x in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            fresh[w] = np.array(x.ids, dtype="<u4").tobytes()
+        fresh |= {w: fresh[w[:-1]] + fresh[w[-1]] for w in ended}
+        return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
+        # The tokenizer lower-cases; doing so for A-Z beforehand leaves fewer different words.
+        texts = [text.encode().lower().decode() for text in texts]
         split = [text.split(" ") if CONTROLS.search(text) else text.split() for text in texts]
-        new = list({w for words in split for w in words if w not in known})
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known.fresh = {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(new, found, strict=True)}
+        known.fresh = self._fresh({w for words in split for w in words if w and w not in known})
+        known.fresh[""] = b""
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         if len(known) < CACHED_WORDS:
             known.update(known.fresh)
