@@ -43,8 +43,8 @@ _WORDS = f"w AS (SELECT doc_id, {_sql_words('text')} AS toks FROM documents), g
 _STOP = "[" + ", ".join(map(_quoted, STOPWORDS)) + "]"
 
 
-def _grams(spark, sf_dir):
-    return texts(spark, sf_dir).select(F.col("doc_id").alias("id"), words(F.col("text")).alias("toks")).select("id", ngrams(F.col("toks"), 3).alias("grams"))
+def _grams(spark, sf_dir, most=3):
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("id"), words(F.col("text")).alias("toks")).select("id", ngrams(F.col("toks"), most).alias("grams"))
 
 
 @query(f"WITH {_WORDS}" + f""" SELECT phrase, count(*) AS paper_count, cast(len(string_split(phrase, ' ')) AS BIGINT) AS word_count FROM (SELECT unnest(grams) AS phrase FROM g)
@@ -64,7 +64,7 @@ def phrase_tagging(spark, sf_dir):
     toks = words(F.col("text"))
     items = table(spark, sf_dir, "benchmark").select("item_id", toks.alias("toks")).where(F.size("toks") >= 2)
     known = items.groupBy(F.array_join(F.slice("toks", 1, 2), " ").alias("phrase")).agg(F.max("item_id").alias("keyword_id"))
-    return phrase_links(_grams(spark, sf_dir), known).select("keyword_id", "id")
+    return phrase_links(_grams(spark, sf_dir, 2), known).select("keyword_id", "id")
 
 
 @query("""SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^a-z0-9\\s-]', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)), '\\s+', '-', 'g'), '-+', '-', 'g') AS slug FROM documents""")
