@@ -134,7 +134,7 @@ def _votes(kind: str, x: Column) -> Column:
     )
 
 
-def _features(kind: str, x: Column) -> Column:
+def _features(x: Column) -> Column:
     """Names of the span's features: from value sets of fixed size."""
     side = lambda c: F.when(c == "", "end").when(c.rlike(r"\s"), "space").when(c.rlike(r"\p{L}"), "letter").when(c.rlike("[0-9]"), "digit").otherwise("mark")
     left = F.substr(x["before"], F.length(x["before"]), F.lit(1))
@@ -149,12 +149,9 @@ def _features(kind: str, x: Column) -> Column:
     )
 
 
-def _context(text: Column, m: Column, base: Column, kind: str) -> Column:
+def _context(text: Column, m: Column, base: bool) -> Column:
     at = F.greatest(m["start"] - BEFORE, F.lit(0))
-    return F.struct(
-        F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), base.alias("base"), m["m"].alias("m"),
-        F.substr(text, at + 1, m["start"] - at).alias("before"), F.substr(text, m["end"] + 1, F.lit(8)).alias("after"),
-    )
+    return F.struct(F.lit(base).alias("base"), m["m"].alias("m"), F.substr(text, at + 1, m["start"] - at).alias("before"), F.substr(text, m["end"] + 1, F.lit(8)).alias("after"))
 
 
 def _named(kind: str, found: Column) -> Column:
@@ -170,25 +167,35 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(_named(kind, valid(kind)) for kind in KINDS))
 
 
-def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _base (array of base spans) and _cands (array<struct<kind,start,end,base,votes,features>>)."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    found = docs.withColumn("_text", whole).withColumn("_base", base_spans(F.col("_text")))
-    looser = F.concat(*(_named(kind, _matches(F.col("_text"), LOOSE[kind], LOOSE_NEEDS[kind])) for kind in KINDS))
-    found = found.withColumn("_loose", looser)
-    apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    found = found.withColumn("_loose", F.when(F.size("_loose") > 0, F.filter("_loose", apart)).otherwise(F.col("_loose")))
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def described(spans: str, base: bool) -> Column:
-        seen = F.transform(spans, lambda m: _context(F.col("_text"), m, F.lit(base), ""))
 
-        def by_kind(make):
-            return lambda m, x: reduce(lambda rest, k: F.when(m["kind"] == k, make(k, x)).otherwise(rest), KINDS[1:], make(KINDS[0], x))
+def _described(text: Column, spans: Column, base: bool) -> Column:
+    def votes(kind, x):
+        return reduce(lambda rest, k: F.when(kind == k, _votes(k, x)).otherwise(rest), KINDS[1:], _votes(KINDS[0], x))
 
-        votes, features = by_kind(_votes), by_kind(_features)
-        return F.zip_with(spans, seen, lambda m, x: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(base).alias("base"), votes(m, x).alias("votes"), features(m, x).alias("features")))
+    def one(m):
+        parts = lambda x: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(base).alias("base"), votes(m["kind"], x).alias("votes"), _features(x).alias("features"))
+        return _let(_context(text, m, base), parts)
 
-    return found.withColumn("_cands", F.concat(described("_base", True), described("_loose", False))).drop("_loose")
+    return F.transform(spans, one)
+
+
+def candidate_spans(text: Column) -> Column:
+    """struct<base, cands>: the base spans, and all candidates (kind, start, end, base, votes, features)."""
+
+    def with_base(base):
+        looser = F.concat(*(_named(kind, _matches(text, LOOSE[kind], LOOSE_NEEDS[kind])) for kind in KINDS))
+        apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        return _let(F.filter(looser, apart), lambda loose: F.struct(base.alias("base"), F.concat(_described(text, base, True), _described(text, loose, False)).alias("cands")))
+
+    return _let(base_spans(text), with_base)
+
+
+def _whole(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
 def _posterior(votes: Column, reliability: Column, prior: Column) -> Column:
@@ -223,7 +230,8 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def fit(docs: DataFrame) -> DataFrame:
     """One stored row (weights map<string,double>): log-odds of each feature of each kind, from all documents."""
-    cands = with_candidates(docs.select("text")).select(F.explode("_cands").alias("c")).select("c.kind", "c.votes", "c.features")
+    # The outer form keeps Spark from testing each text's candidates before it computes them again.
+    cands = docs.select(F.explode_outer(candidate_spans(_whole("text"))["cands"]).alias("c")).where("c IS NOT NULL").select("c.kind", "c.votes", "c.features")
     counted = store(cands.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")), "votes")
     fitted = reliabilities(counted.groupBy("kind", "votes").agg(F.sum("n").alias("n")))
     judged = counted.join(F.broadcast(fitted), "kind").withColumn("p", _posterior(F.col("votes"), F.col("reliability"), F.col("prior")))  # one row for each kind
@@ -246,21 +254,25 @@ def find_spans(docs: DataFrame, model: DataFrame) -> DataFrame:
     base span and no added span before them. A null text is empty and has none. Each row stands alone, so ties
     and repeated rows need no rule. Columns named spans, _text, _base and _cands are replaced or dropped.
     """
-    found = with_candidates(docs.drop("spans", "_text", "_base", "_cands", "_all"))
-    score = lambda c: F.aggregate(F.transform(F.array_append(c["features"], F.lit("all")), lambda f: F.coalesce(F.element_at("_weights", F.concat(c["kind"], F.lit(" "), f)), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
     model = model.select(F.col("weights").alias("_weights"), F.lit(0).alias("_one"))
-    found = found.withColumn("_one", F.lit(0)).join(F.broadcast(model), "_one", "left").drop("_one")  # one row, of features of fixed number
+    found = docs.drop("spans", "_weights", "_one").withColumn("_one", F.lit(0)).join(F.broadcast(model), "_one", "left").drop("_one")  # one row, of features of fixed number
+    return found.withColumn("spans", _let(candidate_spans(_whole("text")), _decided)).drop("_weights")
+
+
+def _decided(found: Column) -> Column:
+    """The base spans, and the likely candidates that overlap none of them and none before them."""
+    weight = lambda c: lambda f: F.coalesce(F.element_at("_weights", F.concat(c["kind"], F.lit(" "), f)), F.lit(0.0))
+    score = lambda c: F.aggregate(F.transform(F.array_append(c["features"], F.lit("all")), weight(c)), F.lit(0.0), lambda a, b: a + b)
+    plain = lambda base: lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(base).alias("base"))
     likely = F.log(F.lit(LIKELY / (1 - LIKELY)))
-    plain = lambda c, base: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(base).alias("base"))
-    base = F.transform("_base", lambda c: plain(c, True))
-    extra = F.transform(F.array_sort(F.filter("_cands", lambda c: ~c["base"] & (score(c) > likely)), lambda a, b: a["start"] - b["start"]), lambda c: plain(c, False))
+    extra = F.array_sort(F.transform(F.filter(found["cands"], lambda c: ~c["base"] & (score(c) > likely)), plain(False)), lambda a, b: a["start"] - b["start"])
     clear = lambda kept, c: ~F.exists(kept, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"]))
     none = F.expr(f"CAST(array() AS array<{SPAN}>)")
     added = F.aggregate(extra, none, lambda kept, c: F.when(clear(kept, c), F.array_append(kept, c)).otherwise(kept))
-    order = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
-    whole = F.concat(base, F.when(F.exists("_cands", lambda c: ~c["base"]), added).otherwise(none))
-    ranked = F.array_sort(whole, lambda a, b: F.when(a["kind"] == b["kind"], a["start"] - b["start"]).otherwise(order(a["kind"]) - order(b["kind"])))
-    return found.withColumn("spans", ranked.cast(f"array<{SPAN}>")).drop("_text", "_base", "_cands", "_weights")
+    place = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
+    order = lambda a, b: F.when(a["kind"] == b["kind"], a["start"] - b["start"]).otherwise(place(a["kind"]) - place(b["kind"]))
+    base = F.transform(found["base"], plain(True))  # in order already
+    return F.when(F.size(found["cands"]) > F.size(found["base"]), F.array_sort(F.concat(base, added), order)).otherwise(base).cast(f"array<{SPAN}>")
 
 
 def masked(text: Column, spans: Column) -> Column:
