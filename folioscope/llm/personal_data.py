@@ -198,6 +198,11 @@ def _whole(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """Adds _found, the candidate spans of text, where it is not there yet. Store the result to search the texts once."""
+    return docs if "_found" in docs.columns else docs.withColumn("_found", candidate_spans(_whole("text")))
+
+
 def _posterior(votes: Column, reliability: Column, prior: Column) -> Column:
     """Chance that a span with these votes is real: labelers are independent, each right with its reliability."""
     weigh = F.zip_with(votes, reliability, lambda v, a: F.when(v < 0, 0.0).otherwise((2 * v - 1) * F.log(a / (1 - a))))
@@ -231,7 +236,7 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def fit(docs: DataFrame) -> DataFrame:
     """One stored row (weights map<string,double>): log-odds of each feature of each kind, from all documents."""
     # The outer form keeps Spark from testing each text's candidates before it computes them again.
-    cands = docs.select(F.explode_outer(candidate_spans(_whole("text"))["cands"]).alias("c")).where("c IS NOT NULL").select("c.kind", "c.votes", "c.features")
+    cands = with_candidates(docs).select(F.explode_outer("_found.cands").alias("c")).where("c IS NOT NULL").select("c.kind", "c.votes", "c.features")
     counted = store(cands.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")), "votes")
     fitted = reliabilities(counted.groupBy("kind", "votes").agg(F.sum("n").alias("n")))
     judged = counted.join(F.broadcast(fitted), "kind").withColumn("p", _posterior(F.col("votes"), F.col("reliability"), F.col("prior")))  # one row for each kind
@@ -252,11 +257,11 @@ def find_spans(docs: DataFrame, model: DataFrame) -> DataFrame:
 
     Offsets are code points, ends exclusive. Base spans always stay; others are added when they overlap no
     base span and no added span before them. A null text is empty and has none. Each row stands alone, so ties
-    and repeated rows need no rule. Columns named spans, _text, _base and _cands are replaced or dropped.
+    and repeated rows need no rule. Columns named spans, _weights and _one are replaced or dropped.
     """
     model = model.select(F.col("weights").alias("_weights"), F.lit(0).alias("_one"))
-    found = docs.drop("spans", "_weights", "_one").withColumn("_one", F.lit(0)).join(F.broadcast(model), "_one", "left").drop("_one")  # one row, of features of fixed number
-    return found.withColumn("spans", _let(candidate_spans(_whole("text")), _decided)).drop("_weights")
+    found = with_candidates(docs).drop("spans", "_weights", "_one").withColumn("_one", F.lit(0)).join(F.broadcast(model), "_one", "left").drop("_one")  # one row, of features of fixed number
+    return found.withColumn("spans", _let(F.col("_found"), _decided)).drop("_weights", "_found")
 
 
 def _decided(found: Column) -> Column:
@@ -291,5 +296,6 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """docs with the personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE]; null texts stay null."""
-    found = find_spans(docs, fit(docs))
+    searched = store(with_candidates(docs), "spans")
+    found = find_spans(searched, fit(searched))
     return found.withColumn("text", masked(F.col("text"), F.col("spans"))).select(*docs.columns)

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from folioscope.llm.personal_data import KINDS, find_spans, fit
-from folioscope.llm.storage import table
+from folioscope.llm.personal_data import KINDS, find_spans, fit, with_candidates
+from folioscope.llm.storage import store, table
 
 
 def _joined(spans):
@@ -16,7 +16,8 @@ def _is(kind):
 
 def op2_weak_supervision(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_spans(docs, fit(docs)).select("doc_id", "spans")
+    searched = store(with_candidates(docs).select("doc_id", "_found"), "spans")
+    found = find_spans(searched, fit(searched))
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(F.filter(base, _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
