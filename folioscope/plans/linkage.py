@@ -72,15 +72,73 @@ def _blocked(spark, sf_dir):
     return titles, pairs
 
 
+_SETS = "sets AS (SELECT list_sort(toks) AS toks, min(page_id) AS a FROM t WHERE len(toks) > 0 GROUP BY 1)"
+
+
+@query(f"WITH {_TITLES}, {_SETS}" + """ SELECT a, page_id AS b, 1.0::DOUBLE AS jaccard FROM t JOIN sets s ON s.toks = list_sort(t.toks) WHERE page_id > a
+UNION ALL SELECT x.a, y.a, round(len(list_intersect(x.toks, y.toks)) / len(list_distinct(x.toks || y.toks)), 6) FROM sets x JOIN sets y ON x.a < y.a WHERE 100 * len(list_intersect(x.toks, y.toks)) >= 80 * len(list_distinct(x.toks || y.toks))""")
+def title_similar_pairs(spark, sf_dir):
+    """All titles with a word overlap of 0.8 or more: each page with the first page of its word set, and those first pages with each other.
+
+    Words of any frequency count; a title without a word is in no pair. title_jaccard_pairs shows looser pairs, but of words on 2 to 12 pages only.
+    """
+    titles = _titles(spark, sf_dir).where(F.size("toks") > 0)
+    sets = _word_sets(titles)
+    members = titles.join(sets, "toks").where("page_id > first").select(F.col("first").alias("a"), F.col("page_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return members.union(_similar_sets(sets))
+
+
+def _titles(spark, sf_dir):
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    toks = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit("[a-z]+"), F.lit(0))))
+    return table(spark, sf_dir, "pages").select("page_id", "url", title.alias("title"), toks.alias("toks"))
+
+
+def _word_sets(titles):
+    return titles.groupBy("toks").agg(F.min("page_id").alias("first"))
+
+
+def _similar_sets(sets, percent=80):
+    """(a, b, jaccard) of different word sets (toks, first): similar sets share one of their rarest words, as many as they may differ in and one more."""
+    tok = sets.select("first", F.explode("toks").alias("tok"))
+    rarest = tok.join(tok.groupBy("tok").agg(F.count("*").alias("n")), "tok").groupBy("first").agg(F.sort_array(F.collect_list(F.struct("n", "tok"))).alias("ordered"))
+    size = F.size("ordered")
+    prefix = rarest.select("first", size.alias("size"), F.explode(F.slice("ordered", 1, size - F.ceil(size * percent / 100).cast("int") + 1)).alias("o")).select("first", "size", "o.tok")
+    side = lambda c: prefix.select("tok", F.col("first").alias(c), F.col("size").alias(f"n_{c}"))
+    near = side("a").join(side("b"), "tok").where(f"a < b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct()
+    whole = lambda c: sets.select(F.col("first").alias(c), F.col("toks").alias(f"t_{c}"))
+    both, either = F.size(F.array_intersect("t_a", "t_b")), F.size(F.array_union("t_a", "t_b"))
+    return near.join(whole("a"), "a").join(whole("b"), "b").where(100 * both >= percent * either).select("a", "b", F.round(both / either, 6).alias("jaccard"))
+
+
+def _rare_sets(sets):
+    """(a, b) of word sets that share a word of 2 to 12 sets, however little else."""
+    tok = sets.select("first", F.explode("toks").alias("tok"))
+    kept = tok.join(tok.groupBy("tok").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 12").select("tok"), "tok")
+    return kept.withColumnRenamed("first", "a").join(kept.withColumnRenamed("first", "b"), "tok").where("a < b").select("a", "b")
+
+
 @query()
 def match_score(spark, sf_dir):
-    """Record scores of blocked title pairs, with the hosts' parts as names; tested against plain Python."""
-    titles, pairs = _blocked(spark, sf_dir)
-    host = F.split(F.regexp_extract("url", "://([^/]+)", 1), r"\.")
-    names = table(spark, sf_dir, "pages").select("page_id", F.transform(host, lambda h: F.concat(F.lit("A "), h)).alias("names"))
-    whole = titles.join(names, "page_id")
-    side = lambda c: whole.select(F.col("page_id").alias(c), F.col("title").alias(f"t_{c}"), F.col("names").alias(f"n_{c}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", match_scores("t_a", "n_a", "t_b", "n_b").alias("s"))
+    """Record scores of title pairs, with the hosts' parts as names; tested against plain Python.
+
+    Pages with one title and the same names are one record, which the first of them stands for: its row with every other page tells which. Records
+    are paired whose word sets are equal, overlap by 0.8 or more, or share a rare word; no word is too frequent for the first two.
+    """
+    titles = _titles(spark, sf_dir).where(F.size("toks") > 0)
+    names = F.transform(F.split(F.regexp_extract("url", "://([^/]+)", 1), r"\."), lambda h: F.concat(F.lit("A "), h))
+    pages = titles.select("page_id", "toks", "title", names.alias("names"))
+    sets = _word_sets(titles)
+    records = pages.groupBy("toks", "title", "names").agg(F.min("page_id").alias("record")).join(sets, "toks")
+    side = lambda c, by: records.select(F.col("first").alias(by), F.col("record").alias(c), F.col("title").alias(f"t_{c}"), F.col("names").alias(f"n_{c}"))
+    linked = _similar_sets(sets).select("a", "b").union(_rare_sets(sets)).distinct().select(F.col("a").alias("s_x"), F.col("b").alias("s_y"))
+    between = linked.join(side("x", "s_x"), "s_x").join(side("y", "s_y"), "s_y").drop("s_x", "s_y")
+    within = side("x", "s").join(side("y", "s"), "s").where("x < y").drop("s")
+    copies = pages.join(records.select("title", "names", "record"), ["title", "names"]).where("page_id > record")
+    copies = copies.select(F.col("record").alias("x"), F.col("title").alias("t_x"), F.col("names").alias("n_x"), F.col("page_id").alias("y"), F.col("title").alias("t_y"), F.col("names").alias("n_y"))
+    both = between.unionByName(within).unionByName(copies)
+    turn = lambda c, u, v: F.when(F.col("x") < F.col("y"), F.col(f"{c}{u}")).otherwise(F.col(f"{c}{v}"))
+    scored = both.select(turn("", "x", "y").alias("a"), turn("", "y", "x").alias("b"), match_scores(turn("t_", "x", "y"), turn("n_", "x", "y"), turn("t_", "y", "x"), turn("n_", "y", "x")).alias("s"))
     return scored.select("a", "b", "s.title", "s.coverage", "s.score")
 
 
