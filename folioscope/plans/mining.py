@@ -72,6 +72,12 @@ def slugs(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", slugify(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query()
+def slugs_whole(spark, sf_dir):
+    """Slugs of whole texts; slugs takes the first 60 characters."""
+    return texts(spark, sf_dir).select("doc_id", slugify(F.col("text")).alias("slug"))
+
+
 _LISTS = "lists AS (SELECT paper_id, string_agg(split_part(name, '#', 1) || 'A' || author_id, '' ORDER BY author_order, author_id) AS names FROM paper_authors JOIN authors USING (author_id) GROUP BY paper_id)"
 
 

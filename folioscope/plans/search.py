@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.fulltext import holds_all, holds_any, scored, tokens
 from folioscope.plans.registry import Registry
-from folioscope.plans.relations import authors, keywords, paper_authors, paper_keywords, papers, texts, with_ctes
+from folioscope.plans.relations import authors, keywords, paper_authors, paper_keywords, papers, table, texts, with_ctes
 
 registry = Registry()
 query = registry.query
@@ -76,7 +76,26 @@ def search_match_labels(spark, sf_dir):
 FROM documents WHERE lang = 'en'""")
 def search_highlight(spark, sf_dir):
     """Marks the terms, longest first, in escaped text."""
-    part = F.substring("text", 1, 200)
+    return _highlighted(spark, sf_dir, F.substring("text", 1, 200))
+
+
+def _highlighted(spark, sf_dir, part):
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         part = F.regexp_replace(part, raw, safe)
     return texts(spark, sf_dir).where("lang = 'en'").select("doc_id", F.regexp_replace(part, "(?i)(thhe|the)", "<mark>$1</mark>").alias("shown"))
+
+
+@query("""SELECT doc_id, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(thhe|the)', '<mark>\\1</mark>', 'g') AS shown FROM documents WHERE lang = 'en'""")
+def search_highlight_whole(spark, sf_dir):
+    """Marks the terms in whole texts; search_highlight takes the first 200 characters."""
+    return _highlighted(spark, sf_dir, F.col("text"))
+
+
+@query("""SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(regexp_extract(html, '<title>([^<]*)', 1), '(?i)the') THEN 'title' END, CASE WHEN regexp_matches(regexp_extract(url, '://([^/]+)', 1), '(?i)a') THEN 'author' END,
+CASE WHEN regexp_matches(html, '(?i)licensed') THEN 'keyword' END, CASE WHEN regexp_matches(html, '(?i)the') THEN 'abstract' END], lambda x: x IS NOT NULL), ',') AS labels FROM pages""")
+def search_match_labels_whole(spark, sf_dir):
+    """Where a page matched, by its whole title; search_match_labels takes the first 40 characters of a text as its title."""
+    label = lambda c, pattern, name: F.when(c.rlike(f"(?i){pattern}"), name)
+    part = lambda c, pattern: F.regexp_extract(c, pattern, 1)
+    shown = F.array(label(part("html", "<title>([^<]*)"), "the", "title"), label(part("url", "://([^/]+)"), "a", "author"), label(F.col("html"), "licensed", "keyword"), label(F.col("html"), "the", "abstract"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_compact(shown), ",").alias("labels"))
