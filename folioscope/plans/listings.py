@@ -90,11 +90,22 @@ def papers_on_date(spark, sf_dir):
 FROM paper_authors JOIN authors USING (author_id) JOIN papers ON papers.id = paper_id WHERE published_date >= DATE '2001-07-01' GROUP BY paper_id""")
 def late_attach_authors(spark, sf_dir):
     recent = papers(spark, sf_dir).where("published_date >= DATE '2001-07-01'").select(F.col("id").alias("paper_id"))
-    links = paper_authors(spark, sf_dir).join(recent, "paper_id", "left_semi").join(authors(spark, sf_dir), "author_id")
+    return _with_authors(spark, sf_dir, recent)
+
+
+def _with_authors(spark, sf_dir, parents):
+    links = paper_authors(spark, sf_dir).join(parents, "paper_id", "left_semi").join(authors(spark, sf_dir), "author_id")
     lists = ordered_list(links, "paper_id", F.struct("author_order", "author_id"), F.col("name"), "authors")
     return lists.select(F.col("paper_id").alias("id"), F.array_join("authors", "\t").alias("authors"), F.size("authors").cast("long").alias("n_authors"))
 
 
+@query(with_ctes("papers", "paper_authors", "authors") + """SELECT paper_id AS id, string_agg(name, '\t' ORDER BY author_order, author_id) AS authors, count(*) AS n_authors
+FROM paper_authors JOIN authors USING (author_id) JOIN papers ON papers.id = paper_id GROUP BY paper_id""")
+def late_attach_authors_whole(spark, sf_dir):
+    """Author lists of every paper that has authors, not of the last month's only."""
+    return _with_authors(spark, sf_dir, papers(spark, sf_dir).select(F.col("id").alias("paper_id")))
+
+
 @query(with_ctes("papers", "paper_keywords", "keywords") + """SELECT p.id, coalesce(string_agg(k.phrase || ':' || k.score || ':' || pk.source, ', ' ORDER BY k.score DESC, k.phrase, k.keyword_id), '') AS keywords
 FROM papers p LEFT JOIN paper_keywords pk ON pk.paper_id = p.id LEFT JOIN keywords k ON k.keyword_id = pk.keyword_id AND k.active WHERE p.status = 'P' GROUP BY p.id""")
 def attach_keywords_struct(spark, sf_dir):

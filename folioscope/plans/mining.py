@@ -100,6 +100,17 @@ def bibtex_key_lookup(spark, sf_dir):
 || CASE WHEN status = 'F' THEN ',' || chr(10) || '  doi = {10.1000/' || id || '}' ELSE '' END || chr(10) || '}' AS bibtex FROM papers WHERE published_date >= DATE '2001-06-01'""")
 def bibtex_entries(spark, sf_dir):
     recent = papers(spark, sf_dir).where("published_date >= DATE '2001-06-01'")
+    return _entries(recent)
+
+
+def _entries(p):
     doi = F.when(F.col("status") == "F", F.concat(F.lit("10.1000/"), "id"))
     fields = [("title", protect_capitals(F.col("category"))), ("year", F.year("published_date").cast("string")), ("doi", doi)]
-    return recent.select("id", entry("article", F.concat(F.lit("P"), "id"), fields).alias("bibtex"))
+    return p.select("id", entry("article", F.concat(F.lit("P"), "id"), fields).alias("bibtex"))
+
+
+@query(with_ctes("papers") + """SELECT id, '@article{P' || id || ',' || chr(10) || '  title = {' || substr(category, 1, 1) || regexp_replace(regexp_replace(substr(category, 2), '([A-Z]{2,})', '{\\1}', 'g'), '([A-Z])', '{\\1}', 'g') || '},' || chr(10) || '  year = {' || year(published_date) || '}'
+|| CASE WHEN status = 'F' THEN ',' || chr(10) || '  doi = {10.1000/' || id || '}' ELSE '' END || chr(10) || '}' AS bibtex FROM papers""")
+def bibtex_entries_whole(spark, sf_dir):
+    """Entries of all papers, not of the last two months' only."""
+    return _entries(papers(spark, sf_dir))

@@ -80,9 +80,9 @@ def year_counts(spark, sf_dir):
 _MONTHS = "months AS (SELECT cast(unnest(generate_series(DATE '1991-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS m), filled AS (SELECT DISTINCT date_trunc('month', published_date) AS m FROM papers WHERE day(published_date) > 3 AND id % 97 < 3)"
 
 
-def _missing(spark, sf_dir):
+def _missing(spark, sf_dir, some="day(published_date) > 3 AND id % 97 < 3"):
     months = spark.range(1).select(F.explode(F.expr("sequence(DATE '1991-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)")).alias("m"))
-    filled = papers(spark, sf_dir).where("day(published_date) > 3 AND id % 97 < 3").select(F.trunc("published_date", "month").alias("m")).distinct()
+    filled = papers(spark, sf_dir).where(some).select(F.trunc("published_date", "month").alias("m")).distinct()
     return months.join(filled, "m", "left_anti")
 
 
@@ -97,6 +97,20 @@ def latest_gap_month(spark, sf_dir):
     return _missing(spark, sf_dir).agg(F.date_format(F.max("m"), "yyyy-MM").alias("month"))
 
 
+_ALL_MONTHS = "months AS (SELECT cast(unnest(generate_series(DATE '1991-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS m), filled AS (SELECT DISTINCT date_trunc('month', published_date) AS m FROM papers)"
+
+
+@query(with_ctes("papers", more=_ALL_MONTHS) + "SELECT strftime(m, '%Y-%m') AS month FROM months m WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.m = m.m)")
+def missing_months_whole(spark, sf_dir):
+    """Months without any paper; missing_months looks at some papers only."""
+    return _missing(spark, sf_dir, "true").select(F.date_format("m", "yyyy-MM").alias("month"))
+
+
+@query(with_ctes("papers", more=_ALL_MONTHS) + "SELECT strftime(max(m.m), '%Y-%m') AS month FROM months m WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.m = m.m)")
+def latest_gap_month_whole(spark, sf_dir):
+    return _missing(spark, sf_dir, "true").agg(F.date_format(F.max("m"), "yyyy-MM").alias("month"))
+
+
 @query(with_ctes("users", "papers", "activity") + """SELECT u.nation_id, count(DISTINCT u.user_id) AS users, count(DISTINCT p.id) AS papers, count(DISTINCT a.event_id) AS events
 FROM users u LEFT JOIN papers p ON p.user_id = u.user_id LEFT JOIN activity a ON a.user_id = u.user_id GROUP BY u.nation_id""")
 def user_rollup_multi_distinct(spark, sf_dir):

@@ -98,9 +98,13 @@ def versioned_upsert(spark, sf_dir):
     p = papers(spark, sf_dir)
     base, version = (F.col("id") % 4000).alias("base_id"), F.floor(F.col("id") / 4000).alias("version")
     auto = F.when(F.col("amount") > 400000, "verified").when(F.col("status") == "F", "auto")
-    stored = newest_version(p.where("id < 8000 AND id % 2 = 0").select(base, version, F.col("category").alias("title"), F.when(F.col("status") == "F", F.concat(F.lit("doi-"), "id")).alias("doi"), auto.alias("doi_status")), "base_id", F.col("version")).alias("s")
-    incoming = newest_version(p.where("id >= 4000").select(base, version, F.col("category").alias("title"), F.when(F.col("status") == "O", F.concat(F.lit("doi-"), "id")).alias("doi")), "base_id", F.col("version")).alias("i")
-    joined = stored.join(incoming, "base_id", "full_outer")
+    stored = newest_version(p.where("id < 8000 AND id % 2 = 0").select(base, version, F.col("category").alias("title"), F.when(F.col("status") == "F", F.concat(F.lit("doi-"), "id")).alias("doi"), auto.alias("doi_status")), "base_id", F.col("version"))
+    incoming = newest_version(p.where("id >= 4000").select(base, version, F.col("category").alias("title"), F.when(F.col("status") == "O", F.concat(F.lit("doi-"), "id")).alias("doi")), "base_id", F.col("version"))
+    return _merged(stored, incoming)
+
+
+def _merged(stored, incoming):
+    joined = stored.alias("s").join(incoming.alias("i"), "base_id", "full_outer")
     stale = F.col("i.version").isNull() | F.coalesce(F.col("i.version") < F.col("s.version"), F.lit(False))
     fixed = stale | F.coalesce(F.col("s.doi_status") == "verified", F.lit(False))
     pick = lambda c: F.when(stale, F.col(f"s.{c}")).otherwise(F.col(f"i.{c}")).alias(c)
@@ -108,6 +112,27 @@ def versioned_upsert(spark, sf_dir):
     return joined.select("base_id", pick("version"), pick("title"), doi, F.when(fixed | F.col("i.doi").isNull(), F.col("s.doi_status")).otherwise("auto").alias("doi_status"))
 
 
+@query(with_ctes("papers") + """, stored AS (SELECT id // 4 AS base_id, id % 4 AS version, category AS title, CASE WHEN status = 'F' THEN 'doi-' || id END AS doi, CASE WHEN amount > 400000 THEN 'verified' WHEN status = 'F' THEN 'auto' END AS doi_status FROM papers WHERE id % 3 <> 0
+  QUALIFY row_number() OVER (PARTITION BY id // 4 ORDER BY id DESC) = 1),
+incoming AS (SELECT id // 4 AS base_id, id % 4 AS version, category AS title, CASE WHEN status = 'O' THEN 'doi-' || id END AS doi FROM papers WHERE id % 3 = 0
+  QUALIFY row_number() OVER (PARTITION BY id // 4 ORDER BY id DESC) = 1)
+SELECT coalesce(s.base_id, i.base_id) AS base_id,
+  CASE WHEN s.base_id IS NULL OR i.version >= s.version THEN i.version ELSE s.version END AS version,
+  CASE WHEN s.base_id IS NULL OR i.version >= s.version THEN i.title ELSE s.title END AS title,
+  CASE WHEN i.base_id IS NULL OR i.version < s.version OR s.doi_status = 'verified' THEN s.doi ELSE coalesce(i.doi, s.doi) END AS doi,
+  CASE WHEN i.base_id IS NULL OR i.version < s.version OR s.doi_status = 'verified' OR i.doi IS NULL THEN s.doi_status ELSE 'auto' END AS doi_status
+FROM stored s FULL JOIN incoming i ON i.base_id = s.base_id""")
+def versioned_upsert_whole(spark, sf_dir):
+    """Every paper is stored or comes in, four to a base identity, so the state grows with the table."""
+    p = papers(spark, sf_dir)
+    base, version = F.floor(F.col("id") / 4).alias("base_id"), (F.col("id") % 4).alias("version")
+    doi = lambda of: F.when(F.col("status") == of, F.concat(F.lit("doi-"), "id")).alias("doi")
+    auto = F.when(F.col("amount") > 400000, "verified").when(F.col("status") == "F", "auto").alias("doi_status")
+    stored = newest_version(p.where("id % 3 <> 0").select(base, version, F.col("category").alias("title"), doi("F"), auto), "base_id", F.col("version"))
+    incoming = newest_version(p.where("id % 3 = 0").select(base, version, F.col("category").alias("title"), doi("O")), "base_id", F.col("version"))
+    return _merged(stored, incoming)
+
+
 @query(with_ctes("keywords", "paper_keywords") + """, target AS (SELECT phrase, min(keyword_id) AS keep_id FROM keywords GROUP BY phrase)
 SELECT DISTINCT pk.paper_id, t.keep_id AS keyword_id FROM paper_keywords pk JOIN keywords k USING (keyword_id) JOIN target t USING (phrase)""")
 def keyword_merge(spark, sf_dir):
@@ -148,6 +173,20 @@ def state_summary(spark, sf_dir):
     return own.join(F.broadcast(shared))  # one row
 
 
+@query(with_ctes("papers") + """, h AS (SELECT user_id, status, md5(id || ':' || status) AS m FROM papers)
+SELECT count(*) AS n, cast(count_if(status = 'F') AS BIGINT) AS verified, count(DISTINCT user_id) AS owners, (SELECT count(*) FROM (SELECT user_id FROM papers GROUP BY user_id HAVING count(*) > 1)) AS shared,
+concat_ws('-', cast(sum(cast('0x' || substr(m, 1, 15) AS BIGINT)) AS VARCHAR), cast(sum(cast('0x' || substr(m, 16, 15) AS BIGINT)) AS VARCHAR)) AS digest FROM h""")
+def state_summary_whole(spark, sf_dir):
+    """Counts and a digest of all papers; the digest is two sums of 60 bits of each row's hash, so no order and no row list is needed."""
+    p = papers(spark, sf_dir)
+    shared = p.groupBy("user_id").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("shared"))
+    hashed = p.withColumn("m", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.coalesce("status", F.lit("")))))
+    total = lambda at: F.sum(F.conv(F.substring("m", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    own = hashed.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "F").alias("verified"), F.concat_ws("-", total(1), total(16)).alias("digest"))
+    owners = p.groupBy("user_id").agg(F.lit(1)).agg(F.count("user_id").alias("owners"))
+    return own.join(F.broadcast(owners)).join(F.broadcast(shared))  # one row each
+
+
 @query(with_ctes("paper_keywords") + """, fresh AS (SELECT paper_id, keyword_id, 'A' AS source FROM paper_keywords WHERE (paper_id + keyword_id) % 3 = 0 AND paper_id % 2 = 0)
 , kept AS (SELECT * FROM paper_keywords WHERE NOT (source = 'A' AND paper_id % 2 = 0))
 SELECT source, count(*) AS n FROM (SELECT * FROM kept UNION ALL SELECT f.* FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.paper_id = f.paper_id AND k.keyword_id = f.keyword_id)) GROUP BY source""")
