@@ -16,18 +16,33 @@ query = registry.query
 
 
 def _events(spark, sf_dir):
-    """The events file as a stream; the pattern is what the file source asks for."""
-    schema = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).schema
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast(schema["ts"].dataType))
+    """The events file as a stream, and one more event far behind the last; the pattern is what the file source asks for.
+
+    The last event lets the watermark pass all others, so their windows close; its own stays open and is not shown.
+    """
+    events = table(spark, sf_dir, "events")
+    schema = events.withColumn("ts", F.col("ts").cast("timestamp")).schema
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast(schema["ts"].dataType))
+    last = events.agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).select((F.col("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts"))
+    folder = f"{_shared(spark)}/closing-{uuid.uuid4().hex}"
+    last.select(*(F.col("ts") if c.name == "ts" else F.lit("error" if c.name == "event_type" else None).cast(c.dataType).alias(c.name) for c in schema)).write.parquet(folder)
+    return stream.union(spark.readStream.schema(schema).parquet(folder))
+
+
+def _shared(spark):
+    """The folder that all executors share; only a local master can do without."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or f"file://{tempfile.mkdtemp(prefix='folioscope-')}").rstrip("/")
 
 
 def _finished(spark, stream):
-    """All rows of a stream over a bounded input, in update mode's last state."""
-    name = f"stream_{uuid.uuid4().hex}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
-    started = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{base}/{name}")
+    """All rows of a stream over a bounded input, as files that the executors append when a window closes."""
+    path = f"{_shared(spark)}/stream_{uuid.uuid4().hex}"
+    started = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
     started.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 @query("""WITH e AS (SELECT user_id, ts FROM events WHERE event_type = 'error'), w AS (SELECT user_id, time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR * k AS start, ts FROM e, (SELECT unnest([0, 1]) AS k))
