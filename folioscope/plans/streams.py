@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from folioscope.plans import personal
 from folioscope.plans.registry import Registry
 from folioscope.plans.relations import table
-from folioscope.streaming.ingest import failure_alerts, rebuild_deadlines
+from folioscope.streaming.ingest import failure_alerts, failure_lookback, rebuild_deadlines
 
 registry = Registry()
 query = registry.query
@@ -52,6 +53,13 @@ def stream_failure_alerts(spark, sf_dir):
     return alerts.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "failures")
 
 
+@query(personal.registry.sql["failure_sliding_window"])
+def stream_failure_lookback(spark, sf_dir):
+    """Every error that is at least the third of a user within a day; stream_failure_alerts has stepped windows, which some of them straddle."""
+    found = _finished(spark, failure_lookback(_events(spark, sf_dir), 3, 86_400_000_000, "1 hour"))
+    return found.select("user_id", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss").alias("at"), "event_id", "failures")
+
+
 @query("""WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 numbered AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
 SELECT user_id, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS rebuild_after, count(*) AS changes FROM numbered GROUP BY user_id, s""")

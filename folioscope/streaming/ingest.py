@@ -5,6 +5,7 @@ Each function maps a streaming DataFrame to a streaming DataFrame, or starts a q
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,45 @@ def failure_alerts(events: DataFrame, least: int = 5, span: str = "15 minutes",
     return counts.where(F.col("failures") >= least).select("user_id", F.col("w.start").alias("start"), "failures")
 
 
+def failure_lookback(events: DataFrame, least: int = 5, span_us: int = 900_000_000, late: str = "10 minutes") -> DataFrame:
+    """(user_id, event_id, us, failures): errors that are at least the so-manieth of a user within the span up to them.
+
+    An error waits until the watermark is behind it, as earlier ones can still come. A user's state holds what waits and the times of one span.
+    """
+
+    def count(key, batches, state):
+        recent, ids, times = ([list(x) for x in state.get]) if state.exists else ([], [], [])
+        for batch in batches:
+            ids += batch["event_id"].tolist()
+            times += batch["us"].tolist()
+        now = state.getCurrentWatermarkMs() * 1000
+        waiting = sorted(zip(times, ids, strict=True))
+        ready = [w for w in waiting if w[0] < now]
+        waiting = waiting[len(ready) :]
+        recent = sorted(recent + [t for t, _ in ready])
+        out, start, end = [], 0, 0
+        for t, event in ready:
+            while recent[start] < t - span_us:
+                start += 1
+            while end < len(recent) and recent[end] <= t:
+                end += 1
+            if end - start >= least:
+                out.append((key[0], event, t, end - start))
+        recent = [t for t in recent if t >= now - span_us]
+        if waiting or recent:
+            state.update((recent, [event for _, event in waiting], [t for t, _ in waiting]))
+            state.setTimeoutTimestamp((waiting[0][0] if waiting else recent[-1] + span_us) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "us", "failures"])
+
+    errors = events.where("event_type = 'error'").withWatermark("ts", late)
+    rows = errors.select("user_id", F.coalesce(F.col("event_id").cast("long"), F.lit(-1)).alias("event_id"), F.unix_micros("ts").alias("us"), "ts")
+    shown, kept = "user_id long, event_id long, us long, failures long", "recent array<long>, ids array<long>, times array<long>"
+    return rows.groupBy("user_id").applyInPandasWithState(count, shown, kept, "append", "EventTimeTimeout")
+
+
 def rebuild_deadlines(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """(user_id, rebuild_after, changes): changes within the gap share one rebuild after the last of them."""
     sessions = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("changes"))
