@@ -51,10 +51,24 @@ def _grams(spark, sf_dir, most=3):
 WHERE len(list_filter(string_split(phrase, ' '), lambda x: length(x) <= 1 OR list_contains({_STOP}, x))) = 0 GROUP BY phrase HAVING count(*) >= 5""")
 def doc_frequency_ngrams(spark, sf_dir):
     """Keyword candidates: useful phrases of up to three words in at least five documents."""
-    docs = _grams(spark, sf_dir).select("id", F.filter("grams", lambda p: useful(p)).alias("grams"))
+    return _candidates(_grams(spark, sf_dir))
+
+
+def _candidates(docs):
+    docs = docs.select("id", F.filter("grams", lambda p: useful(p)).alias("grams"))
     return document_frequency(docs, 5).select("phrase", "paper_count", F.size(F.split("phrase", " ")).cast("long").alias("word_count"))
 
 
+_WORDS4 = f"w AS (SELECT doc_id, {_sql_words('text')} AS toks FROM documents), g AS (SELECT doc_id, list_distinct({_sql_grams('toks', 4)}) AS grams FROM w)"
+
+
+@query(f"WITH {_WORDS4}" + f""" SELECT phrase, count(*) AS paper_count, cast(len(string_split(phrase, ' ')) AS BIGINT) AS word_count FROM (SELECT unnest(grams) AS phrase FROM g)
+WHERE len(list_filter(string_split(phrase, ' '), lambda x: length(x) <= 1 OR list_contains({_STOP}, x))) = 0 GROUP BY phrase HAVING count(*) >= 5""")
+def doc_frequency_ngrams_four(spark, sf_dir):
+    """Keyword candidates of up to four words, as the original mines them; doc_frequency_ngrams has up to three."""
+    return _candidates(_grams(spark, sf_dir, 4))
+
+
 _DICTIONARY = "d AS (SELECT array_to_string(toks[1:2], ' ') AS phrase, max(item_id) AS keyword_id FROM (SELECT item_id, " + _sql_words("text") + " AS toks FROM benchmark) WHERE len(toks) >= 2 GROUP BY 1)"
 
 
