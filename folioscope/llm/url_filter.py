@@ -8,8 +8,14 @@ allow always wins over a block that only reached a url through its aliases.
 
 from __future__ import annotations
 
+import html
+import re
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioscope.llm.components import connected_components
 
@@ -41,16 +47,33 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return found
 
 
+def resolved_target(url: str, target: str) -> str | None:
+    """A target without HTML entities, taken from the page's url unless it is absolute; null where that can't be read."""
+    plain = html.unescape(target)
+    if re.match(r"(?i)[a-z][a-z0-9+.-]*://", plain):
+        return plain
+    try:
+        return urljoin(url, plain)
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(StringType())
+def resolved_targets(urls: pd.Series, targets: pd.Series) -> pd.Series:
+    return pd.Series([resolved_target(u, t) for u, t in zip(urls, targets, strict=True)], dtype=object)
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
     """(url, target): what the html of a page declares as its canonical address or redirects to.
 
-    Reads link rel=canonical and meta refresh tags; only absolute targets count. Pages whose url or html
-    is null have none.
+    Reads link rel=canonical and meta refresh tags; relative targets are taken from the page's url and HTML entities
+    are decoded. Pages whose url or html is null have none, neither have relative targets on pages with relative urls.
     """
     tags = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)).alias("tag"))
     canonical = F.when(F.col("tag").rlike(r"""(?is)\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", rf"(?is)\bhref{ATTRIBUTE}", 1))
-    refresh = F.when(F.col("tag").rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1))
-    return tags.select("url", F.coalesce(canonical, refresh).alias("target")).where("url IS NOT NULL AND target LIKE '%://%' AND url <> target")
+    refresh = F.when(F.col("tag").rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?((?:&#?\w+;|[^"'\s>;])+)""", 1))
+    written = tags.select("url", F.coalesce(canonical, refresh).alias("target")).where("url IS NOT NULL AND target <> ''")
+    return written.select("url", resolved_targets("url", "target").alias("target")).where("url IS NOT NULL AND target LIKE '%://%' AND url <> target")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame | None = None, default: str = "allow") -> DataFrame:
