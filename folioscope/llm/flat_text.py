@@ -14,7 +14,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about most bytes of text each; a longer text stands alone."""
     sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -51,7 +51,7 @@ def powers(base: int, n: int) -> np.ndarray:
         held = np.ones(max(n, 1 << 16), dtype=np.uint64)
         held[1:] = np.uint64(base)
         np.multiply.accumulate(held, out=held)
-        if len(held) <= 1 << 23:
+        if len(held) <= 1 << 21:
             _powers[base] = held
     return held[:n]
 

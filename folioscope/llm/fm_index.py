@@ -75,17 +75,17 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search over one sequence of symbols 0 ... size-1; patterns never hold symbol 0, the separator.
 
-    Common prefixes of neighbouring suffixes are kept up to DEPTH symbols, for giving up a match's end.
+    Common prefixes of neighbouring suffixes are kept up to depth symbols, for giving up a match's end; matches
+    are told apart up to that length.
     """
 
-    DEPTH = 127
-
-    def __init__(self, symbols: np.ndarray, size: int):
+    def __init__(self, symbols: np.ndarray, size: int, depth: int = 127):
+        self.depth = (1 << max(depth, 1).bit_length()) - 1
         order = suffix_array(symbols)
         self.n = len(symbols)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])
         self.bwt = WaveletMatrix(symbols[order - 1], size)
-        common = np.zeros(self.n + 1, dtype=np.uint8)  # of suffixes i - 1 and i
+        common = np.zeros(self.n + 1, dtype=np.uint8 if self.depth < 256 else np.int32)  # of suffixes i - 1 and i
         common[1 : self.n] = self._common(symbols, order[:-1], order[1:])
         self.least = [common]
         while 2 << len(self.least) - 1 <= self.n:
@@ -94,14 +94,14 @@ class FMIndex:
 
     def _common(self, symbols: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         have = np.zeros(len(first), dtype=np.int64)
-        values, step = mixed(symbols.astype(np.uint64) + np.uint64(1)), (self.DEPTH + 1) // 2
+        values, step = mixed(symbols.astype(np.uint64) + np.uint64(1)), (self.depth + 1) // 2
         while step:
             a, b = first + have, second + have
             inside = np.flatnonzero((a + step <= self.n) & (b + step <= self.n))
             a, b = a[inside], b[inside]
             have[inside[rolling(values, a, a + step) == rolling(values, b, b + step)]] += step
             step //= 2
-        return have.astype(np.uint8)
+        return have.astype(np.uint8 if self.depth < 256 else np.int32)
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals after putting a symbol in front of what the intervals stand for; -1 occurs nowhere."""
@@ -127,8 +127,8 @@ class FMIndex:
     def matching_statistics(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each position of text the length of the longest match that begins there, within its lane.
 
-        Lanes are text[start:end]; all of them are read from their ends in step. Lengths above DEPTH may
-        be too small, but not below DEPTH.
+        Lanes are text[start:end]; all of them are read from their ends in step. Lengths above the index's
+        depth may be too small, but not below the depth.
         """
         out = np.zeros(len(text), dtype=np.int64)
         order = np.argsort(starts - ends, kind="stable")

@@ -17,9 +17,11 @@ share is no hot key.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -31,10 +33,14 @@ from folioscope.llm.storage import drop, store, width
 WINDOW = 50
 ANCHOR_WORDS = 8
 LANE_WORDS = 128
-LANES = 8192
+LANES = 4096
 SHARD_WORDS = 400_000
-RUN_SCHEMA = "shard long, leader long, streamed boolean, doc_id long, fp long, start int, words array<long>"
+INDEX_WORDS = 600_000  # of one index; a shard that holds more has several
+ASKED_WORDS = 200_000  # streamed at a time
+EMITTED_WORDS = 400_000  # of passages in one batch
+CUT_SCHEMA = "leader long, copies int, salt int, streamed boolean, doc_id long, fp long, start int, words array<long>"
 FOUND_SCHEMA = "doc_id long, fp long, cuts array<int>, rest array<long>"
+FOUND = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("cuts", pa.list_(pa.int32())), ("rest", pa.list_(pa.int64()))])
 
 
 class Words:
@@ -67,25 +73,24 @@ class Words:
 
 
 def _profiles(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n, fp, fp2, anchors): size, fingerprints and distinct anchors of each document."""
+    """(doc_id, n, fp, fp2, anchors, windows): size, fingerprints, distinct anchors and how many windows name each."""
+
+    def lists(own: list, kind) -> pa.ListArray:
+        bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
+        return pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(own).astype(kind) if own else np.zeros(0, dtype=kind)))
 
     def profile(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
                 keys = words.keys(window, whole=False)
-                own = [np.unique(keys[a : max(a, b - window + 1)]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-                bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
-                anchors = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(own) if own else np.zeros(0, dtype=np.int64)))
+                own = [np.unique(keys[a : max(a, b - window + 1)], return_counts=True) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
                 sums = np.concatenate([[0], np.cumsum(mixed(words.hashes), dtype=np.uint64)]).astype(np.uint64)
                 fp2 = (sums[words.first[1:]] - sums[words.first[:-1]]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.n), pa.array(words.fp), pa.array(fp2), anchors], names=["doc_id", "n", "fp", "fp2", "anchors"])
-
-    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, fp long, fp2 long, anchors array<long>")
+                columns = [part.column("doc_id"), pa.array(words.n), pa.array(words.fp), pa.array(fp2), lists([k for k, _ in own], np.int64), lists([n for _, n in own], np.int32)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp", "fp2", "anchors", "windows"])
 
-
-def _dealt(number: int, parts: int) -> int:
-    return int(mixed(np.array([number & (2**64 - 1)], dtype=np.uint64))[0]) % parts
+    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, fp long, fp2 long, anchors array<long>, windows array<int>")
 
 
 def _runs(chosen: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -94,94 +99,145 @@ def _runs(chosen: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(part[0]), int(part[-1]) + window) for part in np.split(chosen, breaks)]
 
 
-def _passages(docs: DataFrame, led: DataFrame, window: int, whole: bool, shards: int) -> DataFrame:
-    """The passages of RUN_SCHEMA around led keys. led: (doc_id, led array<struct<key, leader, copies>>)."""
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    leader, copies, salt, streamed, doc_id, fp, start, lists = zip(*rows, strict=True)
+    bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
+    columns = [pa.array(leader, pa.int64()), pa.array(copies, pa.int32()), pa.array(salt, pa.int32()), pa.array(streamed), pa.array(doc_id, pa.int64()), pa.array(fp, pa.int64()), pa.array(start, pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(lists)))]
+    return pa.RecordBatch.from_arrays(columns, names=["leader", "copies", "salt", "streamed", "doc_id", "fp", "start", "words"])
+
+
+def _passages(docs: DataFrame, led: DataFrame, window: int, whole: bool) -> DataFrame:
+    """The passages of CUT_SCHEMA around led keys. led: (doc_id, led array<struct<key, leader, copies>>).
+
+    A leader's own passage is one row here, whatever the number of its copies; batches hold a bounded
+    number of words unless one passage has more.
+    """
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
                 keys = words.keys(window, whole)
-                rows = []
+                rows, held = [], 0
                 ids = part.column("doc_id").to_numpy()
-                for i, own in enumerate(part.column("led").to_pylist()):
+                scattered = mixed(ids.astype(np.uint64))
+                for i, own in enumerate(part.column("led")):
                     first, last = int(words.first[i]), int(words.first[i + 1]) - window + 1
                     if last <= first:
                         continue
-                    own.sort(key=lambda x: x["key"])
-                    table = np.array([x["key"] for x in own])
-                    leaders, copies = np.array([x["leader"] for x in own]), np.array([x["copies"] for x in own])
+                    table, leaders, copies = (own.values.field(name).to_numpy() for name in ("key", "leader", "copies"))
+                    by_key = np.argsort(table)
+                    table, leaders, copies = table[by_key], leaders[by_key], copies[by_key]
                     place = np.minimum(np.searchsorted(table, keys[first:last]), len(table) - 1)
                     hit = table[place] == keys[first:last]
                     for leader in np.unique(leaders[place[hit]]).tolist():
-                        salts = int(copies[leaders == leader].max())
-                        streamed = leader != ids[i]
-                        salts = [_dealt(int(ids[i]), salts)] if streamed else range(salts)
+                        most, streamed = int(copies[leaders == leader].max()), leader != ids[i]
+                        salt = int(scattered[i] % np.uint64(most)) if streamed else -1
                         for a, b in _runs(np.flatnonzero(hit & (leaders[place] == leader)), window):
-                            for salt in salts:
-                                rows.append((_dealt(leader * 8191 + salt, shards), leader, streamed, ids[i], words.fp[i], a, words.hashes[first + a : first + b].view(np.int64)))
+                            rows.append((leader, most, salt, streamed, ids[i], words.fp[i], a, words.hashes[first + a : first + b].view(np.int64)))
+                            held += b - a
+                            if held > EMITTED_WORDS:
+                                yield _batch(rows)
+                                rows, held = [], 0
                 if rows:
-                    shard, leader, streamed, doc_id, fp, start, lists = zip(*rows, strict=True)
-                    bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
-                    columns = [pa.array(shard, pa.int64()), pa.array(leader, pa.int64()), pa.array(streamed), pa.array(doc_id, pa.int64()), pa.array(fp, pa.int64()), pa.array(start, pa.int32()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(lists)))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "leader", "streamed", "doc_id", "fp", "start", "words"])
+                    yield _batch(rows)
 
-    return docs.select("doc_id", "text").join(led, "doc_id").select("doc_id", "text", "led").mapInArrow(cut, RUN_SCHEMA)
+    return docs.select("doc_id", "text").join(led, "doc_id").select("doc_id", "text", "led").mapInArrow(cut, CUT_SCHEMA)
 
 
-def _symbols(passages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, starts, ends): words told apart by leader, passage after passage."""
-    lists = passages.column("words").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    words = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
-    leaders = np.repeat(mixed(passages.column("leader").to_numpy().astype(np.uint64)), np.diff(offsets))
-    return mixed(words ^ leaders), offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
-
+def _words(passages: pa.Table) -> np.ndarray:
+    return pc.list_flatten(passages.column("words")).to_numpy().view(np.uint64)
 
-def search_shard(passages: pa.Table, window: int) -> pa.Table:
-    """Streams one shard's passages through the index over its leaders' passages.
 
-    For each streamed passage: cuts, the word ranges (first, end, first, end, ...) of its document that the
-    leader holds, and rest, the hashes of its windows that the leader does not hold.
+def _symbols(passages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, starts, ends): words told apart by leader, passage after passage."""
+    sizes = pc.list_value_length(passages.column("words")).to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes)
+    leaders = np.repeat(mixed(passages.column("leader").to_numpy().astype(np.uint64)), sizes)
+    return mixed(_words(passages) ^ leaders), ends - sizes, ends
+
+
+class Index:
+    """FM-index over the passages of a shard's leaders, in parts of at most INDEX_WORDS words."""
+
+    def __init__(self, held: pa.Table, window: int):
+        self.window, self.parts = window, []
+        keys, starts, ends = _symbols(held)
+        # A passage longer than a part is held as pieces that share window - 1 words, so no window is lost.
+        step = max(INDEX_WORDS - window + 1, 1)
+        pieces = [(x, min(x + INDEX_WORDS, b)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) for x in range(a, max(a + 1, b - window + 1), step)]
+        while pieces:
+            sizes = np.cumsum([b - a for a, b in pieces])
+            many = max(1, int(np.searchsorted(sizes, INDEX_WORDS, side="right")))
+            own, pieces = np.array(pieces[:many]), pieces[many:]
+            self.parts.append(self._part(keys, own[:, 0], own[:, 1]))
+
+    def _part(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple:
+        sizes = ends - starts
+        to = np.cumsum(sizes) - sizes
+        own = keys[np.arange(sizes.sum()) + np.repeat(starts - to, sizes)]
+        alphabet, numbers = np.unique(own, return_inverse=True)
+        text = np.zeros(len(own) + len(starts), dtype=np.int64)  # a separator ends every passage
+        text[np.arange(len(own)) + np.repeat(np.arange(len(starts)), sizes)] = numbers.ravel() + 1
+        grams = np.unique(_grams(own, to, to + sizes, min(ANCHOR_WORDS, self.window)))
+        return alphabet, FMIndex(text, len(alphabet) + 1, self.window), grams
+
+    def matched(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the window that starts at each word occurs in the index."""
+        out = np.zeros(len(keys), dtype=bool)
+        for alphabet, index, grams in self.parts:
+            place = np.minimum(np.searchsorted(alphabet, keys), len(alphabet) - 1)
+            symbols = np.where(alphabet[place] == keys, place + 1, -1)
+            possible = _possible(grams, keys, starts, ends, self.window) & ~out
+            # A lane reaches window - 1 words into the next one, so that each window is decided where it starts.
+            lanes = np.array([(x, min(x + LANE_WORDS + self.window - 1, b)) for a, b in _stretches(possible, self.window) for x in range(a, b - self.window + 1, LANE_WORDS)], dtype=np.int64).reshape(-1, 2)
+            for at in range(0, len(lanes), LANES):
+                own = lanes[at : at + LANES]
+                for (a, b), reached in zip(own.tolist(), _reaching(index, symbols, own, self.window), strict=True):
+                    out[a : min(a + LANE_WORDS, b)] |= reached[: min(LANE_WORDS, b - a)]
+        return out
+
+    def search(self, asked: pa.Table) -> pa.Table:
+        """For each streamed passage: cuts, the word ranges (first, end, first, end, ...) of its document that the
+        leader holds, and rest, the hashes of its windows that the leader does not hold."""
+        keys, starts, ends = _symbols(asked)
+        matched, window = self.matched(keys, starts, ends), self.window
+        words = _words(asked)
+        rolled = rolling(words, np.arange(max(0, len(words) - window + 1)), np.arange(window, max(window, len(words) + 1))).view(np.int64)
+        cuts, rest = [], []
+        for a, b, start in zip(starts.tolist(), ends.tolist(), asked.column("start").to_pylist(), strict=True):
+            windows = matched[a : b - window + 1]
+            hit = np.flatnonzero(windows)
+            breaks = np.flatnonzero(np.diff(hit) > window) + 1
+            cuts.append([x + start for part in np.split(hit, breaks) if len(part) for x in (int(part[0]), int(part[-1]) + window)] if hit.size else [])
+            rest.append(rolled[a : b - window + 1][~windows])
+        return pa.table([asked.column("doc_id"), asked.column("fp"), pa.array(cuts, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.int64()))], schema=FOUND)
+
+
+def search_shards(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows of FOUND_SCHEMA from passages in order of shard, each shard's own ones before the streamed ones.
+
+    Only a shard's own passages are kept, as an index; the others pass through a bounded number of words at a time.
     """
-    streamed = passages.column("streamed").to_numpy(zero_copy_only=False)
-    held, asked = passages.filter(pa.array(~streamed)), passages.filter(pa.array(streamed))
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("cuts", pa.list_(pa.int32())), ("rest", pa.list_(pa.int64()))])
-    if not held.num_rows or not asked.num_rows:
-        return schema.empty_table()
-    held_keys, starts, ends = _symbols(held)
-    held_bounds = (starts, ends)
-    alphabet, numbers = np.unique(held_keys, return_inverse=True)
-    text = np.zeros(len(held_keys) + len(starts), dtype=np.int64)  # a separator ends every passage
-    text[np.arange(len(held_keys)) + np.repeat(np.arange(len(starts)), ends - starts)] = numbers.ravel() + 1
-    index = FMIndex(text, len(alphabet) + 1)
-
-    keys, starts, ends = _symbols(asked)
-    place = np.minimum(np.searchsorted(alphabet, keys), len(alphabet) - 1)
-    symbols = np.where(alphabet[place] == keys, place + 1, -1)
-    possible = _possible(held_keys, held_bounds, keys, starts, ends, window)
-    # A lane reaches window - 1 words into the next one, so that each window is decided where it starts.
-    lanes = np.array([(x, min(x + LANE_WORDS + window - 1, b)) for a, b in _stretches(possible, window) for x in range(a, b - window + 1, LANE_WORDS)], dtype=np.int64).reshape(-1, 2)
-    matched = np.zeros(len(symbols), dtype=bool)
-    for at in range(0, len(lanes), LANES):
-        own = lanes[at : at + LANES]
-        for (a, b), reached in zip(own.tolist(), _reaching(index, symbols, own, window), strict=True):
-            matched[a : min(a + LANE_WORDS, b)] |= reached[: min(LANE_WORDS, b - a)]
-
-    hashes = asked.column("words").combine_chunks()
-    hashes = hashes.chunk(0) if isinstance(hashes, pa.ChunkedArray) else hashes
-    offsets = hashes.offsets.to_numpy()
-    words = hashes.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
-    rolled = rolling(words, np.arange(max(0, len(words) - window + 1)), np.arange(window, max(window, len(words) + 1))).view(np.int64)
-    cuts, rest = [], []
-    for a, b, start in zip(starts.tolist(), ends.tolist(), asked.column("start").to_pylist(), strict=True):
-        windows = matched[a : b - window + 1]
-        hit = np.flatnonzero(windows)
-        breaks = np.flatnonzero(np.diff(hit) > window) + 1
-        cuts.append([x + start for part in np.split(hit, breaks) if len(part) for x in (int(part[0]), int(part[-1]) + window)] if hit.size else [])
-        rest.append(rolled[a : b - window + 1][~windows])
-    return pa.table([asked.column("doc_id"), asked.column("fp"), pa.array(cuts, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.int64()))], schema=schema)
+    shard, held, index = None, [], None
+    for batch in batches:
+        shards, streamed = batch.column("shard").to_numpy(), batch.column("streamed").to_numpy(zero_copy_only=False)
+        sizes = batch.column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < batch.num_rows:
+            if shards[at] != shard:
+                shard, held, index = shards[at], [], None
+            same = np.flatnonzero((shards[at:] != shard) | (streamed[at:] != streamed[at]))
+            to = at + (int(same[0]) if same.size else batch.num_rows - at)
+            if not streamed[at]:
+                held.append(batch.slice(at, to - at))
+            else:
+                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:to]), ASKED_WORDS, side="right")))
+                if held:
+                    index, held = Index(pa.Table.from_batches(held), window), []
+                if index is not None:
+                    yield from index.search(pa.Table.from_batches([batch.slice(at, to - at)])).to_batches()
+            at = to
 
 
 def _grams(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
@@ -193,10 +249,9 @@ def _grams(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) ->
     return out
 
 
-def _possible(held: np.ndarray, held_bounds: tuple, asked: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
-    """Whether all short runs of words in the window that starts here occur in the index at all."""
+def _possible(there: np.ndarray, asked: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Whether all short runs of words in the window that starts here are among there, those of the index."""
     size = min(ANCHOR_WORDS, window)
-    there = np.unique(_grams(held, *held_bounds, size))
     own = _grams(asked, starts, ends, size)
     place = np.minimum(np.searchsorted(there, own), len(there) - 1)
     missing = np.concatenate([[0], np.cumsum((there[place] != own) | (own == 0))])
@@ -222,23 +277,30 @@ def _reaching(index: FMIndex, text: np.ndarray, lanes: np.ndarray, window: int)
 
 
 def _search(docs: DataFrame, keys: DataFrame, window: int, whole: bool, tag: str) -> DataFrame:
-    """Stored rows of FOUND_SCHEMA for keys (doc_id, key): what each document shares with the leaders of its keys."""
+    """Stored rows of FOUND_SCHEMA for keys (doc_id, key, windows): what each document shares with its keys' leaders.
+
+    A key stands for as many words as windows name it, and some around them. Leaders with more to stream than a
+    part of a shard are copied, and there are as many shards as the words to hold and to stream need.
+    """
     spark = docs.sparkSession
-    first = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("cnt"))
+    stands = F.col("windows") + F.lit(0 if whole else window // 2)
+    first = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.sum(stands).alias("words"), F.min_by(stands, "doc_id").alias("own"))
     shared = store(first.where("leader < last").drop("last"), f"{tag}-keys")
-    streams = shared.agg(F.sum(F.col("cnt") - 1)).first()[0] or 0
-    each = 1 if whole else window // 2  # words that a key stands for
-    at_once = max(256, min(SHARD_WORDS // each, streams // (2 * width(spark))))
-    shards = max(width(spark), math.ceil(streams * each / SHARD_WORDS))
-    load = shared.groupBy("leader").agg(F.sum(F.col("cnt") - 1).alias("load")).where(F.col("load") > at_once)
-    copies = load.select("leader", F.ceil(F.col("load") / at_once).alias("copies"))
-    spread = store(shared.select("key", "leader").join(copies, "leader", "left").select("key", "leader", F.coalesce("copies", F.lit(1)).alias("copies")), f"{tag}-leaders")
-    led = keys.join(spread, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "leader", "copies")).alias("led"))
-    passages = _passages(docs, led, window, whole, shards)
-    found = passages.groupBy("shard").applyInArrow(lambda table: search_shard(table, window), FOUND_SCHEMA)
-    out = store(found, tag)
-    drop(shared)
-    drop(spread)
+    streams = shared.agg(F.sum(F.col("words") - F.col("own"))).first()[0] or 0
+    at_once = max(8192, min(SHARD_WORDS, streams // (2 * width(spark))))
+    by_leader = shared.groupBy("leader").agg(F.sum(F.col("words") - F.col("own")).alias("load"), F.sum("own").alias("own"))
+    by_leader = store(by_leader.withColumn("copies", F.ceil(F.greatest(F.col("load"), F.lit(1)) / at_once).cast("int")), f"{tag}-leaders")
+    holds = by_leader.agg(F.sum(F.col("own") * F.col("copies"))).first()[0] or 0
+    shards = max(width(spark), math.ceil((streams + holds) / SHARD_WORDS))
+    spread = store(shared.select("key", "leader").join(by_leader.where("copies > 1").select("leader", "copies"), "leader", "left").select("key", "leader", F.coalesce("copies", F.lit(1)).alias("copies")), f"{tag}-spread")
+    led = keys.select("doc_id", "key").join(spread, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "leader", "copies")).alias("led"))
+    salts = F.when(F.col("streamed"), F.array("salt")).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))
+    passages = _passages(docs, led, window, whole).withColumn("salt", F.explode(salts))
+    passages = passages.select(F.pmod(F.xxhash64("leader", "salt"), F.lit(shards)).alias("shard"), "leader", "streamed", "doc_id", "fp", "start", "words")
+    dealt = passages.repartition(shards, "shard").sortWithinPartitions("shard", "streamed")
+    out = store(dealt.mapInArrow(lambda batches: search_shards(batches, window), FOUND_SCHEMA), tag)
+    for table in (shared, by_leader, spread):
+        drop(table)
     return out
 
 
@@ -273,8 +335,10 @@ def _cut(docs: DataFrame, cuts: DataFrame, window: int) -> DataFrame:
                 columns = [out if name == "text" else part.column(name) for name in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(words.n), pa.array(removed)], names=[*names, "n_words", "n_removed"])
 
-    joined = docs.join(cuts, "doc_id", "left")
-    return joined.select(*names, "_cuts").mapInArrow(keep, StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType())]))
+    # Rows without doc_id have no cuts; in the join they would all meet in one task.
+    joined = docs.where("doc_id IS NOT NULL").join(cuts, "doc_id", "left").select(*names, "_cuts")
+    rest = docs.where("doc_id IS NULL").withColumn("_cuts", F.lit(None).cast(cuts.schema["_cuts"].dataType))
+    return joined.unionByName(rest).mapInArrow(keep, StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType())]))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -283,19 +347,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text becomes the kept words, joined by one space; n_words and n_removed are counts of words before and
     of words cut. Words are runs without ASCII white space. Windows are judged on the input. A null text
     has no words and becomes empty; a row without doc_id is kept whole and repeats nothing; rows with
-    one doc_id don't repeat each other. Texts shorter than the window stay whole. Other columns stay;
-    columns named n_words and n_removed are replaced; an empty table gives an empty result.
+    one doc_id don't repeat each other. Texts shorter than the window stay whole; very long ones are read whole,
+    in passages. Other columns stay; columns named n_words and n_removed are replaced; an empty table gives
+    an empty result.
     """
     docs = docs.drop("n_words", "n_removed", "_cuts").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     profiles = store(_profiles(docs, window), "profiles")
     usable = profiles.where((F.col("n") >= window) & F.col("doc_id").isNotNull())
     firsts = store(usable.groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "firsts")
-    own = store(usable.join(firsts, ["fp", "fp2", "n"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "own")
-    keys = own.where("NOT copy").select("doc_id", F.explode("anchors").alias("key")).distinct()
-    by_anchor = _search(docs, store(keys, "anchors"), window, False, "led")
-    left = by_anchor.select("doc_id", F.explode("rest").alias("key")).distinct()
-    by_window = _search(docs, store(left, "windows"), window, True, "rest")
-    whole = own.where("copy").select("doc_id", "fp", F.array(F.lit(0), F.col("n").cast("int")).alias("cuts"))
+    own = usable.join(firsts, ["fp", "fp2", "n"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    named = own.where("NOT copy").select("doc_id", F.explode(F.arrays_zip("anchors", "windows")).alias("x"))
+    keys = store(named.select("doc_id", F.col("x.anchors").alias("key"), F.col("x.windows").alias("windows")), "anchors")
+    whole = store(own.where("copy").select("doc_id", "fp", F.array(F.lit(0), F.col("n").cast("int")).alias("cuts")), "copies")
+    drop(profiles)
+    drop(firsts)
+    by_anchor = _search(docs, keys, window, False, "led")
+    drop(keys)
+    left = store(by_anchor.select("doc_id", F.explode("rest").alias("key"), F.lit(1).alias("windows")).distinct(), "windows")
+    by_window = _search(docs, left, window, True, "rest")
+    drop(left)
     cuts = whole.union(by_anchor.select("doc_id", "fp", "cuts")).union(by_window.select("doc_id", "fp", "cuts"))
     cuts = cuts.where(F.size("cuts") > 0).groupBy("doc_id").agg(F.collect_list(F.struct("fp", "cuts")).alias("_cuts"))
     return _cut(docs, cuts, window)
