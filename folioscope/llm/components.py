@@ -8,20 +8,32 @@ from pyspark.sql import functions as F
 from folioscope.llm.storage import drop, store
 
 
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (a, b) joined with least (a, m); a hub's edges are spread by their other ends."""
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    spread = salted.select("a", "_salt").distinct().join(least, "a")
+    return salted.join(spread, ["a", "_salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both.where("b > a"), least)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     least = store(down.groupBy("a").agg(F.min("b").alias("m")), "least")
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
+    return _with_least(down, least).union(least.select("a", "m"))
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    """Row count and two exact sums of 64-bit hashes: equal for equal sets of links, whatever their order."""
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), "a", "b").cast("decimal(38,0)"))
+    return tuple(edges.agg(F.count("*"), total(1), total(2)).first())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
