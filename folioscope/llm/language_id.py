@@ -12,6 +12,7 @@ model's size doesn't depend on the corpus. The bit weights come from ``weight_ro
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,7 +104,8 @@ class LanguageModel:
 def fit(training: DataFrame, weight_rows: int = 2048) -> LanguageModel:
     """training: text and lang; rows where either is null, or the text has no letter, teach nothing.
 
-    Every text counts the same, whatever its length. Without any usable row the model knows no language.
+    Every text counts the same, whatever its length; very long ones are read whole. Without any usable row, as of
+    an empty table, the model knows no language. weight_rows bounds the rows that the bit weights come from.
     """
     usable = training.select("text", "lang").where(F.col("lang").isNotNull() & has_letter(F.col("text")))
 
@@ -138,10 +140,22 @@ def fit(training: DataFrame, weight_rows: int = 2048) -> LanguageModel:
             weights[:, bit] += side * np.log(table[code[:, bit] == side].mean(axis=0))
     model = LanguageModel(languages, code, weights, np.full(code.shape, 1 / max(code.shape[1], 1)))
     if len(languages) > 1:
-        model.trust = _trust(model, usable.orderBy(F.xxhash64("text")).limit(weight_rows))
+        model.trust = _trust(model, _sampled(usable, training.where("lang IS NOT NULL").count(), weight_rows))
     return model
 
 
+def _sampled(usable: DataFrame, many: int, rows: int) -> DataFrame:
+    """Different texts (text, lang) with the least hashes, at most rows of them.
+
+    A threshold on the hash leaves about twice as many before they are ordered, so no task gathers more
+    than a few thousand texts, however many there are; copies of a text count once.
+    """
+    share = 2 * rows / max(many, 1)
+    hashed = usable.withColumn("_hash", F.xxhash64("text"))
+    few = hashed.where(F.pmod("_hash", F.lit(1 << 40)) < F.lit(math.ceil(min(share, 1.0) * (1 << 40))))
+    return few.groupBy("_hash").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).orderBy("_hash").limit(rows).select("text", "lang")
+
+
 def _trust(model: LanguageModel, sample: DataFrame) -> np.ndarray:
     """For each language the share of its sampled texts that each bit gets right, as weights."""
     at = {lang: i for i, lang in enumerate(model.languages)}
@@ -167,8 +181,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """Adds lang_pred, score (0 to 1) and ambiguous to docs; only the text is looked at.
 
     A text that is null, empty or without any letter is 'und' with score 0, and so is every text when the
-    model knows no language. Equal texts get equal answers; other columns stay; columns of those three
-    names are replaced; an empty table gives an empty result.
+    model knows no language. Equal texts and repeated rows get equal answers; very long texts are read whole;
+    other columns stay; columns of those three names are replaced; an empty table gives an empty result.
     """
     kept = docs.drop("lang_pred", "score", "ambiguous")
     languages = pa.array([*model.languages, UNDETERMINED], pa.string())
