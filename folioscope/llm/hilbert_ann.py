@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each curve projects the vectors on a few random directions, shifts the grid and orders the rows by
-Hilbert key. Spark range-partitions every curve's keys; a query looks at the rows within a window
-around its own place on each curve; the windows are merged and reranked by exact distance.
+Hilbert key. Spark deals every curve's keys out by range; a query looks at the rows within a window
+around its own place on each curve. Along the curves travel one byte for each component, which is enough to
+choose the nearest few of a window; the windows of all curves are merged, and the chosen pairs
+are joined with the original vectors once and reranked by exact distance.
 
 The window is a share of the table. It is fit on a bounded sample of rows (``sample_rows``): the
 smallest share of a fixed ladder at which the sample's own queries reach ``target_recall``. Every
-row is indexed on every curve, and the fitted share covers more rows of a larger table.
+row is indexed on every curve. On data with clusters the fitted share is small; on vectors without any
+structure no order of the rows brings neighbours together, and the share grows until the recall is reached.
 """
 
 from __future__ import annotations
@@ -96,10 +99,12 @@ def nearest_neighbours(rows: DataFrame, is_query, id_col: str, vector_col: str,
     Score is the Euclidean distance in double precision; ties go to smaller ids; a row is no neighbour of
     its own id. Vectors that are null, zero, hold null or non-finite components, or differ in length from
     the most frequent length take no part, neither do null ids. With k candidates or fewer all are
-    returned; an empty table gives an empty result. Of rows that repeat an id and a vector one counts.
+    returned; rows that repeat an id count once, with their smallest distance; other columns don't matter; an
+    empty table gives an empty result.
     """
     spark = rows.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
+    kind = rows.schema[vector_col].dataType.simpleString()
+    vector = F.col(vector_col) if kind in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
     whole = rows.select(F.col(id_col).alias("id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     whole = whole.where(F.col("id").isNotNull() & finite(F.col("vector")) & F.exists("vector", lambda x: x != 0))
     empty = spark.createDataFrame([], "query_id long, rank int, id long, score double")
@@ -108,9 +113,16 @@ def nearest_neighbours(rows: DataFrame, is_query, id_col: str, vector_col: str,
         return empty
     length, n = common["length"], common["count"]
     whole = whole.where(F.size("vector") == length)
-    sample = np.array([r.vector for r in whole.orderBy(F.xxhash64("id")).select("vector").limit(sample_rows).collect()])
+    # The threshold leaves about twice the sample, so no task orders more than that.
+    hashed = whole.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < math.ceil(min(2 * sample_rows / n, 1.0) * (1 << 40)))
+    sample = np.array([r.vector for r in hashed.orderBy(F.xxhash64("id")).select("vector").limit(sample_rows).collect()])
+    if not len(sample):
+        sample = np.array([r.vector for r in whole.select("vector").limit(1).collect()])
     fitted = Curves(sample, curves, dims, seed)
     reach = max(math.ceil(fit_share(fitted, sample, k, target_recall) * n), 4 * k)
+    step = max(float(np.abs(sample).max()), 1e-300) / 127
+    ranges = max(1, math.ceil(width(spark) / curves))
+    cuts = [np.sort(fitted.keys(sample, c))[(np.arange(1, ranges) * len(sample)) // ranges] for c in range(curves)]
 
     indexed = least_copies(whole.select("id", "vector"), k + 1).withColumn("asks", F.lit(False))
     both = indexed.union(whole.where("asks").select("id", "vector", "asks")).withColumn("holds", ~F.col("asks"))
@@ -119,16 +131,19 @@ def nearest_neighbours(rows: DataFrame, is_query, id_col: str, vector_col: str,
         for pdf in batches:
             if len(pdf):
                 matrix = np.array(pdf["vector"].tolist(), dtype=np.float64)
+                codes = np.clip(np.rint(matrix / step), -127, 127).astype(np.int8)
+                coded = pdf.drop(columns="vector").assign(code=[row.tobytes() for row in codes])
                 for c in range(curves):
-                    yield pdf.assign(curve=np.int32(c), key=fitted.keys(matrix, c))
+                    keys = fitted.keys(matrix, c)
+                    part = c * ranges + np.searchsorted(cuts[c], keys, side="right")
+                    yield coded.assign(curve=np.int32(c), part=part.astype(np.int32), key=keys)
 
-    placed = both.mapInPandas(along_curves, "id long, vector array<double>, asks boolean, holds boolean, curve int, key long")
-    ordered = placed.repartitionByRange(width(spark), "curve", "key", "id").sortWithinPartitions("curve", "key", "id", "holds")
-    ordered = ordered.withColumns({"part": F.spark_partition_id(), "pos": F.monotonically_increasing_id()})
-    ordered = store(ordered, "curves")
+    placed = both.mapInPandas(along_curves, "id long, asks boolean, holds boolean, code binary, curve int, part int, key long")
+    ordered = placed.repartition(curves * ranges, "part").sortWithinPartitions("part", "key", "id", "holds")
+    ordered = store(ordered.select("curve", "part", "id", "code", "asks", "holds").withColumn("pos", F.monotonically_increasing_id()), "curves")
     parts = ordered.groupBy("curve", "part").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
     starts, before = [], {}
-    for r in sorted(parts.collect()):  # a few rows for each partition
+    for r in sorted(parts.collect()):  # a row for each range of each curve
         starts.append((r["curve"], r.part, before.get(r["curve"], 0) - r["first"]))
         before[r["curve"]] = before.get(r["curve"], 0) + r.n
     starts = spark.createDataFrame(starts, "curve int, part int, shift long")
@@ -137,31 +152,29 @@ def nearest_neighbours(rows: DataFrame, is_query, id_col: str, vector_col: str,
     held = ranked.where("holds").withColumn("block", F.floor(F.col("place") / BLOCK_ROWS))
     first, last = F.floor((F.col("place") - reach) / BLOCK_ROWS), F.floor((F.col("place") + reach) / BLOCK_ROWS)
     asked = ranked.where("asks").withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("curve", "block", "id", "place", "vector")))
+    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("curve", "block", "id", "place", "code")))
+    chosen = 3 * k  # by the codes, of each window and of each query
 
-    def rerank(blocks, queries):
-        ids, places = blocks["id"].to_numpy(), blocks["place"].to_numpy()
+    def choose(blocks, queries):
         found = []
         if len(blocks) and len(queries):
-            order = np.argsort(places)
-            ids, places = ids[order], places[order]
-            matrix = np.array(blocks["vector"].tolist(), dtype=np.float64)[order]
-            for query, place, own in zip(queries["q_vector"], queries["q_place"], queries["q_id"], strict=True):
+            order = np.argsort(blocks["place"].to_numpy())
+            ids, places = blocks["id"].to_numpy()[order], blocks["place"].to_numpy()[order]
+            matrix = np.frombuffer(b"".join(blocks["code"]), dtype=np.int8).reshape(len(blocks), length)[order].astype(np.float32)
+            for query, place, own in zip(queries["q_code"], queries["q_place"], queries["q_id"], strict=True):
                 low, high = np.searchsorted(places, (place - reach, place + reach + 1))
-                distance = np.sqrt(((matrix[low:high] - np.asarray(query, dtype=np.float64)) ** 2).sum(axis=1))
+                distance = ((matrix[low:high] - np.frombuffer(query, dtype=np.int8)) ** 2).sum(axis=1)
                 near = ids[low:high]
                 distance, near = distance[near != own], near[near != own]
-                if len(near) > k:
-                    edge = np.partition(distance, k - 1)[k - 1]
-                    distance, near = distance[distance <= edge], near[distance <= edge]
-                first = np.lexsort((near, distance))[:k]
-                found.append(pd.DataFrame({"query_id": own, "id": near[first], "score": distance[first]}))
+                first = np.lexsort((near, distance))[:chosen] if len(near) <= chosen else np.argpartition(distance, chosen - 1)[:chosen]
+                found.append(pd.DataFrame({"query_id": own, "id": near[first], "score": distance[first].astype(np.float64)}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
-    pairs = (
-        held.select("curve", "block", "id", "place", "vector")
-        .groupBy("curve", "block")
-        .cogroup(asked.groupBy("q_curve", "q_block"))
-        .applyInPandas(rerank, "query_id long, id long, score double")
-    )
-    return best_per_query(pairs, [F.col("score"), F.col("id")], k)
+    near = held.select("curve", "block", "id", "place", "code").groupBy("curve", "block").cogroup(asked.groupBy("q_curve", "q_block"))
+    near = near.applyInPandas(choose, "query_id long, id long, score double").groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    pairs = best_per_query(near, [F.col("score"), F.col("id")], chosen).select("query_id", "id")
+    asking = whole.where("asks").select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
+    exact = pairs.join(asking, "query_id").join(indexed.select("id", "vector"), "id")
+    squares = F.zip_with(F.col("asked").cast("array<double>"), F.col("vector").cast("array<double>"), lambda a, b: (a - b) * (a - b))
+    exact = exact.withColumn("score", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)))
+    return best_per_query(exact.groupBy("query_id", "id").agg(F.min("score").alias("score")), [F.col("score"), F.col("id")], k)

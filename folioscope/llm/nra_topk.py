@@ -1,13 +1,14 @@
 """Exact top-k inner products by aggregation without random access.
 
 Each component is a list of (row, value) sorted by value. For a query, every list is read in turn from
-its good end; every row has a lower and an upper bound on its score, from what was read of it and from
-the lists' worst values and frontiers. Reading stops when only few rows can still reach the k-th
-best lower bound; the scores of those few are then resolved. Queries of a chunk read together, so the
-bounds of all of them are matrix products.
-
-The table is dealt into blocks with lists of their own, every block answers every query, and the
-blocks' best rows are merged. Blocks and query chunks are both bounded, so is the memory of a task.
+its good end, the high one for a positive weight, the low one for a negative, in steps of equal depth. Every row
+has a score of what was read of it, and bounds on what was not: the list's worst value from below, the
+place the reading has come to from above. Reading stops for a query when few rows are left whose upper bound
+reaches the k-th best score known so far; only those rows' final scores are then resolved.
+
+The table is dealt into blocks with lists of their own. A first block answers every query; its k-th best
+scores are the bars that the other blocks start from, so most of their rows fall out before the lists end.
+The blocks' best rows are merged. Blocks and query chunks are both bounded, so is the memory of a task.
 """
 
 from __future__ import annotations
@@ -19,62 +20,72 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.storage import store
 from folioscope.llm.vectors import best_per_query, finite, least_copies
 
 BLOCK_ROWS = 8192
 CHUNK_QUERIES = 1024
-DEPTHS = (4, 2)  # lists are read down to 1/4, then 1/2 of a block's rows, then to their ends
-FEW = 64
+TOGETHER = 256  # queries that read together
+STEPS = 16  # in which the lists are read to their ends
+FEW = 64  # rows that may be left when reading stops, or this part of a block
+PART = 32
 
 
 class SortedLists:
-    """The sorted lists of one block of distinct integer vectors, for many queries at a time."""
+    """The sorted lists of one block of distinct integer vectors, for many queries at a time.
 
-    def __init__(self, matrix: np.ndarray):
-        self.matrix = matrix
-        self.sorted = np.sort(matrix, axis=0)
+    entries counts what the queries have read: one for each entry of a list that a query's reading passed.
+    """
 
-    def _bounds(self, high: np.ndarray, low: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (rows x queries) once every list is read to this depth.
+    def __init__(self, matrix: np.ndarray):
+        self.matrix = matrix.astype(np.float64)
+        self.order = np.argsort(matrix, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.matrix, self.order, axis=0)
+        self.entries = 0
 
-        high and low hold the positive and the negative weights: a positive weight's list is read from its
-        high end. What is read counts exactly, what is not counts as the list's worst value for the lower
-        and as its frontier for the upper bound.
-        """
-        rows = len(self.matrix)
-        top, bottom = self.sorted[rows - depth], self.sorted[depth - 1]
-        least, most = self.sorted[0], self.sorted[-1]
-        seen_top, seen_bottom = self.matrix >= top, self.matrix <= bottom
-        as32 = lambda x: np.ascontiguousarray(x, dtype=np.float32)
-        lower = as32((self.matrix - least) * seen_top) @ high + as32((self.matrix - most) * seen_bottom) @ low
-        upper = as32((self.matrix - top) * seen_top) @ high + as32((self.matrix - bottom) * seen_bottom) @ low
-        return lower + (as32(least) @ high + as32(most) @ low), upper + (as32(top) @ high + as32(bottom) @ low)
-
-    def survivors(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query the row numbers that can be among the k best; all others certainly are not."""
+    def _read(self, scores: np.ndarray, unread: tuple, high: np.ndarray, low: np.ndarray, start: int, stop: int) -> None:
+        """Adds the entries from depth start to stop of every list's both ends to the scores (rows x queries)."""
         rows = len(self.matrix)
+        for j in range(self.matrix.shape[1]):
+            for side, weights, part in ((0, high[j], slice(rows - stop, rows - start)), (1, low[j], slice(start, stop))):
+                own = self.order[part, j]
+                unread[side][own, j] = 0.0
+                if weights.any():
+                    scores[own] += self.values[part, j][:, None] * weights
+
+    def survivors(self, queries: np.ndarray, k: int, bars: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each query the row numbers that can be among its k best and reach its bar; no other can."""
+        bars = np.full(len(queries), -np.inf) if bars is None else bars
+        out: list[np.ndarray] = []
+        for at in range(0, len(queries), TOGETHER):
+            out += self._together(queries[at : at + TOGETHER].astype(np.float64), k, bars[at : at + TOGETHER])
+        return out
+
+    def _together(self, queries: np.ndarray, k: int, bars: np.ndarray) -> list[np.ndarray]:
+        rows, lists = self.matrix.shape
         out = [np.arange(rows)] * len(queries)
         if rows <= max(k, FEW):
             return out
-        still = np.arange(len(queries))
-        # Bounds are single-precision sums of integers; slack covers their rounding.
-        size = np.abs(self.matrix).max(axis=0).astype(np.float64)
-        for part in DEPTHS:
-            own = queries[still].T.astype(np.float32)
-            lower, upper = self._bounds(np.maximum(own, 0), np.minimum(own, 0), max(1, rows // part))
-            slack = 1 + 1e-6 * (np.abs(queries[still]) @ size) * self.matrix.shape[1]
-            bar = np.partition(lower, rows - k, axis=0)[rows - k] - 2 * slack
-            alive = upper >= bar
-            few = alive.sum(axis=0) <= FEW
-            for i in np.flatnonzero(few):
+        still, barred = np.arange(len(queries)), bool(np.isfinite(bars).all())  # bars of a whole block are above lower bounds
+        high, low = np.maximum(queries.T, 0), np.minimum(queries.T, 0)
+        scores, unread = np.zeros((rows, len(queries))), (np.ones((rows, lists)), np.ones((rows, lists)))
+        few, read = max(FEW, rows // PART), 0
+        for depth in sorted({-(-rows * step // STEPS) for step in range(1, STEPS + 1)}):
+            self._read(scores, unread, high, low, read, depth)
+            self.entries += (depth - read) * lists * len(still)
+            read = depth
+            upper = scores + unread[0] @ (self.values[rows - depth][:, None] * high) + unread[1] @ (self.values[depth - 1][:, None] * low)
+            if not barred:
+                lower = scores + unread[0] @ (self.values[0][:, None] * high) + unread[1] @ (self.values[-1][:, None] * low)
+                bars = np.maximum(bars, np.partition(lower, rows - k, axis=0)[rows - k])
+            alive = upper >= bars - 0.5  # scores are integers
+            done = (alive.sum(axis=0) <= few) | (depth == rows)
+            for i in np.flatnonzero(done):
                 out[still[i]] = np.flatnonzero(alive[:, i])
-            still = still[~few]
-            if not len(still):
-                return out
-        exact = self.matrix.astype(np.float64) @ queries[still].T.astype(np.float64)
-        bar = np.partition(exact, rows - k, axis=0)[rows - k]
-        for i, query in enumerate(still):
-            out[query] = np.flatnonzero(exact[:, i] >= bar[i] - 0.5)
+            if done.all():
+                break
+            if done.any():
+                still, bars, scores, high, low = still[~done], bars[~done], scores[:, ~done], high[:, ~done], low[:, ~done]
         return out
 
 
@@ -96,8 +107,9 @@ def top_inner_products(rows: DataFrame, is_query, id_col: str, vector_col: str,
 
     Ties go to smaller ids; a row is no result of its own id; with k candidates or fewer all are returned.
     Vectors that are null or hold null or non-finite components take no part, neither do null ids; of
-    vectors of different lengths the missing components count as zero. Zero vectors take part. Of rows that
-    repeat an id and a vector one counts; an empty table gives an empty result.
+    vectors of different lengths the missing components count as zero. Zero vectors take part. Rows that
+    repeat an id count once, with their best score; other columns don't matter; an empty table gives an empty
+    result. Products of components are exact while scores stay below 2 ** 53.
     """
     vector = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(scale * x))
     whole = rows.where(F.col(id_col).isNotNull() & finite(F.col(vector_col)))
@@ -107,10 +119,13 @@ def top_inner_products(rows: DataFrame, is_query, id_col: str, vector_col: str,
     chunks = max(1, math.ceil(size.q / CHUNK_QUERIES))
     length = max(size.length or 0, 1)
 
+    if not size.q:
+        return rows.sparkSession.createDataFrame([], f"query_id {whole.schema['id'].dataType.simpleString()}, rank int, id {whole.schema['id'].dataType.simpleString()}, score long")
+
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = least_copies(whole.select("id", "vector"), k + 1).select("id", "vector", deal(blocks).alias("block"), every(chunks).alias("chunk"))
-    asked = whole.where("asks").select("id", "vector", every(blocks).alias("block"), deal(chunks).alias("chunk"))
+    held = least_copies(whole.select("id", "vector"), k + 1).select("id", "vector", deal(blocks).alias("block"))
+    asked = whole.where("asks").select(F.col("id").alias("q_id"), F.col("vector").alias("q_vector"), deal(chunks).alias("q_chunk"))
 
     def matrix_of(vectors) -> np.ndarray:
         out = np.zeros((len(vectors), length), dtype=np.int64)
@@ -125,14 +140,26 @@ def top_inner_products(rows: DataFrame, is_query, id_col: str, vector_col: str,
             order = np.lexsort((block["id"], which.ravel()))
             cuts = np.searchsorted(which.ravel()[order], np.arange(1, len(distinct)))
             ids = np.split(block["id"].to_numpy()[order], cuts)
-            queries = matrix_of(chunk["vector"])
-            left = SortedLists(distinct).survivors(queries, k + 1)
-            for own, query, alive in zip(chunk["id"], queries, left, strict=True):
+            queries = matrix_of(chunk["q_vector"])
+            left = SortedLists(distinct).survivors(queries, k + 1, chunk["bar"].to_numpy(dtype=np.float64))
+            for own, query, alive in zip(chunk["q_id"], queries, left, strict=True):
                 near, scores = _answer(ids, distinct, alive, own, query, k)
                 out["query_id"] += [own] * len(near)
                 out["id"] += near
                 out["score"] += scores
         return pd.DataFrame(out)
 
-    pairs = held.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(answer, "query_id long, id long, score long")
-    return best_per_query(pairs, [F.desc("score"), F.col("id")], k)
+    def search(held: DataFrame, asked: DataFrame, first: int, last: int) -> DataFrame:
+        """The best rows of blocks first to last for every query."""
+        left = held.where(F.col("block").between(first, last)).withColumn("chunk", every(chunks)).groupBy("block", "chunk")
+        right = asked.withColumn("q_block", F.explode(F.sequence(F.lit(first), F.lit(last)))).groupBy("q_block", "q_chunk")
+        return left.cogroup(right).applyInPandas(answer, "query_id long, id long, score long")
+
+    best = lambda found: best_per_query(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), [F.desc("score"), F.col("id")], k)
+    start = search(held, asked.withColumn("bar", F.lit(float("-inf"))), 0, 0)
+    if blocks == 1:
+        return best(start)
+    start = store(best(start), "first-block")
+    bars = start.where(F.col("rank") == k).select(F.col("query_id").alias("q_id"), F.col("score").cast("double").alias("bar"))
+    barred = asked.join(bars, "q_id", "left").fillna(float("-inf"), ["bar"])
+    return best(start.select("query_id", "id", "score").union(search(held, barred, 1, blocks - 1)))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -29,7 +30,10 @@ from folioscope.llm.fm_index import suffix_array
 
 SPACE = "▁"
 CUT = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHED_CUTS = 600_000
+CACHED_CUTS = 300_000
+CACHED_LENGTH = 64  # longer cuts are not kept between batches
+PART_BYTES = 2_000_000  # of text encoded at a time
+INDEXED_CHARS = 1_000_000  # of cuts in one suffix array, unless one cut is longer
 NEVER = np.iinfo(np.int64).max
 
 
@@ -85,15 +89,35 @@ class Merges:
         return self.pieces[i].replace(SPACE, " ").encode() if self.pieces[i] in self.ids else b""
 
     def merge(self, text: str, stop: bool = False) -> list[str]:
-        """Plain merging, best score first and leftmost among equals; with stop the last two parts stay apart."""
-        parts = list(text)
-        while len(parts) > (2 if stop else 1):
-            best = max(((self.scores[parts[i] + parts[i + 1]], -i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in self.scores), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        """Plain merging, best score first and leftmost among equals; with stop the last two parts stay apart.
+
+        Pairs wait in a heap, parts are linked to their neighbours, so the time is n log n.
+        """
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def wait(i: int) -> None:
+            if i >= 0 and after[i] < len(parts):
+                whole = parts[i] + parts[after[i]]
+                if whole in self.scores:
+                    heappush(heap, (-self.scores[whole], i, whole))
+
+        for i in range(len(parts) - 1):
+            wait(i)
+        left = len(parts)
+        while heap and left > (2 if stop else 1):
+            _, i, whole = heappop(heap)
+            if parts[i] is None or after[i] >= len(parts) or parts[i] + parts[after[i]] != whole:
+                continue
+            j = after[i]
+            parts[i], parts[j], after[i] = whole, None, after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            left -= 1
+            wait(before[i])
+            wait(i)
+        return [p for p in parts if p is not None]
 
     def spell(self, part: str) -> list[int]:
         """Ids of a piece, or of the bytes of a character that is none."""
@@ -229,15 +253,28 @@ class SuffixEncoder:
                 split.append(text.split(" ") if text else [])
         new = list({c for cuts in split for c in cuts} - known.keys())
         single = [c for c in new if not c.startswith(SPACE)]
-        fresh = dict(zip(single, self._single([SPACE + c for c in single]), strict=True)) if single else {}
+        fresh: dict[str, bytes] = {}
+        sizes = np.cumsum([len(c) + 1 for c in single])
+        at = 0
+        while at < len(single):
+            to = max(at + 1, int(np.searchsorted(sizes, (int(sizes[at - 1]) if at else 0) + INDEXED_CHARS, side="right")))
+            fresh.update(zip(single[at:to], self._single([SPACE + c for c in single[at:to]]), strict=True))
+            at = to
         fresh |= {c: self._several(c) for c in new if c.startswith(SPACE)}
         if len(known) + len(fresh) > CACHED_CUTS:
             known = fresh | {c: known[c] for cuts in split for c in cuts if c in known}
         else:
-            known |= fresh
+            known.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHED_LENGTH)
+            known = known | {c: ids for c, ids in fresh.items() if len(c) > CACHED_LENGTH} if any(len(c) > CACHED_LENGTH for c in fresh) else known
         return [b"".join(map(known.__getitem__, cuts)) for cuts in split]
 
 
+@cache
+def _encoder(path: str) -> SuffixEncoder:
+    """One for each worker process, so that the cuts it knows serve all of its tasks."""
+    return SuffixEncoder(path)
+
+
 def _model(path: str | None) -> str:
     return path or public_tokenizers.path("piece_bpe_32k.model")
 
@@ -245,15 +282,17 @@ def _model(path: str | None) -> str:
 def encode_texts(docs: DataFrame, text: str = "text", model_path: str | None = None) -> DataFrame:
     """Adds ids, array<int>, to docs: the SentencePiece ids of each whole text; a null text has null ids.
 
-    An empty text has no ids. Equal texts get equal ids; other columns stay; a column named ids is replaced.
+    An empty text has no ids. Equal texts and repeated rows get equal ids; very long texts are taken whole, in
+    time about proportional to their length; other columns stay; a column named ids is replaced; an empty table
+    gives an empty result.
     """
     path, kept = _model(model_path), docs.drop("ids")
     place = kept.columns.index(text)
 
     def encode(batches):
-        encoder = SuffixEncoder(path)
+        encoder = _encoder(path)
         for batch in batches:
-            for part in slices(batch, text, 16_000_000):
+            for part in slices(batch, text, PART_BYTES):
                 texts = part.column(place).to_pylist()
                 found = encoder.encode([t or "" for t in texts])
                 bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
@@ -288,7 +327,11 @@ def decode_ids(rows: DataFrame, ids: str = "ids", model_path: str | None = None)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, round_trip): digests of the encoding, and whether decoding gives the text back."""
+    """(doc_id, n_ids, ids_crc32, round_trip): digests of the encoding, and whether decoding gives the text back.
+
+    A null text counts as empty; every row gives one row, null and repeated doc_ids included; other columns don't
+    matter; an empty table gives an empty result.
+    """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     both = decode_ids(encode_texts(texts))
     joined = F.array_join("ids", ",")

@@ -24,7 +24,7 @@ def least_copies(vectors: DataFrame, copies: int) -> DataFrame:
 
 
 def best_per_query(found: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """(query_id, rank int from 1, id, score): the first k of each query; a pair counts once."""
+    """(query_id, rank int from 1, id, score): the first k of each query; found holds each pair once."""
     by_query = Window.partitionBy("query_id").orderBy(*order)
-    ranked = found.dropDuplicates(["query_id", "id"]).withColumn("rank", F.row_number().over(by_query).cast("int"))
+    ranked = found.withColumn("rank", F.row_number().over(by_query).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -10,8 +10,8 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from folioscope.llm.packing import complete_bin, pack_documents, pack_lengths
-from folioscope.llm.suffix_tokens import decode_ids, encode_texts
+from folioscope.llm.packing import Packing, WordEncoder, complete_bin, least_sequences, pack_documents, pack_lengths
+from folioscope.llm.suffix_tokens import SuffixEncoder, decode_ids, encode_texts, round_trip
 
 ODD = [
     None, "", " ", "  ", "a", "a  b", "  lead", "trail  ", "é é ﬁ ①Å 日本 \u0001x", "▁x", "x▁y", "　x", "\r\n\r x", "x\ty\nz\n\nq   w", "日本語のテキスト、長い文。" * 30,
@@ -74,3 +74,47 @@ def test_pack_lengths_uses_every_piece():
         for length, n in pattern:
             used[length] += n * times
     assert used == histogram
+
+
+def test_added_tokens():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), WordEncoder(path)
+    for text in ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "x<|endoftext|>Y", "<|StartOfText|>", "Plain <| b"]:
+        assert np.frombuffer(encoder.encode([text])[0], dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_completion_meets_the_bound(seed):
+    rng = random.Random(seed)
+    histogram = collections.Counter()
+    for _ in range(18):  # triples that fill sequences exactly
+        a, b = rng.randrange(1100, 1700), rng.randrange(900, 1600)
+        histogram.update([a, b, 4096 - a - b])
+    packing = Packing(histogram, 4096, None)
+    assert (packing.count, packing.gap) == (18, 0)
+    used = collections.Counter()
+    for times, pattern in packing.best:
+        assert sum(length * number for length, number in pattern) <= 4096
+        used.update({length: number * times for length, number in pattern})
+    assert used == histogram
+
+
+def test_search_improves_on_best_fit():
+    histogram = {6: 2, 5: 2, 4: 2, 3: 2, 2: 1}  # two sequences' worth of waste is easily made here
+    packing = Packing(histogram, 10, None)
+    assert packing.count == least_sequences(histogram, 10) == 4
+
+
+def test_long_cuts():
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    encoder = SuffixEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    for text in ["ab   " + "xyzé" * 5000 + "   a  b ", "q" * 20000]:
+        assert np.frombuffer(encoder.encode([text])[0], dtype="<i4").tolist() == model.encode(text)
+
+
+def test_empty_tables_and_other_columns(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, piece string, _rank string")
+    assert pack_documents(empty).count() == 0
+    assert encode_texts(empty).count() == 0 and round_trip(empty).count() == 0
+    one = spark.createDataFrame([(None, None, "x", "y"), (1, "a b", "x", "y"), (1, "a b", "x", "y")], empty.schema)
+    assert sorted((r.doc_id or 0, r.length) for r in pack_documents(one).collect()) == [(0, 1), (1, 3), (1, 3)]

@@ -3,8 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from folioscope.llm import nra_topk
 from folioscope.llm.hilbert_ann import nearest_neighbours
-from folioscope.llm.nra_topk import top_inner_products
+from folioscope.llm.nra_topk import SortedLists, top_inner_products
+from folioscope.llm.vector_queries import op5_hilbert_ann
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -31,6 +33,52 @@ def test_top_inner_products(spark):
     assert got == expected
 
 
+def brute(data, every, k):
+    q = np.floor(256 * data).astype(np.int64)
+    out = set()
+    for i in range(0, len(data), every):
+        scores = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(len(data)), -scores)) if j != i][:k]
+        out |= {(i, n + 1, int(j), int(scores[j])) for n, j in enumerate(order)}
+    return out
+
+
+def test_blocks_share_bars(spark, monkeypatch):
+    monkeypatch.setattr(nra_topk, "BLOCK_ROWS", 150)
+    data, df = table(spark, 700, 16)
+    got = top_inner_products(df, F.col("vec_id") % 50 == 0, "vec_id", "embedding").collect()
+    assert {(r.query_id, r.rank, r.id, r.score) for r in got} == brute(data, 50, 5)
+
+
+def test_reading_stops_before_the_lists_end():
+    rng = np.random.default_rng(2)
+    data = np.floor(256 * rng.normal(size=(2000, 8))).astype(np.int64)
+    queries = data[:40]
+    lists = SortedLists(data)
+    left = lists.survivors(queries, 6)
+    assert lists.entries < 0.8 * 40 * data.size
+    bars = np.array([np.sort(data @ q)[-6] for q in queries], dtype=np.float64)
+    barred = SortedLists(data)
+    fewer = barred.survivors(queries, 6, bars)
+    assert barred.entries < lists.entries
+    for q, rows, short in zip(queries, left, fewer, strict=True):
+        assert set(np.argsort(data @ q)[-6:]) <= set(rows)
+        assert set(np.flatnonzero(data @ q >= np.sort(data @ q)[-6])) <= set(short)
+
+
+def test_queries_on_the_given_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    data = {r.vec_id: np.array(r.embedding, dtype=np.float64) for r in rows if r.embedding is not None and np.isfinite(np.array(r.embedding, dtype=np.float64)).all()}
+    ids, matrix = np.array(sorted(data)), np.array([data[i] for i in sorted(data)])
+    got = op5_hilbert_ann(spark, "/root/testdata/sf0.01").collect()
+    hits = total = 0
+    for i in ids[ids % 100 == 0]:
+        distance = np.sqrt(((matrix - data[i]) ** 2).sum(axis=1))
+        best = [int(j) for j in ids[np.lexsort((ids, distance))] if j != i][:10]
+        hits, total = hits + len(set(best) & {r.vec_id for r in got if r.query_id == i}), total + 10
+    assert hits / total >= 0.9
+
+
 def test_nearest_neighbours(spark):
     data, df = table(spark, 1500, 16)
     got = nearest_neighbours(df, F.col("vec_id") % 100 == 0, "vec_id", "embedding").collect()
