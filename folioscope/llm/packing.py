@@ -6,7 +6,7 @@ have each length: a table with at most as many rows as the capacity, however lar
 Bin completion works on that table: a descent by best fit gives the first incumbent. While it has more
 sequences than a lower bound, a branch and bound goes over the undominated fillings around the longest piece
 left, prunes by the waste that a packing with one sequence less may have, and keeps what it finds as the new
-incumbent; it ends at the bound, or after a budget of steps (None: at the least number). A filling is used
+incumbent; it ends at the bound, or after a budget of nodes (None: at the least number). A filling is used
 for as many sequences as the counts allow. Spark then numbers the pieces of each length and joins them to their places.
 """
 
@@ -31,7 +31,7 @@ from folioscope.llm.storage import store
 CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 800_000
-BUDGET = 5_000  # steps of the search for fewer sequences than the first packing's
+BUDGET = 100_000  # nodes of the search for fewer sequences than the first packing's
 ENDINGS = frozenset(".,;:!?")  # one pre-token of their own after a word of letters
 WORD_END = "</w>"
 DOTTED_I = "\u0130"  # lower-cased to a letter and a mark
@@ -163,7 +163,7 @@ def least_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
     return best
 
 
-def fillings(lengths: list[int], counts: list[int], room: int, waste: int, most: int) -> tuple[list[tuple[int, tuple]], bool]:
+def fillings(lengths: list[int], counts: list[int], room: int, waste: int, most: int) -> tuple[list[tuple[int, tuple]], bool, int]:
     """Undominated fillings of room that leave at most waste of it, as (left, ((length, number), ...)), best fit first.
 
     lengths descend, counts go with them. A filling is dominated if another piece still fits, or if a piece or
@@ -204,7 +204,7 @@ def fillings(lengths: list[int], counts: list[int], room: int, waste: int, most:
 
     whole = branch(0, room, ())
     found.sort(key=lambda x: (x[0], sum(n for _, n in x[1])))
-    return found, whole
+    return found, whole, 64 * most - steps
 
 
 class Packing:
@@ -213,7 +213,7 @@ class Packing:
     Each step fills the sequence of the longest piece left, by the undominated fillings that waste no more than a
     packing with one sequence less than the incumbent could; a filling is used as often as the counts allow, or once.
     The first descent takes the best fit everywhere and gives the first incumbent. The search ends when the
-    incumbent meets the lower bound, when all is searched, or after budget steps; ``gap`` is then what is left
+    incumbent meets the lower bound, when all is searched, or after budget nodes; ``gap`` is then what is left
     between the incumbent and the bound. Without a budget it goes on to the least number of sequences.
     """
 
@@ -271,8 +271,9 @@ class Packing:
             now[start] -= 1
             room = self.capacity - longest
             at = [i for i in range(start, len(now)) if now[i] and self.lengths[i] <= room]
-            found, all_ = fillings([self.lengths[i] for i in at], [now[i] for i in at], room, allowed, 8 * width)
+            found, all_, nodes = fillings([self.lengths[i] for i in at], [now[i] for i in at], room, allowed, 8 * width)
             whole &= all_ and len(found) <= width
+            self.steps += nodes + len(now) // 64
             now[start] += 1
             out = []
             for waste, filling in found[:width]:
@@ -285,7 +286,7 @@ class Packing:
                     out.append((waste, 1, pattern))
             return out
 
-        limit = self.steps + 200 * width if budget is None else min(budget, self.steps + max(1000, budget // 4))
+        limit = self.steps + 20_000 * width if budget is None else min(budget, self.steps + max(1000, budget // 4))
         allowed = (self.count - 1) * self.capacity - self.total
         stack = [(counts, allowed, iter(options(counts, allowed)), [])]
         while stack:

@@ -29,45 +29,75 @@ STRICT = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": rf"(?<![{LOCAL}])[{LOCAL}]++\x20?(?:\(at\)|\[at\]|\{{at\}})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{{dot\}})\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}+(?![0-9])",
-    "phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": rf"(?<![{LOCAL}])[{LOCAL}]++\x20?(?:\(at\)|\[at\]|\{{at\}}|\x20at\x20|\x20@\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{{dot\}}|\x20dot\x20)\x20?[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::[0-9A-Fa-f]{1,4}){0,5}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9])[0-9]{1,3}(?:\[\.\]|\(\.\)|\x20?\[dot\]\x20?)[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\x20?\[dot\]\x20?)[0-9]{1,3}){2}(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}+(?![0-9])|(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?<![0-9+])00[1-9][0-9]{0,2}(?:[\x20.()-]{1,2}[0-9]{2,4}){2,4}(?![0-9])",
 }
 #: What a text must hold for the pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-LOOSE_NEEDS = {"email": "at", "ip": ":", "card": "", "phone": ""}
-#: Fixed word lists of the gazetteer and the context labelers.
-TOP_DOMAINS = ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "nl", "uk", "eu", "us", "ca", "au", "jp", "in", "br"]
+LOOSE_NEEDS = {"email": "", "ip": "", "card": "", "phone": ""}
+#: The gazetteer's default tables; with_candidates takes others. Top domains of addresses, first digits of card
+#: issuers, calling codes after + or 00, and first groups of addresses in use.
+GAZETTEER = {
+    "email": ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "nl", "uk", "eu", "us", "ca", "au", "jp", "in", "br"],
+    "card": ["2[2-7]", "3[4-7]", "4", "5[0-8]", "6[0-9]"],
+    "phone": ["1", "20", "27", "3[0-469]", "4[013-9]", "5[1-8]", "6[0-6]", "7", "8[1246]", "9[0-58]", "[2-9][0-9]{2}"],
+    "ip": ["[1-9]", "[1-9][0-9]", "1[0-9]{2}", "2[0-3][0-9]", "2[0-9a-fA-F]{3}:.*", "3[0-9a-fA-F]{3}:.*", "f[cdeCDE][0-9a-fA-F]{2}:.*"],
+}
+#: Fixed word lists of the context labelers.
 CUES = {
-    "email": ["mail", "contact", "write", "correo", "courriel"],
-    "ip": ["ip", "host", "server", "address", "login"],
+    "email": ["mail", "contact", "write", "correo", "courriel", "reach"],
+    "ip": ["ip", "host", "server", "address", "login", "ping"],
     "card": ["card", "visa", "master", "credit", "pay", "karte", "tarjeta", "carte"],
-    "phone": ["phone", "tel", "call", "fax", "mobile", "cell"],
+    "phone": ["phone", "tel", "call", "fax", "mobile", "cell", "dial"],
 }
-AGAINST = ["version", "section", "isbn", "issn", "chapter", "figure", "table", "order", "page"]
+AGAINST = ["version", "section", "isbn", "issn", "chapter", "figure", "table", "order", "page", "serial", "doi"]
 LABELERS = ["strict", "bounded", "gazetteer", "cue", "against", "valid"]
 ROUNDS = 15
 BEFORE = 32  # code points of context
 LIKELY = 0.9
+FEATURE_VALUES = 10  # of a feature, for smoothing
 
 SPAN = "struct<kind:string,start:int,end:int,base:boolean>"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _matches(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<start, end, m>>: all matches with their code point offsets."""
+    """array<struct<start, end, m>>: all matches with their code point offsets.
+
+    Offsets are running sums. They are taken over blocks of about the root of the number of matches, and then within
+    each block, so that a text with very many matches isn't copied once for each of them.
+    """
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.expr("CAST(array() AS array<struct<start:int,end:int,m:string>>)")
+    pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda part, m: F.struct(F.length(part).alias("gap"), m.alias("m")))
+
+    def blocks(pairs):
+        side = F.greatest(F.ceil(F.sqrt(F.size(pairs))).cast("int"), F.lit(1))
+        last = F.greatest(F.ceil(F.size(pairs) / side).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(pairs, i * side + 1, side))
 
-    def step(state, x):
-        start = state["at"] + F.length(x["part"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))).alias("out"))
+    def starts(blocks):
+        begin = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
+        width = lambda block: F.aggregate(block, F.lit(0), lambda sum_, x: sum_ + x["gap"] + F.length(x["m"]))
+        ahead = F.aggregate(blocks, begin, lambda state, block: F.struct((state["at"] + width(block)).alias("at"), F.array_append(state["out"], state["at"]).alias("out")))["out"]
+        return F.flatten(F.zip_with(blocks, ahead, placed))
+
+    def placed(block, at):
+        def step(state, x):
+            start = state["at"] + x["gap"]
+            end = start + F.length(x["m"])
+            return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)["out"]
 
-    pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda part, m: F.struct(part.alias("part"), m.alias("m")))
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
     tried = text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
-    return F.when(tried, folded).otherwise(none)
+    return F.when(tried, _let(_let(pairs, blocks), starts)).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -99,43 +129,44 @@ def _plausible(kind: str, m: Column) -> Column:
     """The validity labeler: of candidates that need not be base spans."""
     digits = _digits(m)
     if kind == "ip":
-        return F.when(m.contains(":"), F.lit(True)).otherwise(_valid("ip", m))
+        return F.when(m.contains(":"), F.size(F.split(m, ":")).between(3, 8) & (m.contains("::") | (F.size(F.split(m, ":")) == 8))).otherwise(_valid("ip", F.regexp_replace(m, r"\x20?[\[(](?:\.|dot)[\])]\x20?", ".")))
     if kind == "card":
         return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(8, 15) & (F.length(F.regexp_replace(digits, F.substr(digits, F.lit(1), F.lit(1)), F.lit(""))) > 2)
-    return m.rlike(r"[A-Za-z]{2,}$")
+    return m.rlike(r"(\.|dot\W{1,2})[A-Za-z]{2,}$")
 
 
-def _gazetteer(kind: str, m: Column) -> Column:
+def _gazetteer(kind: str, m: Column, listed: list[str]) -> Column:
+    any_of = "|".join(listed)
     if kind == "email":
-        return F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(TOP_DOMAINS)
+        return F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(listed)
     if kind == "card":
-        return m.rlike("^(2[2-7]|3[4-7]|4|5[1-5]|6)")
+        return m.rlike(f"^({any_of})")
     if kind == "phone":
-        return m.rlike(r"^(\+[1-9]|\(?[2-9])")
-    return ~m.rlike("^(0|255)[.]")
+        return F.when(m.rlike(r"^(\+|00)"), m.rlike(rf"^(\+|00)\x20?\(?({any_of})")).otherwise(m.rlike(r"^\(?[2-9][0-9]{2}"))
+    return m.rlike(rf"^({any_of})([.\[(:\x20]|$)")
 
 
 def _flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def _votes(kind: str, x: Column) -> Column:
-    """1 for, 0 against, -1 no vote; in the order of LABELERS."""
+def _votes(kind: str, x: Column, listed: list[str]) -> Column:
+    """1 for, 0 against, -1 no vote; in the order of LABELERS. The strict patterns vote for what they match only."""
     before = F.lower(x["before"])
     return F.array(
-        _flag(x["base"]),
+        F.when(x["base"], 1).otherwise(-1),
         _flag(~F.substr(x["before"], F.length(x["before"]), F.lit(1)).rlike("[A-Za-z0-9]") & ~x["after"].rlike("^[A-Za-z0-9]")),
-        _flag(_gazetteer(kind, x["m"])),
+        _flag(_gazetteer(kind, x["m"], listed)),
         F.when(before.rlike(rf"\b({'|'.join(CUES[kind])})"), 1).otherwise(-1),
         F.when(before.rlike(rf"\b({'|'.join(AGAINST)})\W*$"), 0).otherwise(-1),
         _flag(_plausible(kind, x["m"])),
     )
 
 
-def _features(x: Column) -> Column:
-    """Names of the span's features: from value sets of fixed size."""
+def _features(x: Column, known: Column, plausible: Column) -> Column:
+    """Names of the span's features: from value sets of fixed size. known and plausible are votes."""
     side = lambda c: F.when(c == "", "end").when(c.rlike(r"\s"), "space").when(c.rlike(r"\p{L}"), "letter").when(c.rlike("[0-9]"), "digit").otherwise("mark")
     left = F.substr(x["before"], F.length(x["before"]), F.lit(1))
     word = F.lower(F.regexp_extract(x["before"], r"([\p{L}]+)[^\p{L}]*$", 1))
@@ -146,6 +177,8 @@ def _features(x: Column) -> Column:
         F.concat(F.lit("left "), side(left)),
         F.concat(F.lit("right "), side(F.substr(x["after"], F.lit(1), F.lit(1)))),
         F.concat(F.lit("word "), F.pmod(F.xxhash64(word), F.lit(64))),
+        F.concat(F.lit("known "), known.cast("string")),
+        F.concat(F.lit("plausible "), plausible.cast("string")),
     )
 
 
@@ -167,29 +200,30 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(_named(kind, valid(kind)) for kind in KINDS))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once however often use names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _described(text: Column, spans: Column, base: bool) -> Column:
+def _described(text: Column, spans: Column, base: bool, gazetteer: dict[str, list[str]]) -> Column:
     def votes(kind, x):
-        return reduce(lambda rest, k: F.when(kind == k, _votes(k, x)).otherwise(rest), KINDS[1:], _votes(KINDS[0], x))
+        return reduce(lambda rest, k: F.when(kind == k, _votes(k, x, gazetteer[k])).otherwise(rest), KINDS[1:], _votes(KINDS[0], x, gazetteer[KINDS[0]]))
 
     def one(m):
-        parts = lambda x: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(base).alias("base"), votes(m["kind"], x).alias("votes"), _features(x).alias("features"))
+        def parts(x):
+            known, plausible = LABELERS.index("gazetteer"), LABELERS.index("valid")
+            described = lambda v: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(base).alias("base"), v.alias("votes"), _features(x, v[known], v[plausible]).alias("features"))
+            return _let(votes(m["kind"], x), described)
+
         return _let(_context(text, m, base), parts)
 
     return F.transform(spans, one)
 
 
-def candidate_spans(text: Column) -> Column:
+def candidate_spans(text: Column, gazetteer: dict[str, list[str]] | None = None) -> Column:
     """struct<base, cands>: the base spans, and all candidates (kind, start, end, base, votes, features)."""
 
+    listed = GAZETTEER | (gazetteer or {})
+
     def with_base(base):
         looser = F.concat(*(_named(kind, _matches(text, LOOSE[kind], LOOSE_NEEDS[kind])) for kind in KINDS))
         apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return _let(F.filter(looser, apart), lambda loose: F.struct(base.alias("base"), F.concat(_described(text, base, True), _described(text, loose, False)).alias("cands")))
+        return _let(F.filter(looser, apart), lambda loose: F.struct(base.alias("base"), F.concat(_described(text, base, True, listed), _described(text, loose, False, listed)).alias("cands")))
 
     return _let(base_spans(text), with_base)
 
@@ -198,39 +232,59 @@ def _whole(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def with_candidates(docs: DataFrame) -> DataFrame:
-    """Adds _found, the candidate spans of text, where it is not there yet. Store the result to search the texts once."""
-    return docs if "_found" in docs.columns else docs.withColumn("_found", candidate_spans(_whole("text")))
+def with_candidates(docs: DataFrame, gazetteer: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adds _found, the candidate spans of text, where it is not there yet. Store the result to search the texts once.
 
+    gazetteer replaces the default table of the kinds it names: top domains (email), or patterns of how the span begins.
+    """
+    return docs if "_found" in docs.columns else docs.withColumn("_found", candidate_spans(_whole("text"), gazetteer))
+
+
+def _posterior(votes: Column, sensitivity: Column, specificity: Column, prior: Column) -> Column:
+    """Chance that a span with these votes is real, for labelers that are independent given whether it is."""
+    rates = F.zip_with(sensitivity, specificity, lambda sens, spec: F.struct(sens.alias("sens"), spec.alias("spec")))
 
-def _posterior(votes: Column, reliability: Column, prior: Column) -> Column:
-    """Chance that a span with these votes is real: labelers are independent, each right with its reliability."""
-    weigh = F.zip_with(votes, reliability, lambda v, a: F.when(v < 0, 0.0).otherwise((2 * v - 1) * F.log(a / (1 - a))))
-    return 1 / (1 + F.exp(-F.aggregate(weigh, F.log(prior / (1 - prior)), lambda a, b: a + b)))
+    def weigh(v, r):
+        return F.when(v == 1, F.log(r["sens"] / (1 - r["spec"]))).when(v == 0, F.log((1 - r["sens"]) / r["spec"])).otherwise(0.0)
+
+    return 1 / (1 + F.exp(-F.aggregate(F.zip_with(votes, rates, weigh), F.log(prior / (1 - prior)), lambda a, b: a + b)))
 
 
 def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, reliability array<double>, prior): by expectation-maximisation over vote patterns (kind, votes, n).
+    """(kind, sensitivity array<double>, specificity array<double>, prior): by expectation-maximisation over vote
+    patterns (kind, votes, n).
 
-    There are at most 3 ** labelers patterns of a kind, so a kind's patterns fit in one row.
+    A labeler has a chance to vote for a real span and one to vote against another, so one that always votes the
+    same says nothing. There are at most 3 ** labelers patterns of a kind, so a kind's patterns fit in one row.
     """
     rows = patterns.groupBy("kind").agg(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n"))).alias("seen"))
-    start = F.struct(F.array([F.lit(0.8)] * len(LABELERS)).alias("reliability"), F.lit(0.5).alias("prior"))
+    begin = F.array([F.lit(0.8)] * len(LABELERS))
+    start = F.struct(begin.alias("sensitivity"), begin.alias("specificity"), F.lit(0.5).alias("prior"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+    inside = lambda x: F.least(F.greatest(x, F.lit(0.01)), F.lit(0.99))
 
     def improve(state, _):
-        judged = F.transform("seen", lambda s: F.struct(s["votes"].alias("votes"), s["n"].alias("n"), _posterior(s["votes"], state["reliability"], state["prior"]).alias("p")))
+        p = lambda s: _posterior(s["votes"], state["sensitivity"], state["specificity"], state["prior"])
+        judged = F.transform("seen", lambda s: F.struct(s["votes"].alias("votes"), s["n"].alias("n"), p(s).alias("p")))
+
+        def better(judged):
+            def rate(j, vote, chance):
+                cast = F.filter(judged, lambda s: s["votes"][j] >= 0)
+                agree = total(F.transform(cast, lambda s: s["n"] * chance(s) * F.when(s["votes"][j] == vote, 1.0).otherwise(0.0)))
+                return inside((agree + 0.8) / (total(F.transform(cast, lambda s: s["n"] * chance(s))) + 1.0))
 
-        def one(j):
-            cast = F.filter(judged, lambda s: s["votes"][j] >= 0)
-            agree = F.transform(cast, lambda s: s["n"] * F.when(s["votes"][j] == 1, s["p"]).otherwise(1 - s["p"]))
-            return F.least(F.greatest((total(agree) + 4.0) / (total(F.transform(cast, lambda s: s["n"])) + 5.0), F.lit(0.05)), F.lit(0.99))
+            labelers = range(len(LABELERS))
+            share = (total(F.transform(judged, lambda s: s["n"] * s["p"])) + 1) / (total(F.transform(judged, lambda s: s["n"])) + 2)
+            return F.struct(
+                F.array(*(rate(j, 1, lambda s: s["p"]) for j in labelers)).alias("sensitivity"),
+                F.array(*(rate(j, 0, lambda s: 1 - s["p"]) for j in labelers)).alias("specificity"),
+                inside(share).alias("prior"),
+            )
 
-        share = (total(F.transform(judged, lambda s: s["n"] * s["p"])) + 1) / (total(F.transform(judged, lambda s: s["n"])) + 2)
-        return F.struct(F.array(*(one(j) for j in range(len(LABELERS)))).alias("reliability"), F.least(F.greatest(share, F.lit(0.01)), F.lit(0.99)).alias("prior"))
+        return _let(judged, better)
 
     fitted = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, improve)
-    return rows.select("kind", fitted.alias("fitted")).select("kind", "fitted.reliability", "fitted.prior")
+    return rows.select("kind", fitted.alias("fitted")).select("kind", "fitted.*")
 
 
 def fit(docs: DataFrame) -> DataFrame:
@@ -239,13 +293,14 @@ def fit(docs: DataFrame) -> DataFrame:
     cands = with_candidates(docs).select(F.explode_outer("_found.cands").alias("c")).where("c IS NOT NULL").select("c.kind", "c.votes", "c.features")
     counted = store(cands.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")), "votes")
     fitted = reliabilities(counted.groupBy("kind", "votes").agg(F.sum("n").alias("n")))
-    judged = counted.join(F.broadcast(fitted), "kind").withColumn("p", _posterior(F.col("votes"), F.col("reliability"), F.col("prior")))  # one row for each kind
+    chance = _posterior(F.col("votes"), F.col("sensitivity"), F.col("specificity"), F.col("prior"))
+    judged = counted.join(F.broadcast(fitted), "kind").withColumn("p", chance)  # one row for each kind
     each = judged.select("kind", F.explode(F.array_append("features", F.lit("all"))).alias("feature"), (F.col("n") * F.col("p")).alias("yes"), (F.col("n") * (1 - F.col("p"))).alias("no"))
     sums = each.groupBy("kind", "feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     whole = sums.where("feature = 'all'").select("kind", F.col("yes").alias("all_yes"), F.col("no").alias("all_no"))
-    odds = lambda yes, no: F.log((yes + 0.5) / (no + 0.5))
-    prior = odds(F.col("all_yes"), F.col("all_no"))
-    weight = F.when(F.col("feature") == "all", prior).otherwise(odds(F.col("yes"), F.col("no")) - prior)
+    share = lambda part, all_: (F.col(part) + 0.5) / (F.col(all_) + 0.5 * FEATURE_VALUES)
+    prior = F.log((F.col("all_yes") + 0.5) / (F.col("all_no") + 0.5))
+    weight = F.when(F.col("feature") == "all", prior).otherwise(F.log(share("yes", "all_yes") / share("no", "all_no")))
     table = sums.join(F.broadcast(whole), "kind").select(F.concat("kind", F.lit(" "), "feature").alias("name"), weight.alias("weight"))
     model = store(table.agg(F.map_from_entries(F.collect_list(F.struct("name", "weight"))).alias("weights")), "weights")
     drop(counted)
@@ -256,8 +311,9 @@ def find_spans(docs: DataFrame, model: DataFrame) -> DataFrame:
     """Adds spans, array<struct<kind,start,end,base>> by kind and start, to docs (text and any other columns).
 
     Offsets are code points, ends exclusive. Base spans always stay; others are added when they overlap no
-    base span and no added span before them. A null text is empty and has none. Each row stands alone, so ties
-    and repeated rows need no rule. Columns named spans, _weights and _one are replaced or dropped.
+    base span and no added span before them. A null text is empty and has none; very long texts are searched
+    whole. Each row stands alone, so ties and repeated rows need no rule; an empty table gives an empty
+    result. Columns named spans, _weights and _one are replaced or dropped.
     """
     model = model.select(F.col("weights").alias("_weights"), F.lit(0).alias("_one"))
     found = with_candidates(docs).drop("spans", "_weights", "_one").withColumn("_one", F.lit(0)).join(F.broadcast(model), "_one", "left").drop("_one")  # one row, of features of fixed number

@@ -30,10 +30,10 @@ from folioscope.llm.fm_index import suffix_array
 
 SPACE = "▁"
 CUT = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHED_CUTS = 300_000
+CACHED_CUTS = 150_000
 CACHED_LENGTH = 64  # longer cuts are not kept between batches
 PART_BYTES = 2_000_000  # of text encoded at a time
-INDEXED_CHARS = 1_000_000  # of cuts in one suffix array, unless one cut is longer
+INDEXED_CHARS = 400_000  # of cuts in one suffix array, unless one cut is longer
 NEVER = np.iinfo(np.int64).max
 
 
@@ -197,26 +197,28 @@ class SuffixEncoder:
         order = suffix_array(text, rules.table.shape[1])
         low, high = piece_ranges(text, order, rules.table)
         times = high - low
-        at = order[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
-        token = np.repeat(rules.numbers, times)
+        at = order.astype(np.int32)[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        token = np.repeat(rules.numbers.astype(np.int32), times)
+        del order
 
         chars = np.flatnonzero(np.bincount(points))
         names = [chr(c) for c in chars]
         codes = np.array([rules.tokens.get(c, rules.size + n) for n, c in enumerate(names)], dtype=np.int64)
         spelled = {int(code): rules.spell(name) for code, name in zip(codes, names, strict=True) if name not in rules.ids}
-        at, token = np.concatenate([inner, at]), np.concatenate([codes[np.searchsorted(chars, points)], token])
-        size = np.where(token < rules.size, rules.length[np.minimum(token, rules.size - 1)], 1)
-        begins = np.repeat(starts, lengths + 1)
+        at, token = np.concatenate([inner.astype(np.int32), at]), np.concatenate([codes.astype(np.int32)[np.searchsorted(chars, points)], token])
+        size = np.where(token < rules.size, rules.length.astype(np.int32)[np.minimum(token, rules.size - 1)], np.int32(1))
+        begins = np.repeat(starts.astype(np.int32), lengths + 1)
         ends = at + size - begins[at]
         by_end = np.argsort(ends, kind="stable")
         at, token, size, ends = at[by_end], token[by_end], size[by_end], ends[by_end]
+        del by_end
         head = at == begins[at]
         last = np.full(len(text), -1, dtype=np.int64)
         edges = np.searchsorted(ends, np.arange(1, int(lengths.max()) + 2))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             fits = head[a:b].copy()
             rest = np.flatnonzero(~fits)
-            fits[rest] = rules.apart(last[at[a:b][rest] - 1], token[a:b][rest])
+            fits[rest] = rules.apart(last[at[a:b][rest] - 1], token[a:b][rest].astype(np.int64))
             taken = a + np.flatnonzero(fits)
             last[at[taken] + size[taken] - 1] = token[taken]
 
@@ -265,7 +267,8 @@ class SuffixEncoder:
             known = fresh | {c: known[c] for cuts in split for c in cuts if c in known}
         else:
             known.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHED_LENGTH)
-            known = known | {c: ids for c, ids in fresh.items() if len(c) > CACHED_LENGTH} if any(len(c) > CACHED_LENGTH for c in fresh) else known
+            long = {c: ids for c, ids in fresh.items() if len(c) > CACHED_LENGTH}
+            known = known | long if long else known
         return [b"".join(map(known.__getitem__, cuts)) for cuts in split]
 
 

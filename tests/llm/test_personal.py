@@ -1,10 +1,13 @@
 """Base spans against plain Python; what the method adds; masking."""
 
+import collections
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from folioscope.llm.personal_data import KINDS, find_spans, fit, mask_personal_data
+from folioscope.llm.personal_data import KINDS, base_spans, find_spans, fit, mask_personal_data, reliabilities
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -51,3 +54,50 @@ def test_mask_and_empty_table(spark):
     assert got == {1: "to [EMAIL] from [IP]!", 2: None, 3: "plain"}
     empty = df.where(F.lit(False))
     assert find_spans(empty, fit(empty)).count() == 0
+
+
+def test_added_spans(spark):
+    """What the strict patterns miss in these lines is found, and nothing of the lines without personal data."""
+    planted = {
+        "write to jane.doe (at) mail.example dot com today": [], "mail: jo_12 [at] example [dot] org, thanks": ["jo_12 [at] example [dot] org"],
+        "contact ann (at) example.com now": ["ann (at) example.com"], "my host 10[.]20[.]30[.]40 is down": ["10[.]20[.]30[.]40"],
+        "server address 2001:db8:0:1:2:3:4:5 here": ["2001:db8:0:1:2:3:4:5"], "call me: (312) 555-7788.": ["(312) 555-7788"],
+        "phone 0049 30 1234 5678 please": ["0049 30 1234 5678"], "amex card 3782 822463 10005 ok": ["3782 822463 10005"],
+    }
+    clean = ["version 3:12:45 of order 123-456-7890123", "see section 10.2.3 and page 44", "isbn 978-3-16-148410-0 at the shop", "look at this. point", "ratio 3:4:5 at 12 o'clock"]
+    base = ["mail a.b@example.com", "card 4111 1111 1111 1111 paid", "host 10.1.2.3 up", "tel +1 (312) 555-7788", "x@y.zz"]
+    texts = [*planted, *clean, *base] * 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = find_spans(docs, fit(docs)).collect()
+    right = wrong = missed = 0
+    for r in found:
+        added = {r.text[s.start : s.end] for s in r.spans if not s.base}
+        wanted = set(planted.get(r.text, []))
+        right, missed = right + len(added & wanted), missed + len(wanted - added)
+        wrong += len(added - wanted) if planted.get(r.text) != [] else 0
+    assert right and right / (right + wrong) >= 0.9, (right, wrong, missed)
+    assert right / (right + missed) >= 0.7, (right, wrong, missed)
+
+
+def test_reliabilities_of_planted_labelers(spark):
+    rng = random.Random(4)
+    planted = [(0.95, 0.9), (0.9, 0.8), (0.85, 0.9), (0.8, 0.7), (0.99, 0.02), (0.9, 0.95)]  # the fifth always says yes
+    rows = collections.Counter()
+    for _ in range(6000):
+        real = rng.random() < 0.6
+        rows[tuple(int(rng.random() < (sens if real else 1 - spec)) for sens, spec in planted)] += 1
+    patterns = spark.createDataFrame([("email", list(v), n) for v, n in rows.items()], "kind string, votes array<int>, n long")
+    got = reliabilities(patterns, rounds=40).first()
+    assert all(abs(a - b) < 0.05 for a, (b, _) in zip(got.sensitivity, planted, strict=True)), got
+    assert all(abs(a - b) < 0.05 for a, (_, b) in zip(got.specificity, planted, strict=True)), got
+    assert abs(got.prior - 0.6) < 0.04
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"u{i}@h{i % 7}.example.com" for i in range(16000))
+    spans = spark.createDataFrame([(text,)], "text string").select(base_spans(F.col("text")).alias("s"))
+    spans.collect()
+    began = time.perf_counter()
+    got = spans.first().s
+    assert time.perf_counter() - began < 10
+    assert [(s.start, s.end) for s in got] == [m.span() for m in re.finditer(r"\S+", text)]
