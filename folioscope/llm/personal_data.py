@@ -145,7 +145,7 @@ def _gazetteer(kind: str, m: Column, listed: list[str]) -> Column:
         return m.rlike(f"^({any_of})")
     if kind == "phone":
         return F.when(m.rlike(r"^(\+|00)"), m.rlike(rf"^(\+|00)\x20?\(?({any_of})")).otherwise(m.rlike(r"^\(?[2-9][0-9]{2}"))
-    return m.rlike(rf"^({any_of})([.\[(:\x20]|$)")
+    return m.rlike(rf"^({any_of})([.\[(\x20]|$)")
 
 
 def _flag(condition: Column) -> Column:
