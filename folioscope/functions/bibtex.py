@@ -10,6 +10,7 @@ from folioscope.functions.text import fold_accents
 
 def protect_capitals(title: Column) -> Column:
     """Braces around capitals after the first character; capitals of acronyms get them twice."""
+    # Both patterns, as the entries must match.
     rest = F.regexp_replace(F.regexp_replace(F.substr(title, F.lit(2)), "([A-Z]{2,})", "{$1}"), "([A-Z])", "{$1}")
     return F.concat(F.substring(title, 1, 1), rest)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +13,19 @@ VENUES = [
     ("jis", ["cs.uwaterloo.ca", "www.cs.uwaterloo.ca"], ["/journals/jis/"], "Journal of Integer Sequences"),
     ("slc", ["mat.univie.ac.at", "www.mat.univie.ac.at", "emis.de", "www.emis.de"], ["/~slc/", "/journals/slc/"], "Séminaire Lotharingien de Combinatoire"),
 ]
+#: The forms of preprint ids and DOIs.
 PREPRINT = r"(?:[0-9]{4}\.[0-9]{4,5}|[a-zA-Z.-]+/[0-9]{7})(?:[vV][0-9]+)?"
 DOI = r"(?i)(10\.[0-9]{4,9}/[^\s<>\"{}|\\^`\[\]]+)"
 
 
+def venue_label(publication: Column) -> Column:
+    """The name of the venue behind a link of VENUES; null for other links and for DOIs."""
+    host = F.lower(F.regexp_extract(publication, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
+    path = F.regexp_extract(publication, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    known = [F.when(host.isin(hosts) & reduce(or_, (F.startswith(path, F.lit(p)) for p in paths)), F.lit(label)) for _, hosts, paths, label in VENUES]
+    return F.coalesce(*known)
+
+
 def _empty_is_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
