@@ -30,10 +30,10 @@ from folioscope.llm.fm_index import suffix_array
 
 SPACE = "▁"
 CUT = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHED_CUTS = 150_000
+CACHED_CUTS = 200_000
 CACHED_LENGTH = 64  # longer cuts are not kept between batches
 PART_BYTES = 2_000_000  # of text encoded at a time
-INDEXED_CHARS = 400_000  # of cuts in one suffix array, unless one cut is longer
+INDEXED_CHARS = 700_000  # of cuts in one suffix array, unless one cut is longer
 NEVER = np.iinfo(np.int64).max
 
 
