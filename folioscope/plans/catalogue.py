@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import linkage, listings, mining, personal, review, rollups, search, streams, transitions
+from folioscope.plans import editing, linkage, listings, mining, personal, review, rollups, search, streams, transitions
 
-MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, review, streams]
+MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, review, editing, streams]
 
 
 def queries() -> dict:
