@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,17 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def handing_back(step: Callable) -> Callable:
+    """step over a task's batches; at its end Arrow's unused memory goes back to the system, as workers outlive their tasks."""
+
+    @wraps(step)
+    def run(*args, **kwargs):
+        yield from step(*args, **kwargs)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about most bytes of text each; a longer text stands alone."""
     sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from folioscope.llm.flat_text import flat, slices
+from folioscope.llm.flat_text import flat, handing_back, slices
 
 BUCKETS = 1 << 15
 SCALE = 8.0
@@ -109,6 +109,7 @@ def fit(training: DataFrame, weight_rows: int = 2048) -> LanguageModel:
     """
     usable = training.select("text", "lang").where(F.col("lang").isNotNull() & has_letter(F.col("text")))
 
+    @handing_back
     def sums(batches):
         found: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -160,6 +161,7 @@ def _trust(model: LanguageModel, sample: DataFrame) -> np.ndarray:
     """For each language the share of its sampled texts that each bit gets right, as weights."""
     at = {lang: i for i, lang in enumerate(model.languages)}
 
+    @handing_back
     def right(batches):
         hits, seen = np.ones(model.code.shape), np.full(len(at), 2.0)
         for batch in batches:
@@ -187,6 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     kept = docs.drop("lang_pred", "score", "ambiguous")
     languages = pa.array([*model.languages, UNDETERMINED], pa.string())
 
+    @handing_back
     def answer(batches):
         for batch in batches:
             for part in slices(batch, "_text"):

@@ -20,12 +20,13 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from folioscope.llm.flat_text import handing_back, slices
 from folioscope.llm.storage import store
 
 CAPACITY = 4096
@@ -35,6 +36,7 @@ BUDGET = 100_000  # nodes of the search for fewer sequences than the first packi
 ENDINGS = frozenset(".,;:!?")  # one pre-token of their own after a word of letters
 WORD_END = "</w>"
 DOTTED_I = "\u0130"  # lower-cased to a letter and a mark
+PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 CONTROLS = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for tokenizers
 
 
@@ -57,7 +59,7 @@ class WordEncoder:
 
     Only for tokenizers that lower-case, that mark a word's last token by WORD_END, and whose
     pre-tokenizer never crosses white space and keeps letters apart from marks: a text's ids are then its
-    words' ids in order. The ids of up to CACHED_WORDS words are kept between texts. The tokenizer looks for
+    words' ids in order. The ids of up to CACHED_WORDS words are kept between texts of a task. The tokenizer looks for
     its added tokens before it lower-cases; texts that may hold one go to it whole.
     """
 
@@ -92,6 +94,10 @@ class WordEncoder:
             fresh[w] = b"".join(fresh[x] if x in fresh else known[x] for x in parts)
         return fresh
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.known.fresh = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         # The tokenizer lower-cases; doing so for A-Z beforehand leaves fewer different words.
@@ -113,22 +119,24 @@ class WordEncoder:
 
 @cache
 def _encoder(path: str) -> WordEncoder:
-    """One for each worker process, so that the words it knows serve all of its tasks."""
+    """One for each worker process, as its vocabulary takes a while to read."""
     return WordEncoder(path)
 
 
+@handing_back
 def _tokenized(batches, path: str, capacity: int, end_id: int):
     encoder, end = _encoder(path), np.array([end_id], dtype="<u4").tobytes()
-    for pdf in batches:
-        rows = []
-        for at in range(0, len(pdf), 256):
-            part = pdf.iloc[at : at + 256]
-            for doc_id, ids in zip(part["doc_id"], encoder.encode(part["text"].tolist()), strict=True):
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows = []
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + capacity)]
                     rows.append((doc_id, piece, start, len(own) // 4, zlib.crc32(own)))
-        yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), PIECES.types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=PIECES)
+    encoder.forget()  # the worker may go on with other jobs
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -138,7 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
     """
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInPandas(lambda batches: _tokenized(batches, path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts.mapInArrow(lambda batches: _tokenized(batches, path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def least_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from folioscope.llm.flat_text import flat, mixed, rolling, slices, word_hashes
+from folioscope.llm.flat_text import flat, handing_back, mixed, rolling, slices, word_hashes
 from folioscope.llm.fm_index import FMIndex
 from folioscope.llm.storage import drop, store, width
 
@@ -79,6 +79,7 @@ def _profiles(docs: DataFrame, window: int) -> DataFrame:
         bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
         return pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(own).astype(kind) if own else np.zeros(0, dtype=kind)))
 
+    @handing_back
     def profile(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -113,6 +114,7 @@ def _passages(docs: DataFrame, led: DataFrame, window: int, whole: bool) -> Data
     number of words unless one passage has more.
     """
 
+    @handing_back
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -214,6 +216,7 @@ class Index:
         return pa.table([asked.column("doc_id"), asked.column("fp"), pa.array(cuts, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.int64()))], schema=FOUND)
 
 
+@handing_back
 def search_shards(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows of FOUND_SCHEMA from passages in order of shard, each shard's own ones before the streamed ones.
 
@@ -308,6 +311,7 @@ def _cut(docs: DataFrame, cuts: DataFrame, window: int) -> DataFrame:
     """docs with kept text, n_words and n_removed. cuts: (doc_id, cuts array<struct<fp, cuts>>)."""
     names = docs.columns
 
+    @handing_back
     def keep(batches):
         for batch in batches:
             for part in slices(batch, "text"):
