@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import editing, enrichment, linkage, listings, mining, personal, review, rollups, search, streams, transitions
+from folioscope.plans import editing, enrichment, linkage, listings, lookup, mining, personal, review, rollups, search, streams, transitions
 
-MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, review, editing, enrichment, streams]
+MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, review, editing, enrichment, lookup, streams]
 
 
 def queries() -> dict:
