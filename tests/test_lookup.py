@@ -2,20 +2,21 @@ import duckdb
 import pytest
 
 from folioscope.operators.cascade import first_stage
-from folioscope.plans import lookup
+from folioscope.operators.lists import apply_decisions, decide
+from folioscope.plans import list_edits, lookup
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(lookup.registry.queries))
-def test_rows_equal_duckdb(spark, name):
+@pytest.mark.parametrize("module, name", [(m, name) for m in (lookup, list_edits) for name in m.registry.queries])
+def test_rows_equal_duckdb(spark, module, name):
     con = duckdb.connect()
     for table in ("orders", "lineitem", "part", "supplier", "events"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    expected = con.execute(lookup.registry.sql[name])
+    expected = con.execute(module.registry.sql[name])
     columns = [c[0] for c in expected.description]
     wanted = expected.fetchall()
-    got = lookup.registry.queries[name](spark, SF)
+    got = module.registry.queries[name](spark, SF)
     assert wanted and sorted(got.columns) == sorted(columns)
     key = lambda row: tuple((x is not None, str(x)) for x in row)
     assert sorted(map(tuple, got.select(*columns).collect()), key=key) == sorted(wanted, key=key)
@@ -34,3 +35,19 @@ def test_the_first_stage_wins_and_rows_stay_single(spark):
     two = spark.createDataFrame([("a", 5), ("b", 6)], "key string, target int")
     got = first_stage(asked, [("one", "q", one), ("two", "q", two)], "none")
     assert sorted((r.q or "", r.stage, r.target) for r in got.collect()) == [("", "none", None), ("a", "one", "1"), ("a", "one", "1"), ("b", "two", "6"), ("c", "none", None)]
+
+
+def test_list_requests(spark):
+    lists = spark.createDataFrame([(1, "a", False), (1, "b", False), (1, "Starred", True)], "user_id int, list_name string, is_starred boolean")
+    saved = spark.createDataFrame([(1, "a", 7), (1, "b", 8), (1, "Starred", 9)], "user_id int, list_name string, target int")
+    asked = [
+        (1, "rename", "A", " new "), (2, "create", None, "NEW"), (3, "rename", "a", "other"), (4, "delete", "b", None), (5, "delete", "starred", None),
+        (6, "create", None, "STARRED"), (7, "create", None, None), (8, "rename", "none", "x"), (9, "create", None, "b"), (10, "create", None, "c"),
+    ]
+    requests = spark.createDataFrame([(1, *row) for row in asked], "user_id int, request_id int, action string, list_name string, new_name string")
+    decided = decide(lists, requests)
+    outcomes = {r.request_id: r.outcome for r in decided.collect()}
+    assert outcomes == {1: "renamed", 2: "exists", 3: "not_found", 4: "deleted", 5: "protected", 6: "reserved", 7: "invalid", 8: "not_found", 9: "exists", 10: "created"}
+    after, held = apply_decisions(lists, saved, decided)
+    assert sorted(r.list_name for r in after.collect()) == ["Starred", "c", "new"]
+    assert sorted((r.list_name, r.target) for r in held.collect()) == [("Starred", 9), ("new", 7)]
