@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes between words of lower-cased letters and digits; all bytes of characters beyond ASCII are in words.
+SIGNS = np.array([not (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) for c in range(256)])
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -76,9 +78,9 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mixed((sums[ends] - sums[starts]) * powers(INVERSE, n)[starts])
 
 
-def word_bounds(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(body: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte bounds of all words, and the index of each text's first word (and the end)."""
-    word = ~SPACES[body]
+    word = ~gaps[body]
     begins, stops = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     stops[:-1] &= ~word[1:]
@@ -89,7 +91,7 @@ def word_bounds(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(body: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first): a 64-bit hash of each word, with word_bounds."""
-    starts, ends, first = word_bounds(body, offsets)
+    starts, ends, first = word_bounds(body, offsets, gaps)
     return rolling(body.astype(np.uint64) + np.uint64(1), starts, ends), starts, ends, first

@@ -71,6 +71,18 @@ class WaveletMatrix:
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self._descend(symbols, at) - self.origin[symbols]
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, rank): the symbol at each position, and how often it stands before it."""
+        symbols = np.zeros(len(at), dtype=np.int64)
+        for level in range(self.levels):
+            block, place = at >> 6, (at & 63).astype(np.uint64)
+            word = self.words[level][block]
+            bits = ((word >> place) & np.uint64(1)).astype(np.int64)
+            ones = self.before[level][block] + np.bitwise_count(word & ((np.uint64(1) << place) - np.uint64(1)))
+            at = np.where(bits, self.zeros[level] + ones, at - ones)
+            symbols = symbols << 1 | bits
+        return symbols, at - self.origin[symbols]
+
 
 class FMIndex:
     """Backward search over one sequence of symbols 0 ... size-1; patterns never hold symbol 0, the separator.
