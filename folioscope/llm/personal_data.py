@@ -1,6 +1,8 @@
 """Personal data in texts, by weak supervision; DataFrame functions only.
 
-Strict patterns give the base spans, which always stay. Looser patterns give further candidates. Labelers
+Strict patterns give the base spans, which always stay. Looser patterns give further candidates: only forms that
+ordinary prose doesn't have (a bracketed "at", a bracketed area code, a defanged address), or less sure ones with a cue right
+before them, and none after a word such as "serial" or "part number". Labelers
 (the strict pattern, boundaries, a gazetteer, context cues for and against, a validity check) vote
 on every candidate; expectation-maximisation estimates each labeler's reliability for each kind from
 the votes alone, and its posteriors train the final span classifier, a naive Bayes model over the shape and
@@ -28,34 +30,49 @@ STRICT = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Fixed word lists of the context labelers.
+CUES = {
+    "email": ["mail", "contact", "write", "correo", "courriel", "reach"],
+    "ip": ["ip", "host", "server", "address", "login", "ping"],
+    "card": ["card", "visa", "master", "credit", "pay", "karte", "tarjeta", "carte"],
+    "phone": ["phone", "tel", "call", "fax", "mobile", "cell", "dial"],
+}
+AGAINST = ["version", "section", "isbn", "issn", "chapter", "figure", "table", "order", "page", "serial", "doi", "part", "item", "model", "invoice", "sku", "ref", "reference", "id", "ticket", "account"]
+_filler = r"(?:\x20(?:to|me|us|is|at|on|no|number))?"
+_right_before = lambda kind: rf"(?<=(?i:{'|'.join(CUES[kind])}){_filler}{_filler}\.?:?\x20?)"
+_bracketed = lambda word: "(?:" + "|".join(rf"\{a}(?i:{word})\{b}" for a, b in ("()", "[]", "{}")) + ")"
+_DOMAIN = rf"[A-Za-z0-9-]++(?:(?:\.|\x20?{_bracketed('dot')}\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]++)++"
 LOOSE = {
-    "email": rf"(?<![{LOCAL}])[{LOCAL}]++\x20?(?:\(at\)|\[at\]|\{{at\}}|\x20at\x20|\x20@\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\{{dot\}}|\x20dot\x20)\x20?[A-Za-z0-9-]++)++",
+    # A bare "at" or an @ between blanks needs a cue and a local part that is no word.
+    "email": rf"(?<![{LOCAL}])[{LOCAL}]++\x20?{_bracketed('at')}\x20?{_DOMAIN}|{_right_before('email')}(?=[{LOCAL}]*[A-Za-z])(?=[{LOCAL}]*[0-9._+-])[{LOCAL}]++(?:\x20(?i:at)\x20|\x20@\x20){_DOMAIN}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::[0-9A-Fa-f]{1,4}){0,5}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9])[0-9]{1,3}(?:\[\.\]|\(\.\)|\x20?\[dot\]\x20?)[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\x20?\[dot\]\x20?)[0-9]{1,3}){2}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}+(?![0-9])|(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?<![0-9+])00[1-9][0-9]{0,2}(?:[\x20.()-]{1,2}[0-9]{2,4}){2,4}(?![0-9])",
+    "card": r"(?<![0-9])3(?:[\x20-]?[0-9]){13,14}+(?![0-9])|(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
+    # Ten digits need a bracketed area code or a cue.
+    "phone": rf"(?<![0-9+(])\([0-9]{{3}}\)[\x20-]?[0-9]{{3}}[\x20.-][0-9]{{4}}(?![0-9])|{_right_before('phone')}[0-9]{{3}}[\x20.-][0-9]{{3}}[\x20.-][0-9]{{4}}(?![0-9])|(?<![0-9+])00[1-9][0-9]{{0,2}}(?:[\x20.()-]{{1,2}}[0-9]{{2,4}}){{2,4}}(?![0-9])",
 }
-#: What a text must hold for the pattern to be tried.
+#: What a text must hold for the pattern to be tried: a plain text, or a quicker pattern.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-LOOSE_NEEDS = {"email": "", "ip": "", "card": "", "phone": ""}
+LOOSE_NEEDS = {
+    "email": rf"[(\[{{](?i:at)[)\]}}]|(?i:{'|'.join(CUES['email'])})",
+    "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f:]|[0-9]\x20?[\[(](?:\.|dot)[\])]",
+    "card": r"3[0-9\x20-]{13}|[0-9]{4}[./_][0-9]{4}[./_]",
+    "phone": rf"\([0-9]{{3}}\)|00[1-9]|(?i:{'|'.join(CUES['phone'])})",
+}
 #: The gazetteer's default tables; with_candidates takes others. Top domains of addresses, first digits of card
 #: issuers, calling codes after + or 00, and first groups of addresses in use.
 GAZETTEER = {
-    "email": ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "nl", "uk", "eu", "us", "ca", "au", "jp", "in", "br"],
+    "email": [
+        *["com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "me", "tv", "ai", "app", "dev", "cloud", "online", "shop", "site", "xyz"],
+        *["ar", "at", "au", "be", "br", "ca", "ch", "cl", "cn", "cz", "de", "dk", "es", "eu", "fi", "fr", "gr", "hk", "hu", "ie", "il", "in", "it", "jp", "kr"],
+        *["mx", "nl", "no", "nz", "pl", "pt", "ro", "ru", "se", "sg", "tr", "tw", "ua", "uk", "us", "za"],
+    ],
     "card": ["2[2-7]", "3[4-7]", "4", "5[0-8]", "6[0-9]"],
     "phone": ["1", "20", "27", "3[0-469]", "4[013-9]", "5[1-8]", "6[0-6]", "7", "8[1246]", "9[0-58]", "[2-9][0-9]{2}"],
     "ip": ["[1-9]", "[1-9][0-9]", "1[0-9]{2}", "2[0-3][0-9]", "2[0-9a-fA-F]{3}:.*", "3[0-9a-fA-F]{3}:.*", "f[cdeCDE][0-9a-fA-F]{2}:.*"],
 }
-#: Fixed word lists of the context labelers.
-CUES = {
-    "email": ["mail", "contact", "write", "correo", "courriel", "reach"],
-    "ip": ["ip", "host", "server", "address", "login", "ping"],
-    "card": ["card", "visa", "master", "credit", "pay", "karte", "tarjeta", "carte"],
-    "phone": ["phone", "tel", "call", "fax", "mobile", "cell", "dial"],
-}
-AGAINST = ["version", "section", "isbn", "issn", "chapter", "figure", "table", "order", "page", "serial", "doi"]
 LABELERS = ["strict", "bounded", "gazetteer", "cue", "against", "valid"]
 ROUNDS = 15
-BEFORE = 32  # code points of context
+BEFORE, AFTER = 32, 8  # code points of context
 LIKELY = 0.9
 FEATURE_VALUES = 10  # of a feature, for smoothing
 
@@ -67,20 +84,20 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _matches(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<start, end, m>>: all matches with their code point offsets.
+def _matches(text: Column, pattern: str, needs: str, plain: bool = True) -> Column:
+    """array<struct<start, end, m, before, after>>: all matches with their code point offsets and what is next to them.
 
-    Offsets are running sums. They are taken over blocks of about the root of the number of matches, and then within
+    before and after are the last and first code points of the text between this match and its neighbours of the kind. Offsets are
+    running sums. They are taken over blocks of about the root of the number of matches, and then within
     each block, so that a text with very many matches isn't copied once for each of them.
     """
     parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,m:string>>)")
-    pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda part, m: F.struct(F.length(part).alias("gap"), m.alias("m")))
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int,m:string,before:string,after:string>>)")
 
-    def blocks(pairs):
-        side = F.greatest(F.ceil(F.sqrt(F.size(pairs))).cast("int"), F.lit(1))
-        last = F.greatest(F.ceil(F.size(pairs) / side).cast("int") - 1, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(pairs, i * side + 1, side))
+    def beside(both):
+        n = F.size(both["found"])
+        sides = F.zip_with(F.slice(both["parts"], F.lit(1), n), F.slice(both["parts"], F.lit(2), n), lambda left, right: F.struct(F.length(left).alias("gap"), F.right(left, F.lit(BEFORE)).alias("before"), F.left(right, F.lit(AFTER)).alias("after")))
+        return F.zip_with(sides, both["found"], lambda side, m: F.struct(side["gap"].alias("gap"), m.alias("m"), side["before"].alias("before"), side["after"].alias("after")))
 
     def starts(blocks):
         begin = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("out"))
@@ -92,12 +109,45 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
         def step(state, x):
             start = state["at"] + x["gap"]
             end = start + F.length(x["m"])
-            return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))).alias("out"))
+            return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))).alias("out"))
 
         return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step)["out"]
 
-    tried = text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
-    return F.when(tried, _let(_let(pairs, blocks), starts)).otherwise(none)
+    tried = text.rlike(pattern)
+    if needs:
+        tried = (text.contains(needs) if plain else text.rlike(needs)) & tried
+    both = F.struct(parts.alias("parts"), found.alias("found"))
+    return F.when(tried, _let(_let(_let(both, beside), _blocks), starts)).otherwise(none)
+
+
+def _blocks(items: Column) -> Column:
+    """An array as an array of about as many consecutive parts as each has elements."""
+
+    def sliced(items):
+        side = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+        last = F.greatest(F.ceil(F.size(items) / side).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * side + 1, side))
+
+    return _let(items, sliced)
+
+
+def _fold(items: Column, state: Column, step, out_type: str) -> Column:
+    """array<out_type>: what step(state, item) -> (state, array to add) adds, one item after another, block by block."""
+    none = F.expr(f"CAST(array() AS array<{out_type}>)")
+    nested = F.expr(f"CAST(array() AS array<array<{out_type}>>)")
+    pair = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
+
+    def one(held, item):
+        def both(held):
+            after, more = step(held["state"], item)
+            return pair(after, F.when(F.size(more) > 0, F.concat(held["out"], more)).otherwise(held["out"]))
+
+        return _let(held, both)
+
+    def block(held, own):
+        return _let(F.aggregate(own, pair(held["state"], none), one), lambda done: pair(done["state"], F.array_append(held["out"], done["out"])))
+
+    return F.flatten(F.aggregate(_blocks(items), pair(state, nested), block)["out"])
 
 
 def _digits(m: Column) -> Column:
@@ -130,11 +180,27 @@ def _plausible(kind: str, m: Column) -> Column:
     digits = _digits(m)
     if kind == "ip":
         return F.when(m.contains(":"), F.size(F.split(m, ":")).between(3, 8) & (m.contains("::") | (F.size(F.split(m, ":")) == 8))).otherwise(_valid("ip", F.regexp_replace(m, r"\x20?[\[(](?:\.|dot)[\])]\x20?", ".")))
-    if kind == "card":
-        return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False)
+    if kind == "card":  # 14 and 15 digits have issuers of their own
+        known = F.when(F.length(digits) == 14, digits.rlike("^3[0689]")).when(F.length(digits) == 15, digits.rlike("^3[47]")).otherwise(F.length(digits).between(16, 19))
+        return F.when(known, _luhn(digits)).otherwise(False)
     if kind == "phone":
-        return F.length(digits).between(8, 15) & (F.length(F.regexp_replace(digits, F.substr(digits, F.lit(1), F.lit(1)), F.lit(""))) > 2)
-    return m.rlike(r"(\.|dot\W{1,2})[A-Za-z]{2,}$")
+        return F.when(digits.startswith("00"), F.length(digits).between(11, 17)).otherwise(F.length(digits).between(8, 15)) & (F.length(F.regexp_replace(digits, F.substr(digits, F.lit(1), F.lit(1)), F.lit(""))) > 2)
+    return m.rlike(r"(?i)(\.|dot\W{1,2})[a-z]{2,}$")
+
+
+def _after_other(before: Column) -> Column:
+    """Whether the words right before say that a number is something else."""
+    return F.lower(before).rlike(rf"\b(?:{'|'.join(AGAINST)})s?(?:\W+(?:number|numbers|no|nr|code))?\W*$")
+
+
+def _eligible(kind: str, x: Column, listed: list[str]) -> Column:
+    """Of loose matches, those that may become candidates at all."""
+    fits = _plausible(kind, x["m"]) & ~_after_other(x["before"])
+    if kind == "email":
+        return fits & (x["m"].rlike(_bracketed("at")) | _gazetteer(kind, x["m"], listed))
+    if kind == "phone":
+        return fits & _gazetteer(kind, x["m"], listed)
+    return fits
 
 
 def _gazetteer(kind: str, m: Column, listed: list[str]) -> Column:
@@ -160,7 +226,7 @@ def _votes(kind: str, x: Column, listed: list[str]) -> Column:
         _flag(~F.substr(x["before"], F.length(x["before"]), F.lit(1)).rlike("[A-Za-z0-9]") & ~x["after"].rlike("^[A-Za-z0-9]")),
         _flag(_gazetteer(kind, x["m"], listed)),
         F.when(before.rlike(rf"\b({'|'.join(CUES[kind])})"), 1).otherwise(-1),
-        F.when(before.rlike(rf"\b({'|'.join(AGAINST)})\W*$"), 0).otherwise(-1),
+        F.when(_after_other(before), 0).otherwise(-1),
         _flag(_plausible(kind, x["m"])),
     )
 
@@ -182,17 +248,16 @@ def _features(x: Column, known: Column, plausible: Column) -> Column:
     )
 
 
-def _context(text: Column, m: Column, base: bool) -> Column:
-    at = F.greatest(m["start"] - BEFORE, F.lit(0))
-    return F.struct(F.lit(base).alias("base"), m["m"].alias("m"), F.substr(text, at + 1, m["start"] - at).alias("before"), F.substr(text, m["end"] + 1, F.lit(8)).alias("after"))
+def _context(m: Column, base: bool) -> Column:
+    return F.struct(F.lit(base).alias("base"), m["m"].alias("m"), m["before"].alias("before"), m["after"].alias("after"))
 
 
 def _named(kind: str, found: Column) -> Column:
-    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["m"].alias("m")))
+    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["m"].alias("m"), m["before"].alias("before"), m["after"].alias("after")))
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<kind,start,end,m>>: the strict patterns' valid matches, by kind and start."""
+    """array<struct<kind,start,end,m,before,after>>: the strict patterns' valid matches, by kind and start."""
 
     def valid(kind):
         return F.filter(_matches(text, STRICT[kind], NEEDS[kind]), lambda m: _valid(kind, m["m"]))
@@ -200,7 +265,7 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(_named(kind, valid(kind)) for kind in KINDS))
 
 
-def _described(text: Column, spans: Column, base: bool, gazetteer: dict[str, list[str]]) -> Column:
+def _described(spans: Column, base: bool, gazetteer: dict[str, list[str]]) -> Column:
     def votes(kind, x):
         return reduce(lambda rest, k: F.when(kind == k, _votes(k, x, gazetteer[k])).otherwise(rest), KINDS[1:], _votes(KINDS[0], x, gazetteer[KINDS[0]]))
 
@@ -210,7 +275,7 @@ def _described(text: Column, spans: Column, base: bool, gazetteer: dict[str, lis
             described = lambda v: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(base).alias("base"), v.alias("votes"), _features(x, v[known], v[plausible]).alias("features"))
             return _let(votes(m["kind"], x), described)
 
-        return _let(_context(text, m, base), parts)
+        return _let(_context(m, base), parts)
 
     return F.transform(spans, one)
 
@@ -220,10 +285,22 @@ def candidate_spans(text: Column, gazetteer: dict[str, list[str]] | None = None)
 
     listed = GAZETTEER | (gazetteer or {})
 
+    def loose(kind):
+        return F.filter(_matches(text, LOOSE[kind], LOOSE_NEEDS[kind], plain=False), lambda m: _eligible(kind, m, listed[kind]))
+
     def with_base(base):
-        looser = F.concat(*(_named(kind, _matches(text, LOOSE[kind], LOOSE_NEEDS[kind])) for kind in KINDS))
-        apart = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return _let(F.filter(looser, apart), lambda loose: F.struct(base.alias("base"), F.concat(_described(text, base, True, listed), _described(text, loose, False, listed)).alias("cands")))
+        looser = F.concat(*(_named(kind, loose(kind)) for kind in KINDS))
+        # A loose span is compared with the reach of blocks of base spans, and with the spans of blocks that it touches.
+        by_start = F.array_sort(base, lambda a, b: a["start"] - b["start"])
+        reach = lambda block: F.struct(F.element_at(block, 1)["start"].alias("start"), F.array_max(F.transform(block, lambda b: b["end"])).alias("end"), block.alias("own"))
+        touches = lambda a, x: (a["start"] < x["end"]) & (x["start"] < a["end"])
+
+        def split(loose):
+            apart = lambda blocks: F.filter(loose, lambda x: ~F.exists(blocks, lambda k: touches(k, x) & F.exists(k["own"], lambda b: touches(b, x))))
+            kept = F.when(F.size(loose) == 0, loose).when(F.size(base) == 0, loose).otherwise(_let(F.transform(_blocks(by_start), reach), apart))
+            return _let(kept, lambda kept: F.struct(base.alias("base"), F.concat(_described(base, True, listed), _described(kept, False, listed)).alias("cands")))
+
+        return _let(looser, split)
 
     return _let(base_spans(text), with_base)
 
@@ -236,6 +313,7 @@ def with_candidates(docs: DataFrame, gazetteer: dict[str, list[str]] | None = No
     """Adds _found, the candidate spans of text, where it is not there yet. Store the result to search the texts once.
 
     gazetteer replaces the default table of the kinds it names: top domains (email), or patterns of how the span begins.
+    A null text has none; texts with very many matches are searched in blocks of them, in about the number's power of 1.5.
     """
     return docs if "_found" in docs.columns else docs.withColumn("_found", candidate_spans(_whole("text"), gazetteer))
 
@@ -326,10 +404,10 @@ def _decided(found: Column) -> Column:
     score = lambda c: F.aggregate(F.transform(F.array_append(c["features"], F.lit("all")), weight(c)), F.lit(0.0), lambda a, b: a + b)
     plain = lambda base: lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(base).alias("base"))
     likely = F.log(F.lit(LIKELY / (1 - LIKELY)))
-    extra = F.array_sort(F.transform(F.filter(found["cands"], lambda c: ~c["base"] & (score(c) > likely)), plain(False)), lambda a, b: a["start"] - b["start"])
-    clear = lambda kept, c: ~F.exists(kept, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"]))
+    likely_ones = F.array_sort(F.transform(F.filter(found["cands"], lambda c: ~c["base"] & (score(c) > likely)), plain(False)), lambda a, b: a["start"] - b["start"])
     none = F.expr(f"CAST(array() AS array<{SPAN}>)")
-    added = F.aggregate(extra, none, lambda kept, c: F.when(clear(kept, c), F.array_append(kept, c)).otherwise(kept))
+    free = lambda end, c: (F.greatest(end, F.when(c["start"] >= end, c["end"]).otherwise(end)), F.when(c["start"] >= end, F.array(c)).otherwise(none))
+    added = _let(likely_ones, lambda extra: F.when(F.size(extra) > 0, _fold(extra, F.lit(0), free, SPAN)).otherwise(none))
     place = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
     order = lambda a, b: F.when(a["kind"] == b["kind"], a["start"] - b["start"]).otherwise(place(a["kind"]) - place(b["kind"]))
     base = F.transform(found["base"], plain(True))  # in order already
@@ -337,17 +415,29 @@ def _decided(found: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind in brackets; spans may come in any order, and overlapping ones are one."""
-    by_start = F.array_sort(spans, lambda a, b: a["start"] - b["start"])
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with every span replaced by its kind in brackets; spans may come in any order, and overlapping ones are one.
+
+    The text is cut into the stretches of blocks of spans first, so that very many spans don't read all of it each.
+    """
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))), lambda a, b: a["start"] - b["start"])
+    clear = "struct<gap:int,start:int,end:int,kind:string>"
+    # Each span with the end of what was replaced before it; one that begins inside an earlier span only widens it.
+    step = lambda end, s: (F.greatest(end, s["end"]), F.array(F.struct(end.alias("gap"), F.greatest(s["start"], end).alias("start"), F.greatest(s["end"], end).alias("end"), F.when(s["start"] >= end, s["kind"]).alias("kind"))))
+
+    def stretch(block):
+        def parts(ends):
+            own = F.substr(text, ends["from"] + 1, ends["to"] - ends["from"])
+            mark = lambda s: F.coalesce(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")), F.lit(""))
+            cut = lambda own: F.array_join(F.transform(block, lambda s: F.concat(F.substr(own, s["gap"] - ends["from"] + 1, s["start"] - s["gap"]), mark(s))), "")
+            return _let(own, cut)
+
+        return _let(F.struct(F.element_at(block, 1)["gap"].alias("from"), F.element_at(block, -1)["end"].alias("to")), parts)
 
-    def step(state, s):
-        between = F.when(s["start"] > state["at"], F.substr(text, state["at"] + 1, s["start"] - state["at"])).otherwise("")
-        mark = F.when(s["start"] >= state["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], between, mark).alias("out"))
+    def whole(steps):
+        rest = F.substr(text, F.element_at(steps, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(_blocks(steps), stretch), ""), rest)
 
-    done = F.aggregate(by_start, state, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(_fold(by_start, F.lit(0), step, clear), whole)).otherwise(text)
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
