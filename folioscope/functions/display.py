@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscope.functions.matching import SUFFIXES
+
 #: Entities that are resolved, the ampersand last.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
-#: Suffixes that stay after the surname.
-NAME_SUFFIXES = ["ii", "iii", "iv", "jr", "sr", "v"]
+#: Blanks of a registry's title that go, in order.
+TITLE_RULES = [
+    (r"\s+", " "),
+    (r"([(\[{])\s+", "$1"),
+    (r"\s+([)\]}])", "$1"),
+    (r"\s+([,;:.!?])", "$1"),
+    (r"([)\]}])\s+-\s*", "$1-"),
+]
 #: Words of a query that name no author.
 AUTHOR_STOPWORDS = ["a", "an", "and", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"]
 
@@ -26,7 +34,7 @@ def display_name(name: Column) -> Column:
     parts = F.filter(F.transform(F.split(F.trim(plain, F.lit(" ,;")), ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def in_order(p):
-        suffixed = F.lower(F.rtrim(F.get(p, F.lit(1)), F.lit("."))).isin(NAME_SUFFIXES)
+        suffixed = F.lower(F.rtrim(F.get(p, F.lit(1)), F.lit("."))).isin(SUFFIXES)
         places = F.when((F.size(p) == 2) & ~suffixed, F.array(F.lit(1), F.lit(0))).when((F.size(p) == 3) & suffixed, F.array(F.lit(2), F.lit(0), F.lit(1)))
         moved = F.array_join(F.transform(places, lambda i: F.get(p, i)), " ")
         return F.coalesce(moved, F.when(F.size(p) == 2, F.array_join(p, " ")), F.array_join(p, ", "))
@@ -45,9 +53,9 @@ def clean_title(title: Column) -> Column:
     """A registry's title without braces, entities and tags, with single blanks and no blank inside brackets or before marks."""
     plain = unescaped(F.regexp_replace(title, r"\{([^{}]*)\}", "$1"))
     plain = F.when(plain.rlike(r"</?[A-Za-z][^>]*>"), F.regexp_replace(plain, "<[^>]+>", "")).otherwise(plain)
-    plain = F.trim(F.regexp_replace(plain, r"\s+", " "))
-    plain = F.regexp_replace(F.regexp_replace(plain, r"([(\[{])\s+", "$1"), r"\s+([)\]},;:.!?])", "$1")
-    return F.regexp_replace(plain, r"([)\]}])\s+-\s*", "$1-")
+    for pattern, by in TITLE_RULES:
+        plain = F.regexp_replace(F.trim(plain), pattern, by)
+    return plain
 
 
 def _terms(text: Column, pattern: str, marks: str) -> Column:

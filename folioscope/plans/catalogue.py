@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import editing, enrichment, linkage, list_edits, listings, lookup, mining, personal, review, rollups, search, streams, transitions
+from folioscope.plans import editing, enrichment, linkage, list_edits, listings, lookup, mining, passes, personal, review, rollups, search, streams, transitions
 
-MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, review, editing, enrichment, lookup, list_edits, streams]
+MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, review, editing, enrichment, lookup, list_edits, passes, streams]
 
 
 def queries() -> dict:
