@@ -44,19 +44,19 @@ _bracketed = lambda word: "(?:" + "|".join(rf"\{a}(?i:{word})\{b}" for a, b in (
 _DOMAIN = rf"[A-Za-z0-9-]++(?:(?:\.|\x20?{_bracketed('dot')}\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]++)++"
 LOOSE = {
     # A bare "at" or an @ between blanks needs a cue and a local part that is no word.
-    "email": rf"(?<![{LOCAL}])[{LOCAL}]++\x20?{_bracketed('at')}\x20?{_DOMAIN}|{_right_before('email')}(?=[{LOCAL}]*[A-Za-z])(?=[{LOCAL}]*[0-9._+-])[{LOCAL}]++(?:\x20(?i:at)\x20|\x20@\x20){_DOMAIN}",
+    "email": rf"(?<![{LOCAL}])[{LOCAL}]++\x20?{_bracketed('at')}\x20?{_DOMAIN}|(?<![{LOCAL}])(?=[{LOCAL}]++\x20(?:@|(?i:at))\x20)(?=[{LOCAL}]*[A-Za-z])(?=[{LOCAL}]*[0-9._+-]){_right_before('email')}[{LOCAL}]++\x20(?:@|(?i:at))\x20{_DOMAIN}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::[0-9A-Fa-f]{1,4}){0,5}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9])[0-9]{1,3}(?:\[\.\]|\(\.\)|\x20?\[dot\]\x20?)[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\x20?\[dot\]\x20?)[0-9]{1,3}){2}(?![0-9])",
     "card": r"(?<![0-9])3(?:[\x20-]?[0-9]){13,14}+(?![0-9])|(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     # Ten digits need a bracketed area code or a cue.
-    "phone": rf"(?<![0-9+(])\([0-9]{{3}}\)[\x20-]?[0-9]{{3}}[\x20.-][0-9]{{4}}(?![0-9])|{_right_before('phone')}[0-9]{{3}}[\x20.-][0-9]{{3}}[\x20.-][0-9]{{4}}(?![0-9])|(?<![0-9+])00[1-9][0-9]{{0,2}}(?:[\x20.()-]{{1,2}}[0-9]{{2,4}}){{2,4}}(?![0-9])",
+    "phone": rf"(?<![0-9+(])\([0-9]{{3}}\)[\x20-]?[0-9]{{3}}[\x20.-][0-9]{{4}}(?![0-9])|(?=[0-9]{{3}}[\x20.-][0-9]{{3}}[\x20.-]){_right_before('phone')}[0-9]{{3}}[\x20.-][0-9]{{3}}[\x20.-][0-9]{{4}}(?![0-9])|(?<![0-9+])00[1-9][0-9]{{0,2}}(?:[\x20.()-]{{1,2}}[0-9]{{2,4}}){{2,4}}(?![0-9])",
 }
 #: What a text must hold for the pattern to be tried: a plain text, or a quicker pattern.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 LOOSE_NEEDS = {
-    "email": rf"[(\[{{](?i:at)[)\]}}]|(?i:{'|'.join(CUES['email'])})",
+    "email": r"[(\[{](?i:at)[)\]}]|\x20(?:@|(?i:at))\x20",
     "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f:]|[0-9]\x20?[\[(](?:\.|dot)[\])]",
     "card": r"3[0-9\x20-]{13}|[0-9]{4}[./_][0-9]{4}[./_]",
-    "phone": rf"\([0-9]{{3}}\)|00[1-9]|(?i:{'|'.join(CUES['phone'])})",
+    "phone": r"\([0-9]{3}\)|00[1-9]|[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
 }
 #: The gazetteer's default tables; with_candidates takes others. Top domains of addresses, first digits of card
 #: issuers, calling codes after + or 00, and first groups of addresses in use.
