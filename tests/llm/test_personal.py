@@ -129,7 +129,7 @@ def test_very_many_matches(spark):
 
 def test_very_many_loose_and_added_spans(spark):
     """Loose spans beside as many base spans, added ones, and masking of all of them."""
-    line = " ".join(f"u{10000 + i}@h{i % 7}.example.com or v{10000 + i} (at) mail (dot) com" for i in range(8000))
+    line = " ".join(f"u{10000 + i}@h{i % 7}.example.com or v{10000 + i} (at) mail (dot) com" for i in range(8000)) + " end"
     docs = spark.createDataFrame([(i, line if i == 0 else "bob (at) mail (dot) com and a.b@example.com") for i in range(40)], "doc_id long, text string")
     began = time.perf_counter()
     row = find_spans(docs, fit(docs)).where("doc_id = 0").first()
