@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.identifiers import base_and_version, doi_in, doi_key, is_preprint_doi, preprint_id, publication
-from folioscope.functions.matching import match_scores
+from folioscope.operators.pairing import score_pairs
 from folioscope.operators.triage import confidence, decision, reference_match
 from folioscope.plans.registry import Registry
 from folioscope.plans.relations import candidates, papers, table, with_ctes
@@ -138,8 +138,9 @@ def match_score(spark, sf_dir):
     copies = copies.select(F.col("record").alias("x"), F.col("title").alias("t_x"), F.col("names").alias("n_x"), F.col("page_id").alias("y"), F.col("title").alias("t_y"), F.col("names").alias("n_y"))
     both = between.unionByName(within).unionByName(copies)
     turn = lambda c, u, v: F.when(F.col("x") < F.col("y"), F.col(f"{c}{u}")).otherwise(F.col(f"{c}{v}"))
-    scored = both.select(turn("", "x", "y").alias("a"), turn("", "y", "x").alias("b"), match_scores(turn("t_", "x", "y"), turn("n_", "x", "y"), turn("t_", "y", "x"), turn("n_", "y", "x")).alias("s"))
-    return scored.select("a", "b", "s.title", "s.coverage", "s.score")
+    ordered = both.select(turn("", "x", "y").alias("a"), turn("", "y", "x").alias("b"), *(turn(c, u, v).alias(n) for c, u, v, n in [("t_", "x", "y", "title_a"), ("n_", "x", "y", "names_a"), ("t_", "y", "x", "title_b"), ("n_", "y", "x", "names_b")]))
+    scored = score_pairs(ordered)
+    return scored.select("a", "b", *(F.bround(c, 3).alias(c) for c in ("title", "coverage", "score")))
 
 
 _SCORED = """s AS (SELECT paper_id, doi_id, '10.1/' || doi_id AS queued, CASE WHEN doi_id % 5 = 0 THEN NULL WHEN doi_id % 5 = 1 THEN '10.48550/arxiv.' || doi_id WHEN doi_id % 5 = 2 THEN '10.1/' || (doi_id + 1) ELSE '10.1/' || doi_id END AS linked,

@@ -1,7 +1,7 @@
 from itertools import combinations
 
-from folioscope.functions.matching import record_score
 from folioscope.plans.linkage import match_score, title_similar_pairs
+from tests.plain_matching import record_score
 
 COMMON = ["on the trees of graphs", "the graphs of large trees on sets"]
 
