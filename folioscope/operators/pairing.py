@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.matching import equal_runs, people, title_keys
+from folioscope.operators.stored import written
 
 #: Weights of a record's score, and of a title's: fixed values.
 TITLE_SHARE, WORD_SHARE = 0.75, 0.65
@@ -136,22 +137,25 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
     Every different title and list of names is read once, every different pair of title keys and of lists is scored once, and
     pairs take their scores by joins. Null titles are empty, null lists have no names. Pairs that repeat get equal
-    scores; columns title, coverage and score are replaced; an empty table gives an empty result.
+    scores; columns title, coverage and score are replaced; an empty table gives an empty result. Pairs and people's
+    scores are written tables.
     """
     kept = [c for c in pairs.columns if c not in ("title", "coverage", "score")]
     whole = pairs.select(*kept).withColumns({c: F.coalesce(c, F.lit("")) for c in ("title_a", "title_b")} | {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("names_a", "names_b")})
+    whole = written(whole, "pairs")  # read several times below
     either = lambda column: whole.select(F.col(f"{column}_a").alias(column)).union(whole.select(F.col(f"{column}_b").alias(column))).distinct()
     keys = either("title").withColumn("key", title_keys("title"))
     read = either("names").withColumn("read", people("names"))
     side = lambda df, column, new, end: df.select(F.col(column).alias(f"{column}_{end}"), F.col(new).alias(f"{new}_{end}"))
     keyed = reduce(lambda df, end: df.join(side(keys, "title", "key", end), f"title_{end}"), "ab", whole)
+    keyed = written(keyed, "keyed")
     runs = keyed.select("key_a", "key_b").distinct()
     equal = _joined(F.col("key_a")) == _joined(F.col("key_b"))
     runs = runs.where(equal).withColumn("runs", F.lit(1.0)).union(runs.where(~equal).withColumn("runs", equal_runs("key_a", "key_b")))
     titles = runs.select("key_a", "key_b", title_similarity(F.col("key_a"), F.col("key_b"), F.col("runs")).alias("_title"))
     lists = whole.select("names_a", "names_b").distinct()
     lists = reduce(lambda df, end: df.join(side(read, "names", "read", end), f"names_{end}"), "ab", lists)
-    who = lists.select("names_a", "names_b", people_scores(F.col("read_a"), F.col("read_b")).alias("_who"))
+    who = written(lists.select("names_a", "names_b", people_scores(F.col("read_a"), F.col("read_b")).alias("_who")), "people")
     both = keyed.join(titles, ["key_a", "key_b"]).join(who, ["names_a", "names_b"])
     score = record_score(F.col("key_a"), F.col("key_b"), F.col("_title"), F.col("_who"))
     return both.select(*kept, F.col("_title").alias("title"), F.col("_who.coverage").alias("coverage"), score.alias("score"))
