@@ -1,4 +1,4 @@
-"""Full-text filters and a relevance score over token arrays.
+"""Full-text filters over token arrays, and a relevance score by counts of words.
 
 The score of a document is the sum over query words of tf * idf ** 2 with idf = log10(N / df), over runs of
 [a-z0-9] in lower case.
@@ -14,30 +14,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def holds_all(token_list: Column, words: list[str]) -> Column:
-    """Boolean mode: every word is required."""
-    return F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(token_list, w))
-
-
 def holds_any(token_list: Column, words: list[str]) -> Column:
     """Natural-language mode, as a filter."""
     return F.arrays_overlap(token_list, F.array(*map(F.lit, words)))
 
 
-def scored(docs: DataFrame, token_list: str, words: list[str], name: str = "text_score") -> DataFrame:
-    """Adds the relevance of words to docs; document frequencies take one pass and one row."""
-    counts = [F.count_if(F.array_contains(token_list, w)).alias(f"df{i}") for i, w in enumerate(words)]
-    stats = docs.agg(F.count("*").alias("_n"), *counts)
-    terms = []
-    for i, w in enumerate(words):
-        tf = F.size(F.filter(token_list, _is(w)))
-        idf = F.when(F.col(f"df{i}") > 0, F.log10(F.col("_n") / F.col(f"df{i}"))).otherwise(0.0)
-        terms.append(tf * idf * idf)
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return docs.join(F.broadcast(stats)).withColumn(name, F.round(total, 6)).drop("_n", *(f"df{i}" for i in range(len(words))))  # one row
-
-
-def _is(word: str):
-    return lambda t: t == word
+def counted(text: Column, word: str) -> Column:
+    """How often a word (of [a-z0-9]) is among the tokens of a text, without making tokens."""
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z0-9]){word}(?![a-z0-9])"))
+
+
+def scored(docs: DataFrame, text: Column, words: list[str], name: str = "text_score") -> DataFrame:
+    """The rows of docs that hold every word, with the relevance of words; document frequencies take one pass and one row."""
+    times = [F.when(F.contains(F.lower(text), F.lit(w)), counted(text, w)).otherwise(0) for w in words]
+    stats = docs.agg(F.count("*").alias("_n"), *(F.count_if(n > 0).alias(f"_df{i}") for i, n in enumerate(times)))
+    tallied = docs.withColumns({f"_tf{i}": n for i, n in enumerate(times)})
+    for i in range(len(words)):
+        tallied = tallied.where(F.col(f"_tf{i}") > 0)
+    total = F.lit(0.0)
+    for i in range(len(words)):
+        idf = F.log10(F.col("_n") / F.col(f"_df{i}"))  # a row that is left holds the word
+        total = total + F.col(f"_tf{i}") * idf * idf
+    whole = tallied.join(F.broadcast(stats)).withColumn(name, F.round(total, 6))  # one row
+    return whole.drop("_n", *(f"{c}{i}" for i in range(len(words)) for c in ("_df", "_tf")))

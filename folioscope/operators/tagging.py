@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Phrases of a dictionary that fits in one broadcast row.
+SMALL_DICTIONARY = 10_000
+
+
 def phrase_links(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(id, keyword_id) for docs (id, grams array) and dictionary (phrase, keyword_id): one row for each pair.
 
     Grams of a document are made distinct before they are joined.
     """
+    if dictionary.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:  # then only known grams are exploded and shuffled
+        known = dictionary.agg(F.collect_set("phrase").alias("_known"))
+        docs = docs.join(F.broadcast(known)).withColumn("grams", F.array_intersect("grams", "_known"))
     grams = docs.select("id", F.explode(F.array_distinct("grams")).alias("phrase"))
     return grams.join(dictionary, "phrase").select("id", "keyword_id").distinct()
 

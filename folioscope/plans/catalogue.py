@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import editing, enrichment, linkage, list_edits, listings, lookup, merges, mining, passes, personal, review, rollups, search, streams, transitions
+from folioscope.plans import editing, enrichment, linkage, list_edits, listings, lookup, merges, mining, passes, personal, review, rollups, search, streams, suggest, transitions
 
-MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, review, editing, enrichment, lookup, list_edits, passes, merges, streams]
+MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, review, editing, enrichment, lookup, list_edits, passes, merges, suggest, streams]
 
 
 def queries() -> dict:

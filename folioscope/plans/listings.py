@@ -109,10 +109,11 @@ def late_attach_authors_whole(spark, sf_dir):
 @query(with_ctes("papers", "paper_keywords", "keywords") + """SELECT p.id, coalesce(string_agg(k.phrase || ':' || k.score || ':' || pk.source, ', ' ORDER BY k.score DESC, k.phrase, k.keyword_id), '') AS keywords
 FROM papers p LEFT JOIN paper_keywords pk ON pk.paper_id = p.id LEFT JOIN keywords k ON k.keyword_id = pk.keyword_id AND k.active WHERE p.status = 'P' GROUP BY p.id""")
 def attach_keywords_struct(spark, sf_dir):
-    links = paper_keywords(spark, sf_dir).join(keywords(spark, sf_dir).where("active"), "keyword_id")
+    wanted = papers(spark, sf_dir).where("status = 'P'").select("id")
+    links = paper_keywords(spark, sf_dir).join(wanted.select(F.col("id").alias("paper_id")), "paper_id", "left_semi").join(keywords(spark, sf_dir).where("active"), "keyword_id")
     shown = F.struct("phrase", "score", "source")
     lists = ordered_list(links, "paper_id", F.struct(-F.col("score"), "phrase", "keyword_id"), shown, "keywords")
-    whole = attach(papers(spark, sf_dir).where("status = 'P'").select("id"), lists, "id", "paper_id", "keywords")
+    whole = attach(wanted, lists, "id", "paper_id", "keywords")
     return whole.select("id", F.array_join(F.transform("keywords", lambda k: F.concat_ws(":", k["phrase"], k["score"].cast("string"), k["source"])), ", ").alias("keywords"))
 
 

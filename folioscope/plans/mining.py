@@ -95,9 +95,11 @@ def slugs_whole(spark, sf_dir):
 _LISTS = "lists AS (SELECT paper_id, string_agg(split_part(name, '#', 1) || 'A' || author_id, '' ORDER BY author_order, author_id) AS names FROM paper_authors JOIN authors USING (author_id) GROUP BY paper_id)"
 
 
-def _lists(spark, sf_dir):
+def _lists(spark, sf_dir, only=None):
+    """Author lists, of the papers (paper_id) in only or of all."""
     named = F.concat(F.substring_index("name", "#", 1), F.lit(" A"), F.col("author_id"))
-    links = paper_authors(spark, sf_dir).join(authors(spark, sf_dir), "author_id").withColumn("full", named)
+    links = paper_authors(spark, sf_dir) if only is None else paper_authors(spark, sf_dir).join(only, "paper_id", "left_semi")
+    links = links.join(authors(spark, sf_dir), "author_id").withColumn("full", named)
     return ordered_list(links, "paper_id", F.struct("author_order", "author_id"), F.col("full"), "authors")
 
 
@@ -106,7 +108,7 @@ SELECT id, names || '1998' AS key FROM papers JOIN lists ON paper_id = id WHERE
 def bibtex_key_lookup(spark, sf_dir):
     """Keys of one year's papers, to be matched with a searched key: the year is a range on the date."""
     year = papers(spark, sf_dir).where("published_date >= DATE '1998-01-01' AND published_date < DATE '1999-01-01'").select("id")
-    keyed = year.join(_lists(spark, sf_dir), F.col("id") == F.col("paper_id")).select("id", citation_key(F.col("authors"), F.lit(1998), True).alias("key"))
+    keyed = year.join(_lists(spark, sf_dir, year.select(F.col("id").alias("paper_id"))), F.col("id") == F.col("paper_id")).select("id", citation_key(F.col("authors"), F.lit(1998), True).alias("key"))
     return keyed.where(F.lower("key").startswith("a1"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.operators.fulltext import holds_all, holds_any, scored, tokens
+from folioscope.operators.fulltext import holds_any, scored, tokens
 from folioscope.plans.registry import Registry
 from folioscope.plans.relations import authors, keywords, paper_authors, paper_keywords, papers, table, texts, with_ctes
 
@@ -41,8 +41,7 @@ def search_like_ranked(spark, sf_dir):
 SELECT doc_id, round(len(list_filter(toks, lambda x: x = 'the')) * log10(n / d0) * log10(n / d0) + len(list_filter(toks, lambda x: x = 'with')) * log10(n / d1) * log10(n / d1), 6) AS text_score
 FROM t, df WHERE list_contains(toks, 'the') AND list_contains(toks, 'with') ORDER BY text_score DESC, doc_id DESC LIMIT 100""")
 def search_fulltext_boolean(spark, sf_dir):
-    docs = texts(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("toks"))
-    found = scored(docs, "toks", ["the", "with"]).where(holds_all(F.col("toks"), ["the", "with"]))
+    found = scored(texts(spark, sf_dir).select("doc_id", "text"), F.col("text"), ["the", "with"])
     return found.select("doc_id", "text_score").orderBy(F.desc("text_score"), F.desc("doc_id")).limit(100)
 
 
