@@ -21,7 +21,8 @@ def decide(lists: DataFrame, requests: DataFrame) -> DataFrame:
     named, own = F.col("action") != "delete", F.col("action") != "create"
     name = F.when(named, F.substring(F.trim("new_name"), 1, NAME_LENGTH))
     r = requests.withColumn("new_name", name).withColumn("_name", F.lower("new_name")).withColumn("_list", F.when(own, F.lower("list_name")))
-    held = lists.select(F.col("user_id").alias("_u"), F.lower("list_name").alias("_held"), "is_starred")
+    # Stored names that differ in their case only are one list, starred if any of them is.
+    held = lists.groupBy(F.col("user_id").alias("_u"), F.lower("list_name").alias("_held")).agg(F.bool_or("is_starred").alias("is_starred"))
     used = lists.select(F.col("user_id").alias("_v"), F.lower("list_name").alias("_used")).distinct()
     r = r.join(held, (F.col("user_id") == F.col("_u")) & (F.col("_list") == F.col("_held")), "left")
     r = r.join(used, (F.col("user_id") == F.col("_v")) & (F.col("_name") == F.col("_used")), "left")
