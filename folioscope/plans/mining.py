@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.functions.bibtex import citation_key, entry, protect_capitals
+from folioscope.functions.bibtex import citation_key, entry, protect_capitals, reformat
 from folioscope.functions.text import LATEX_RULES, SINGULARS, STOPWORDS, WORD, ngrams, slugify, useful, words
 from folioscope.operators.attach import ordered_list
 from folioscope.operators.tagging import document_frequency, phrase_links
@@ -130,3 +130,15 @@ def _entries(p):
 def bibtex_entries_whole(spark, sf_dir):
     """Entries of all papers, not of the last two months' only."""
     return _entries(papers(spark, sf_dir))
+
+
+@query(with_ctes("papers") + """SELECT id, '@article{F' || user_id || 'Li' || year(published_date) || ',' || chr(10) || '  author = {F' || user_id || ', Jo and Ann Li},' || chr(10) || '  title = {On {deep ' || lower(category) || '}},' || chr(10) || '  year = {' || year(published_date) || '},' || chr(10)
+|| '  journal = {J. {of {S}}},' || chr(10) || CASE WHEN status = 'F' THEN '  doi = {10.1/' || id || '},' || chr(10) ELSE '' END || '  month = {jan},' || chr(10) || '  note = {x = {y, "z"}}' || chr(10) || '}' AS bibtex FROM papers""")
+def bibtex_reformatted(spark, sf_dir):
+    """Entries with nested braces, quotes, bare values and missing commas, in the house style."""
+    p, text = papers(spark, sf_dir), F.lit
+    raw = F.concat(
+        text("@Article{Old_"), "id", text(",\n note = {x = {y, \"z\"}}, Title={On {{deep} "), F.lower("category"), text("}},\n author = \"F"), "user_id", text(", Jo and\n Ann Li\" year = "), F.year("published_date").cast("string"),
+        text("\n journal = {J. {of {S}}}, month = jan, DOI = {"), F.when(F.col("status") == "F", F.concat(text("10.1/"), "id")).otherwise(""), text("}\n}"),
+    )
+    return reformat(p.select("id", raw.alias("raw"))).select("id", "bibtex")
