@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import documents, editing, enrichment, linkage, list_edits, listings, lookup, merges, mining, passes, personal, retagging, review, rollups, search, streams, suggest, transitions
+from folioscope.plans import documents, editing, enrichment, linkage, list_edits, listings, lookup, marks, merges, mining, passes, personal, retagging, review, rollups, search, streams, suggest, transitions
 
-MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, review, editing, enrichment, lookup, list_edits, passes, merges, suggest, retagging, documents, streams]
+MODULES: list = [listings, rollups, search, personal, transitions, mining, linkage, review, editing, enrichment, lookup, list_edits, passes, merges, suggest, retagging, documents, marks, streams]
 
 
 def queries() -> dict:
