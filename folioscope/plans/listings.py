@@ -86,13 +86,6 @@ def papers_on_date(spark, sf_dir):
     return found.join(F.broadcast(pages))  # one row
 
 
-@query(with_ctes("papers", "paper_authors", "authors") + """SELECT paper_id AS id, string_agg(name, '\t' ORDER BY author_order, author_id) AS authors, count(*) AS n_authors
-FROM paper_authors JOIN authors USING (author_id) JOIN papers ON papers.id = paper_id WHERE published_date >= DATE '2001-07-01' GROUP BY paper_id""")
-def late_attach_authors(spark, sf_dir):
-    recent = papers(spark, sf_dir).where("published_date >= DATE '2001-07-01'").select(F.col("id").alias("paper_id"))
-    return _with_authors(spark, sf_dir, recent)
-
-
 def _with_authors(spark, sf_dir, parents):
     links = paper_authors(spark, sf_dir).join(parents, "paper_id", "left_semi").join(authors(spark, sf_dir), "author_id")
     lists = ordered_list(links, "paper_id", F.struct("author_order", "author_id"), F.col("name"), "authors")
@@ -102,7 +95,7 @@ def _with_authors(spark, sf_dir, parents):
 @query(with_ctes("papers", "paper_authors", "authors") + """SELECT paper_id AS id, string_agg(name, '\t' ORDER BY author_order, author_id) AS authors, count(*) AS n_authors
 FROM paper_authors JOIN authors USING (author_id) JOIN papers ON papers.id = paper_id GROUP BY paper_id""")
 def late_attach_authors_whole(spark, sf_dir):
-    """Author lists of every paper that has authors, not of the last month's only."""
+    """Author lists of every paper that has authors."""
     return _with_authors(spark, sf_dir, papers(spark, sf_dir).select(F.col("id").alias("paper_id")))
 
 
@@ -123,3 +116,6 @@ def random_paper(spark, sf_dir):
     p = papers(spark, sf_dir)
     place = p.agg((F.min("id") + F.floor((F.max("id") - F.min("id") + 1) * F.lit(0.37))).alias("place"))
     return p.join(F.broadcast(place), F.col("id") >= F.col("place")).orderBy("id").limit(1).select("id", "category")  # one row
+
+
+registry.also("late_attach_authors", "late_attach_authors_whole")

@@ -81,14 +81,9 @@ def phrase_tagging(spark, sf_dir):
     return phrase_links(_grams(spark, sf_dir, 2), known).select("keyword_id", "id")
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^a-z0-9\\s-]', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)), '\\s+', '-', 'g'), '-+', '-', 'g') AS slug FROM documents""")
-def slugs(spark, sf_dir):
-    return texts(spark, sf_dir).select("doc_id", slugify(F.substring("text", 1, 60)).alias("slug"))
-
-
-@query()
+@query("""SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9\\s-]', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)), '\\s+', '-', 'g'), '-+', '-', 'g') AS slug FROM documents""")
 def slugs_whole(spark, sf_dir):
-    """Slugs of whole texts; slugs takes the first 60 characters."""
+    """Slugs of whole texts."""
     return texts(spark, sf_dir).select("doc_id", slugify(F.col("text")).alias("slug"))
 
 
@@ -112,13 +107,6 @@ def bibtex_key_lookup(spark, sf_dir):
     return keyed.where(F.lower("key").startswith("a1"))
 
 
-@query(with_ctes("papers") + """SELECT id, '@article{P' || id || ',' || chr(10) || '  title = {' || substr(category, 1, 1) || regexp_replace(regexp_replace(substr(category, 2), '([A-Z]{2,})', '{\\1}', 'g'), '([A-Z])', '{\\1}', 'g') || '},' || chr(10) || '  year = {' || year(published_date) || '}'
-|| CASE WHEN status = 'F' THEN ',' || chr(10) || '  doi = {10.1000/' || id || '}' ELSE '' END || chr(10) || '}' AS bibtex FROM papers WHERE published_date >= DATE '2001-06-01'""")
-def bibtex_entries(spark, sf_dir):
-    recent = papers(spark, sf_dir).where("published_date >= DATE '2001-06-01'")
-    return _entries(recent)
-
-
 def _entries(p):
     doi = F.when(F.col("status") == "F", F.concat(F.lit("10.1000/"), "id"))
     fields = [("title", protect_capitals(F.col("category"))), ("year", F.year("published_date").cast("string")), ("doi", doi)]
@@ -128,7 +116,7 @@ def _entries(p):
 @query(with_ctes("papers") + """SELECT id, '@article{P' || id || ',' || chr(10) || '  title = {' || substr(category, 1, 1) || regexp_replace(regexp_replace(substr(category, 2), '([A-Z]{2,})', '{\\1}', 'g'), '([A-Z])', '{\\1}', 'g') || '},' || chr(10) || '  year = {' || year(published_date) || '}'
 || CASE WHEN status = 'F' THEN ',' || chr(10) || '  doi = {10.1000/' || id || '}' ELSE '' END || chr(10) || '}' AS bibtex FROM papers""")
 def bibtex_entries_whole(spark, sf_dir):
-    """Entries of all papers, not of the last two months' only."""
+    """Entries of all papers."""
     return _entries(papers(spark, sf_dir))
 
 
@@ -142,3 +130,7 @@ def bibtex_reformatted(spark, sf_dir):
         text("\n journal = {J. {of {S}}}, month = jan, DOI = {"), F.when(F.col("status") == "F", F.concat(text("10.1/"), "id")).otherwise(""), text("}\n}"),
     )
     return reformat(p.select("id", raw.alias("raw"))).select("id", "bibtex")
+
+
+registry.also("slugs", "slugs_whole")
+registry.also("bibtex_entries", "bibtex_entries_whole")

@@ -20,3 +20,9 @@ class Registry:
             return f
 
         return add
+
+    def also(self, name: str, of: str) -> None:
+        """Another name of a query; earlier versions gave it a part of the tables or texts only."""
+        self.queries[name] = self.queries[of]
+        if of in self.sql:
+            self.sql[name] = self.sql[of]

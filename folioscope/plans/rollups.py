@@ -77,38 +77,25 @@ def year_counts(spark, sf_dir):
     return papers(spark, sf_dir).groupBy(F.year("published_date").alias("year")).agg(F.count("*").alias("n"))
 
 
-_MONTHS = "months AS (SELECT cast(unnest(generate_series(DATE '1991-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS m), filled AS (SELECT DISTINCT date_trunc('month', published_date) AS m FROM papers WHERE day(published_date) > 3 AND id % 97 < 3)"
-
-
-def _missing(spark, sf_dir, some="day(published_date) > 3 AND id % 97 < 3"):
+def _missing(spark, sf_dir):
     months = spark.range(1).select(F.explode(F.expr("sequence(DATE '1991-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)")).alias("m"))
-    filled = papers(spark, sf_dir).where(some).select(F.trunc("published_date", "month").alias("m")).distinct()
+    filled = papers(spark, sf_dir).select(F.trunc("published_date", "month").alias("m")).distinct()
     return months.join(filled, "m", "left_anti")
 
 
-@query(with_ctes("papers", more=_MONTHS) + "SELECT strftime(m, '%Y-%m') AS month FROM months WHERE m NOT IN (SELECT m FROM filled)")
-def missing_months(spark, sf_dir):
-    return _missing(spark, sf_dir).select(F.date_format("m", "yyyy-MM").alias("month"))
-
-
-@query(with_ctes("papers", more=_MONTHS) + "SELECT strftime(max(m), '%Y-%m') AS month FROM months WHERE m NOT IN (SELECT m FROM filled)")
-def latest_gap_month(spark, sf_dir):
-    """The gap that an ingest fills next: the last month without papers."""
-    return _missing(spark, sf_dir).agg(F.date_format(F.max("m"), "yyyy-MM").alias("month"))
-
-
 _ALL_MONTHS = "months AS (SELECT cast(unnest(generate_series(DATE '1991-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS m), filled AS (SELECT DISTINCT date_trunc('month', published_date) AS m FROM papers)"
 
 
 @query(with_ctes("papers", more=_ALL_MONTHS) + "SELECT strftime(m, '%Y-%m') AS month FROM months m WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.m = m.m)")
 def missing_months_whole(spark, sf_dir):
-    """Months without any paper; missing_months looks at some papers only."""
-    return _missing(spark, sf_dir, "true").select(F.date_format("m", "yyyy-MM").alias("month"))
+    """Months without any paper."""
+    return _missing(spark, sf_dir).select(F.date_format("m", "yyyy-MM").alias("month"))
 
 
 @query(with_ctes("papers", more=_ALL_MONTHS) + "SELECT strftime(max(m.m), '%Y-%m') AS month FROM months m WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.m = m.m)")
 def latest_gap_month_whole(spark, sf_dir):
-    return _missing(spark, sf_dir, "true").agg(F.date_format(F.max("m"), "yyyy-MM").alias("month"))
+    """The gap that an ingest fills next: the last month without papers."""
+    return _missing(spark, sf_dir).agg(F.date_format(F.max("m"), "yyyy-MM").alias("month"))
 
 
 @query(with_ctes("users", "papers", "activity") + """SELECT u.nation_id, count(DISTINCT u.user_id) AS users, count(DISTINCT p.id) AS papers, count(DISTINCT a.event_id) AS events
@@ -132,3 +119,7 @@ FROM keywords k JOIN paper_keywords pk USING (keyword_id) GROUP BY k.phrase""")
 def keyword_sources(spark, sf_dir):
     joined = paper_keywords(spark, sf_dir).join(keywords(spark, sf_dir), "keyword_id")
     return joined.groupBy("phrase").agg(F.countDistinct("keyword_id").alias("ids"), F.array_join(F.sort_array(F.collect_set("source")), "").alias("sources"))
+
+
+registry.also("missing_months", "missing_months_whole")
+registry.also("latest_gap_month", "latest_gap_month_whole")

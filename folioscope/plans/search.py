@@ -61,23 +61,6 @@ def search_author_all_terms(spark, sf_dir):
     return links.groupBy("paper_id").agg(*hits).where("t0 AND t1 AND t2").select("paper_id")
 
 
-@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(substr(text, 1, 40), '(?i)the') THEN 'title' END, CASE WHEN regexp_matches(source, '(?i)src1') THEN 'author' END,
-CASE WHEN regexp_matches(text, '(?i)licensed') THEN 'keyword' END, CASE WHEN regexp_matches(text, '(?i)the') THEN 'abstract' END], lambda x: x IS NOT NULL), ',') AS labels FROM documents""")
-def search_match_labels(spark, sf_dir):
-    """Where a document matched, in a fixed order."""
-    d = texts(spark, sf_dir)
-    label = lambda c, pattern, name: F.when(c.rlike(f"(?i){pattern}"), name)
-    shown = F.array(label(F.substring("text", 1, 40), "the", "title"), label(F.col("source"), "src1", "author"), label(F.col("text"), "licensed", "keyword"), label(F.col("text"), "the", "abstract"))
-    return d.select("doc_id", F.array_join(F.array_distinct(F.array_compact(shown)), ",").alias("labels"))
-
-
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 200), '&', '&amp;', 'g'), '<', '&lt;', 'g'), '>', '&gt;', 'g'), '(?i)(thhe|the)', '<mark>\\1</mark>', 'g') AS shown
-FROM documents WHERE lang = 'en'""")
-def search_highlight(spark, sf_dir):
-    """Marks the terms, longest first, in escaped text."""
-    return _highlighted(spark, sf_dir, F.substring("text", 1, 200))
-
-
 def _highlighted(spark, sf_dir, part):
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         part = F.regexp_replace(part, raw, safe)
@@ -86,15 +69,19 @@ def _highlighted(spark, sf_dir, part):
 
 @query("""SELECT doc_id, regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(thhe|the)', '<mark>\\1</mark>', 'g') AS shown FROM documents WHERE lang = 'en'""")
 def search_highlight_whole(spark, sf_dir):
-    """Marks the terms in whole texts; search_highlight takes the first 200 characters."""
+    """Marks the terms, longest first, in escaped whole texts."""
     return _highlighted(spark, sf_dir, F.col("text"))
 
 
 @query("""SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(regexp_extract(html, '<title>([^<]*)', 1), '(?i)the') THEN 'title' END, CASE WHEN regexp_matches(regexp_extract(url, '://([^/]+)', 1), '(?i)a') THEN 'author' END,
 CASE WHEN regexp_matches(html, '(?i)licensed') THEN 'keyword' END, CASE WHEN regexp_matches(html, '(?i)the') THEN 'abstract' END], lambda x: x IS NOT NULL), ',') AS labels FROM pages""")
 def search_match_labels_whole(spark, sf_dir):
-    """Where a page matched, by its whole title; search_match_labels takes the first 40 characters of a text as its title."""
+    """Where a page matched, by its whole title, in a fixed order."""
     label = lambda c, pattern, name: F.when(c.rlike(f"(?i){pattern}"), name)
     part = lambda c, pattern: F.regexp_extract(c, pattern, 1)
     shown = F.array(label(part("html", "<title>([^<]*)"), "the", "title"), label(part("url", "://([^/]+)"), "a", "author"), label(F.col("html"), "licensed", "keyword"), label(F.col("html"), "the", "abstract"))
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_compact(shown), ",").alias("labels"))
+
+
+registry.also("search_highlight", "search_highlight_whole")
+registry.also("search_match_labels", "search_match_labels_whole")

@@ -83,26 +83,6 @@ def upsert_on_duplicate(spark, sf_dir):
     return upsert(u.where("user_id % 3 <> 0"), new, ["user_id"], ["user_name"])
 
 
-@query(with_ctes("papers") + """, stored AS (SELECT id % 4000 AS base_id, id // 4000 AS version, category AS title, CASE WHEN status = 'F' THEN 'doi-' || id END AS doi, CASE WHEN amount > 400000 THEN 'verified' WHEN status = 'F' THEN 'auto' END AS doi_status FROM papers WHERE id < 8000 AND id % 2 = 0
-  QUALIFY row_number() OVER (PARTITION BY id % 4000 ORDER BY id DESC) = 1),
-incoming AS (SELECT id % 4000 AS base_id, id // 4000 AS version, category AS title, CASE WHEN status = 'O' THEN 'doi-' || id END AS doi FROM papers WHERE id >= 4000
-  QUALIFY row_number() OVER (PARTITION BY id % 4000 ORDER BY id DESC) = 1)
-SELECT coalesce(s.base_id, i.base_id) AS base_id,
-  CASE WHEN s.base_id IS NULL OR i.version >= s.version THEN i.version ELSE s.version END AS version,
-  CASE WHEN s.base_id IS NULL OR i.version >= s.version THEN i.title ELSE s.title END AS title,
-  CASE WHEN i.base_id IS NULL OR i.version < s.version OR s.doi_status = 'verified' THEN s.doi ELSE coalesce(i.doi, s.doi) END AS doi,
-  CASE WHEN i.base_id IS NULL OR i.version < s.version OR s.doi_status = 'verified' OR i.doi IS NULL THEN s.doi_status ELSE 'auto' END AS doi_status
-FROM stored s FULL JOIN incoming i ON i.base_id = s.base_id""")
-def versioned_upsert(spark, sf_dir):
-    """Revisions overwrite unless an equal or newer one is stored; a verified identifier stays, a new one wins over an automatic one."""
-    p = papers(spark, sf_dir)
-    base, version = (F.col("id") % 4000).alias("base_id"), F.floor(F.col("id") / 4000).alias("version")
-    auto = F.when(F.col("amount") > 400000, "verified").when(F.col("status") == "F", "auto")
-    stored = newest_version(p.where("id < 8000 AND id % 2 = 0").select(base, version, F.col("category").alias("title"), F.when(F.col("status") == "F", F.concat(F.lit("doi-"), "id")).alias("doi"), auto.alias("doi_status")), "base_id", F.col("version"))
-    incoming = newest_version(p.where("id >= 4000").select(base, version, F.col("category").alias("title"), F.when(F.col("status") == "O", F.concat(F.lit("doi-"), "id")).alias("doi")), "base_id", F.col("version"))
-    return _merged(stored, incoming)
-
-
 def _merged(stored, incoming):
     joined = stored.alias("s").join(incoming.alias("i"), "base_id", "full_outer")
     stale = F.col("i.version").isNull() | F.coalesce(F.col("i.version") < F.col("s.version"), F.lit(False))
@@ -161,18 +141,6 @@ def state_diff_full_outer(spark, sf_dir):
     return difference(old, new, "id", ["status", "category"])
 
 
-@query(with_ctes("papers") + """SELECT count(*) AS n, cast(count_if(status = 'F') AS BIGINT) AS verified, count(DISTINCT user_id) AS owners, (SELECT count(*) FROM (SELECT user_id FROM papers GROUP BY user_id HAVING count(*) > 1)) AS shared,
-sha256(string_agg(id || ':' || status, ',' ORDER BY id)) AS digest FROM papers WHERE id < 2000""")
-def state_summary(spark, sf_dir):
-    """Counts and a digest of a bounded state, to be compared before and after a merge is applied."""
-    p = papers(spark, sf_dir)
-    shared = p.groupBy("user_id").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("shared"))
-    part = p.where("id < 2000")
-    lines = F.array_sort(F.collect_list(F.struct("id", F.concat_ws(":", F.col("id").cast("string"), "status").alias("line"))))
-    own = part.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "F").alias("verified"), F.countDistinct("user_id").alias("owners"), F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ","), 256).alias("digest"))
-    return own.join(F.broadcast(shared))  # one row
-
-
 @query(with_ctes("papers") + """, h AS (SELECT user_id, status, md5(id || ':' || status) AS m FROM papers)
 SELECT count(*) AS n, cast(count_if(status = 'F') AS BIGINT) AS verified, count(DISTINCT user_id) AS owners, (SELECT count(*) FROM (SELECT user_id FROM papers GROUP BY user_id HAVING count(*) > 1)) AS shared,
 concat_ws('-', cast(sum(cast('0x' || substr(m, 1, 15) AS BIGINT)) AS VARCHAR), cast(sum(cast('0x' || substr(m, 16, 15) AS BIGINT)) AS VARCHAR)) AS digest FROM h""")
@@ -215,3 +183,7 @@ def candidate_status_precedence(spark, sf_dir):
     used = joined.groupBy("phrase").agg(F.count("*").alias("n"), F.bool_or("active").alias("useful"), flag(1).alias("alias"), flag(2).alias("math"), flag(3).alias("ignored"))
     status = F.when(F.col("useful") & (F.col("n") % 2 == 0), "useful").when(F.col("alias"), "alias").when(F.col("math"), "math").when(F.col("ignored"), "ignore").otherwise("unreviewed")
     return used.select("phrase", "n", status.alias("status"))
+
+
+registry.also("state_summary", "state_summary_whole")
+registry.also("versioned_upsert", "versioned_upsert_whole")
