@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.asof import followed, latest_before
-from folioscope.operators.stored import written
+from folioscope.operators.stored import remove, written
 
 NEW_SCORE = 5
 SCHEMAS = {"keywords": "phrase string, score long", "aliases": "alias string, phrase string", "math": "phrase string", "ignored": "phrase string", "links": "paper_id long, phrase string"}
@@ -63,8 +63,10 @@ def _judged(marks: DataFrame) -> DataFrame:
     asking = marks.where(asks).select(F.col("alias_of").alias("key"), "at", "phrase")
     met = latest_before(asking, own).select(F.struct("phrase", "at").alias("id"), F.col("found").alias("up"), F.col("found").isNotNull().alias("odd"), F.col("found").isNull().alias("value"))
     plain = marks.where(~asks).select(F.struct("phrase", "at").alias("id"), F.lit(None).cast(met.schema["up"].dataType).alias("up"), F.lit(False).alias("odd"), (F.col("status") == "useful").alias("value"))
-    ends = followed(met.unionByName(plain)).select("id.*", (F.col("value") != F.col("odd")).alias("keyword"))
-    return marks.join(ends, ["phrase", "at"])
+    ends = followed(met.unionByName(plain))
+    judged = written(marks.join(ends.select("id.*", (F.col("value") != F.col("odd")).alias("keyword")), ["phrase", "at"]), "judged")
+    remove(ends)
+    return judged
 
 
 def _homes(judged: DataFrame) -> DataFrame:
@@ -81,7 +83,10 @@ def _homes(judged: DataFrame) -> DataFrame:
     up = F.when(F.col("found.moves"), F.struct(F.col("found.phrase").alias("phrase"), F.col("found.at").alias("at")))
     ends = followed(met.select("id", up.alias("up"), F.lit(False).alias("odd"), F.when(F.col("found").isNull(), F.col("key")).alias("value")))
     kept = met.select("id", (F.col("stored") & F.col("found").isNull()).alias("kept"))
-    return ends.join(kept, "id").select("id.*", F.col("value").alias("home"), "kept")
+    homes = written(ends.join(kept, "id").select("id.*", F.col("value").alias("home"), "kept"), "homes")
+    remove(ends)
+    remove(met)
+    return homes
 
 
 def replay_marks(state: Reviewed, marks: DataFrame) -> tuple[Reviewed, DataFrame]:
@@ -91,8 +96,10 @@ def replay_marks(state: Reviewed, marks: DataFrame) -> tuple[Reviewed, DataFrame
     batches follow each other in order of seq.
     """
     new = marks.where("phrase IS NOT NULL AND phrase <> ''").select(F.col("seq").cast("long").alias("at"), "phrase", "status", "alias_of")
-    judged = written(_judged(written(_as_marks(state).unionByName(new), "marks")), "judged")
-    homes = written(_homes(judged), "homes")
+    both = written(_as_marks(state).unionByName(new), "marks")
+    judged = _judged(both)
+    remove(both)
+    homes = _homes(judged)
     last = judged.groupBy("phrase").agg(F.max_by(F.struct("at", "status", "keyword"), "at").alias("l")).select("phrase", "l.*")
     scores = homes.where("kept").join(state.keywords, "phrase").select("phrase", "score")
     keywords = last.where("keyword").join(scores, "phrase", "left").select("phrase", F.coalesce("score", F.lit(NEW_SCORE)).cast("long").alias("score"))
