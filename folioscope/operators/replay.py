@@ -106,7 +106,9 @@ def apply_decisions(papers: DataFrame, candidates: DataFrame, decisions: DataFra
     becomes skipped and the pending candidates are rejected. Null dois hold nothing and match nothing.
     """
     order = F.struct((F.array_position(F.array(*map(F.lit, PASSES)), F.col("decision")) - 1).cast("int").alias("pass"), F.col("candidate_id").cast("long").alias("id"))
-    pending = candidates.where("status = 'pending'").select("candidate_id", "paper_id", "doi")
+    # Every round reads these, so whatever they are made from is worked out once.
+    pending = written(candidates.where("status = 'pending'").select("candidate_id", "paper_id", "doi"), "pending")
+    holding = written(papers.where("doi IS NOT NULL").select("paper_id", "doi"), "holding")
     known = papers.select("paper_id", without_doi(F.col("journal_ref")).alias("_no_doi"))
     target = F.when(F.col("decision") == REPLACING, F.col("linked_doi")).when(F.col("decision") != SKIPPING, F.col("doi"))
     wanted = decisions.where(F.col("decision").isin(PASSES)).join(pending, "candidate_id").join(known, "paper_id")
@@ -116,13 +118,15 @@ def apply_decisions(papers: DataFrame, candidates: DataFrame, decisions: DataFra
     open_ = written(wanted.select("order", *columns), "open")
     done = written(open_.select(*columns).limit(0), "applied")
     while not open_.isEmpty():
-        now, left = _round(open_, papers, pending, done)
+        now, left = _round(open_, holding, pending, done)
         both = written(now.withColumn("_left", F.lit(False)).unionByName(left.withColumn("_left", F.lit(True)), allowMissingColumns=True), "round")
         before = (open_, done)
         done = written(done.unionByName(both.where("NOT _left").select(*columns)), "applied")
         open_ = written(both.where("_left").select("order", *columns), "open")
         for table in (*before, both):
             remove(table)
+    for table in (pending, holding, open_):
+        remove(table)
     return Replayed(_papers_after(papers, done), _candidates_after(candidates, done), done)
 
 

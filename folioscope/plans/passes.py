@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import evidence
 from folioscope.operators.replay import PASSES, apply_decisions
+from folioscope.operators.stored import written
 from folioscope.operators.triage import decision
 from folioscope.plans.registry import Registry
 from folioscope.plans.relations import table
@@ -77,12 +78,19 @@ def _decided(papers, proposals):
     return decided.select("candidate_id", "decision", "linked_doi", sureness.alias("confidence"))
 
 
-def _replayed(spark, sf_dir):
+def _stored(spark, sf_dir):
+    """(papers, proposals, decided), each written once: triage, the rounds and the results read them several times."""
     papers, proposals = _state(spark, sf_dir)
+    proposals = written(proposals, "proposals")
+    papers = written(papers, "papers")
+    return papers, proposals, written(_decided(papers, proposals), "decided")
+
+
+def _replayed(papers, proposals, decided):
     status = F.when(F.col("open"), "pending").otherwise("rejected")
     candidates = proposals.select("candidate_id", "paper_id", "doi", status.alias("status"), F.round(F.col("discount") * 10, 2).alias("confidence"))
     held = papers.select("paper_id", "doi", "doi_status", "doi_confidence", "journal_ref")
-    return apply_decisions(held, candidates, _decided(papers, proposals))
+    return apply_decisions(held, candidates, decided)
 
 
 _STATE = """WITH p0 AS (SELECT l_orderkey AS paper_id, l_partkey * 10 + l_suppkey % 10 AS number, max(l_discount) AS discount, max(l_tax) AS tax, max(l_quantity) AS quantity,
@@ -132,7 +140,7 @@ writes AS (SELECT * FROM applied WHERE pass <> 4)
   CASE WHEN p.doi IS NOT NULL THEN 1.0::DOUBLE ELSE w.confidence END AS doi_confidence FROM papers p LEFT JOIN writes w ON w.paper_id = p.paper_id""")
 def apply_passes(spark, sf_dir):
     """All papers after the seven passes over all pending proposals."""
-    return _replayed(spark, sf_dir).papers.select("paper_id", "doi", "doi_status", "doi_confidence")
+    return _replayed(*_stored(spark, sf_dir)).papers.select("paper_id", "doi", "doi_status", "doi_confidence")
 
 
 @query(_STATE + """SELECT c.paper_id, c.doi, CASE WHEN c.open AND c.doi = w.target AND w.pass <> 2 OR c.doi = w.target AND w.pass = 2 THEN 'approved' WHEN NOT c.open THEN 'rejected' WHEN w.n IS NOT NULL OR r.n IS NOT NULL THEN 'rejected' ELSE 'pending' END AS status,
@@ -141,13 +149,13 @@ FROM proposals c LEFT JOIN writes w ON w.paper_id = c.paper_id LEFT JOIN applied
 UNION ALL SELECT w.paper_id, w.target, 'approved', w.confidence FROM writes w WHERE w.pass = 2 AND NOT EXISTS (FROM proposals c WHERE c.paper_id = w.paper_id AND c.doi = w.target)""")
 def apply_passes_candidates(spark, sf_dir):
     """All candidates after the seven passes, with those that replacements added."""
-    return _replayed(spark, sf_dir).candidates.select("paper_id", "doi", "status", "confidence")
+    return _replayed(*_stored(spark, sf_dir)).candidates.select("paper_id", "doi", "status", "confidence")
 
 
 @query(_STATE + "SELECT decision, count(*) AS decided, count(a.n) AS applied FROM steps LEFT JOIN applied a USING (candidate_id, decision) WHERE steps.pass IS NOT NULL GROUP BY decision")
 def apply_passes_report(spark, sf_dir):
     """How many decisions of each pass there were, and how many held when their turn came."""
-    papers, proposals = _state(spark, sf_dir)
-    decided = _decided(papers, proposals).where(F.col("decision").isin(PASSES)).select("candidate_id", "decision")
-    applied = _replayed(spark, sf_dir).applied.select("candidate_id", F.lit(1).alias("held"))
+    papers, proposals, every = _stored(spark, sf_dir)
+    decided = every.where(F.col("decision").isin(PASSES)).select("candidate_id", "decision")
+    applied = _replayed(papers, proposals, every).applied.select("candidate_id", F.lit(1).alias("held"))
     return decided.join(applied, "candidate_id", "left").groupBy("decision").agg(F.count("*").alias("decided"), F.count("held").alias("applied"))
