@@ -60,43 +60,58 @@ def external_confidence(stored: Column, linked: Column, title: Column, coverage:
 
 def plain_words(text: Column) -> Column:
     """Text without the accents of Latin letters, marks and capitals, its words between single blanks, and one blank at each end."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(ACCENTED), "".join(ACCENTED.values()))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # A table of letters is looked up for each character, so ASCII goes without.
+    folded = F.when(F.length(low) == F.octet_length(low), low).otherwise(F.translate(low, "".join(ACCENTED), "".join(ACCENTED.values())))
     words = F.regexp_replace(folded, "[^a-z0-9]+", " ")
     return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 
 def locators(text: Column) -> Column:
     """Numbers with the letters before them, without points: pages and article numbers."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z]*[0-9]+(\.[0-9]+)*"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![a-z])[a-z]*+[0-9]++(?:\.[0-9]++)*+"), F.lit(0))
     return F.transform(found, lambda t: F.replace(t, F.lit("."), F.lit("")))
 
 
-def reference_evidence(reference: Column, years: Column, volumes: Column, pages: Column, containers: Column) -> Column:
-    """struct(year, volume, locator, has_locator, container) of a free-form reference against a record's lists of strings.
-
-    container is the greatest share of a journal name's words that the reference has. Empty lists and a null
-    reference give no evidence.
-    """
+def record_reading(volumes: Column, pages: Column, containers: Column) -> Column:
+    """struct(volumes, locators, has_locator, containers): what a record's lists of strings say, read once for all references to it."""
+    listed = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")
+    counted = lambda name: F.array_distinct(F.filter(F.split(F.trim(plain_words(name)), " "), lambda w: (w != "") & ~w.isin(CONTAINER_STOPWORDS)))
+    return F.struct(
+        F.filter(F.transform(listed(volumes), plain_words), lambda v: F.trim(v) != "").alias("volumes"),
+        F.filter(F.transform(listed(pages), lambda p: F.get(locators(p), F.lit(0))), lambda p: F.length(p) >= 2).alias("locators"),
+        (F.size(listed(pages)) > 0).alias("has_locator"),
+        F.filter(F.transform(listed(containers), counted), lambda name: F.size(name) > 0).alias("containers"),
+    )
+
+
+def reading_evidence(reference: Column, years: Column, reading: Column) -> Column:
+    """reference_evidence of a record that record_reading has read."""
+    share = lambda name, whole: F.size(F.array_intersect(name, whole)) / F.size(name)
     listed = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")
 
     def against(words):
         whole = F.split(F.trim(words), " ")
-        counted = lambda name: F.array_distinct(F.filter(F.split(F.trim(plain_words(name)), " "), lambda w: (w != "") & ~w.isin(CONTAINER_STOPWORDS)))
-        share = lambda name: F.when(F.size(name) > 0, F.size(F.array_intersect(name, whole)) / F.size(name)).otherwise(0.0)
-        in_words = lambda v: (F.trim(plain_words(v)) != "") & words.contains(plain_words(v))
-        known = locators(reference)
-        first = lambda p: F.get(locators(p), F.lit(0))
         return F.struct(
             F.exists(listed(years), lambda y: _sure(reference.contains(y))).alias("year"),
-            F.exists(listed(volumes), in_words).alias("volume"),
-            F.exists(listed(pages), lambda p: _sure((F.length(first(p)) >= 2) & F.array_contains(known, first(p)))).alias("locator"),
-            (F.size(listed(pages)) > 0).alias("has_locator"),
-            F.coalesce(F.array_max(F.transform(listed(containers), lambda c: share(counted(c)))), F.lit(0.0)).alias("container"),
+            F.exists(reading["volumes"], words.contains).alias("volume"),
+            F.coalesce(F.arrays_overlap(reading["locators"], locators(reference)), F.lit(False)).alias("locator"),
+            reading["has_locator"].alias("has_locator"),
+            F.coalesce(F.array_max(F.transform(reading["containers"], lambda name: share(name, whole))), F.lit(0.0)).alias("container"),
         )
 
     return F.element_at(F.transform(F.array(plain_words(reference)), against), 1)
 
 
+def reference_evidence(reference: Column, years: Column, volumes: Column, pages: Column, containers: Column) -> Column:
+    """struct(year, volume, locator, has_locator, container) of a free-form reference against a record's lists of strings.
+
+    container is the greatest share of a journal name's words that the reference has. Empty lists and a null
+    reference give no evidence.
+    """
+    return F.element_at(F.transform(F.array(record_reading(volumes, pages, containers)), lambda reading: reading_evidence(reference, years, reading)), 1)
+
+
 def journal(before: Column, reference: Column, conflict: Column, same: Column, fits: Column, title: Column, coverage: Column) -> Column:
     """A journal reference may overrule any earlier decision: a journal without DOIs is skipped first, then a fitting record approves."""
     words = plain_words(reference)

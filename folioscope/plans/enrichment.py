@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.operators.evidence import journal, reference_evidence
+from folioscope.operators.evidence import journal, reading_evidence, record_reading
 from folioscope.operators.triage import reference_match
 from folioscope.plans.registry import Registry
 from folioscope.plans.relations import candidates, keywords, papers, with_ctes
@@ -24,12 +24,14 @@ matched AS (SELECT *, year AND (locator OR (NOT has_locator AND volume)) AS fits
 def _references(spark, sf_dir):
     """References made of papers' attributes, and records made of their candidates' keywords."""
     p = papers(spark, sf_dir).select(F.col("id").alias("paper_id"), F.year("published_date").alias("y"))
-    joined = candidates(spark, sf_dir).select("paper_id", "doi_id").join(p, "paper_id").join(keywords(spark, sf_dir).withColumnRenamed("keyword_id", "doi_id"), "doi_id")
+    k = keywords(spark, sf_dir).withColumnRenamed("keyword_id", "doi_id")
+    pages = F.when(F.col("active"), F.array(F.concat(F.lit("A"), F.col("doi_id").cast("string"))))
+    records = k.select("doi_id", "phrase", record_reading(F.array(F.col("score").cast("string")), pages, F.array(F.concat(F.lit("The J. of "), "phrase"))).alias("reading"))
+    joined = candidates(spark, sf_dir).select("paper_id", "doi_id").join(p, "paper_id").join(records, "doi_id")
     known = F.when(F.col("paper_id") % 11 == 0, "Journal of Integer Sequences, ").otherwise("")
     reference = F.concat(known, F.lit("J. of "), "phrase", F.lit(" "), (1 + F.col("paper_id") % 10).cast("string"), F.lit(" ("), F.col("y").cast("string"), F.lit("), A"), (F.col("doi_id") - F.col("paper_id") % 2).cast("string"))
-    pages = F.when(F.col("active"), F.array(F.concat(F.lit("A"), F.col("doi_id").cast("string"))))
-    seen = reference_evidence(F.col("reference"), F.array((F.col("y") - F.col("doi_id") % 2).cast("string")), F.array(F.col("score").cast("string")), F.col("pages"), F.array(F.concat(F.lit("The J. of "), "phrase")))
-    read = joined.withColumn("reference", reference).withColumn("pages", pages).select("paper_id", "doi_id", "reference", seen.alias("e"))
+    seen = reading_evidence(F.col("reference"), F.array((F.col("y") - F.col("doi_id") % 2).cast("string")), F.col("reading"))
+    read = joined.withColumn("reference", reference).select("paper_id", "doi_id", "reference", seen.alias("e"))
     return read.select("paper_id", "doi_id", "reference", "e.*")
 
 

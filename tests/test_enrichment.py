@@ -68,3 +68,12 @@ def test_journal_overrules(spark):
 def test_repository(spark):
     t = spark.createDataFrame([("An Institutional Repository", None, None), (None, "J", "https://x.org/handle/1"), (None, None, None)], "p string, c string, u string")
     assert [r[0] for r in t.select(evidence.is_repository(*(F.col(c) for c in "pcu"))).collect()] == [True, True, False]
+
+
+def test_records_are_read_before_the_join(spark, capsys):
+    enrichment.reference_reading(spark, "/root/testdata/sf0.001").explain(extended=True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    above, below = plan.split("Join Inner", 1)
+    assert "The J. of" in below and "The J. of" not in above
+    text = spark.createDataFrame([("pp. a12.5b7 abc x9, Straße A", "É Ünï-x")], "a string, b string").select(evidence.locators(F.col("a")).alias("a"), evidence.plain_words(F.col("b")).alias("b")).first()
+    assert text.a == ["a125", "b7", "x9"] and text.b == " e uni x "
