@@ -12,9 +12,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators.stored import written
+from folioscope.operators.stored import remove, written
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
+HALF = 30
 
 
 class MergeRefused(Exception):
@@ -46,8 +47,11 @@ def canonical(state: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...])
 def digest(rows: DataFrame) -> str:
     """Of a table's rows, whatever their order: their number and sums of four parts of their SHA-256."""
     hashed = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256).alias("h"))
-    part = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)"))
-    return "-".join(str(x or 0) for x in hashed.agg(F.count("*"), *(part(1 + 16 * i) for i in range(4))).first())
+    parts = hashed.select(*(F.conv(F.substring("h", 1 + 16 * i, 15), 16, 10).cast("long").alias(f"p{i}") for i in range(4)))
+    # 60 bits as two sums of 30 each, which are plain numbers to Spark, where decimals are objects; they hold for 2**33 rows.
+    halves = [F.sum(half) for i in range(4) for half in (F.shiftright(f"p{i}", HALF), F.col(f"p{i}").bitwiseAND((1 << HALF) - 1))]
+    n, *sums = (x or 0 for x in parts.agg(F.count("*"), *halves).first())
+    return "-".join(map(str, [n, *((high << HALF) + low for high, low in zip(sums[::2], sums[1::2], strict=True))]))
 
 
 def _signed(actions: DataFrame, *parts: object) -> str:
@@ -69,13 +73,17 @@ def make_plan(source: DataFrame, target: DataFrame, keys: tuple[str, ...], field
     Keys are unique in each state. Without insert, keys that the target lacks are refused.
     """
     chosen = source if only is None else source.where(only)
-    have, want = canonical(target, keys, fields), canonical(chosen, keys, fields)
+    have, want = written(canonical(target, keys, fields), "target"), canonical(chosen, keys, fields)
+    whole = written(canonical(source, keys, fields), "source")
+    want = whole if only is None else want
     both = want.withColumnRenamed("value", "desired").join(have.withColumnRenamed("value", "expected"), "key", "left")
     differs = both.where("expected IS NULL OR expected <> desired").withColumn("action", F.when(F.col("expected").isNull(), INSERT).otherwise(UPDATE))
     actions = written(differs.select("key", "action", "expected", "desired"), "plan")
     if not insert and (missing := actions.where(F.col("action") == INSERT).count()):
         raise MergeRefused(f"the target lacks {missing} keys of the source")
-    digests = digest(canonical(source, keys, fields)), digest(have), digest(_projected(have, actions))
+    digests = digest(whole), digest(have), digest(_projected(have, actions))
+    remove(whole)
+    remove(have)
     return Plan(keys, fields, actions, *digests, _signed(actions, keys, fields, *digests))
 
 
@@ -94,13 +102,14 @@ def apply(plan: Plan, target: DataFrame, source: DataFrame | None = None) -> Dat
     with the projection. Nothing is published here: dropping the result is a test run.
     """
     verify(plan, source)
-    have = canonical(target, plan.keys, plan.fields)
+    have = written(canonical(target, plan.keys, plan.fields), "target")  # read four times below
     checked = plan.actions.join(have, "key", "left").where(~F.col("expected").eqNullSafe(F.col("value")))
     if changed := checked.count():
         raise MergeRefused(f"{changed} rows of the target changed, such as {checked.select('key').first()[0]}")
     after = written(_projected(have, plan.actions), "merged")
     if digest(have) == plan.before and digest(after) != plan.projected:
         raise MergeRefused("the result is not the projected one")
+    remove(have)
     types = {f.name: f.dataType for f in target.schema}
     read = lambda column, names: F.from_json(column, ", ".join(f"`{n}` {types[n].simpleString()}" for n in names))
     return after.select(read("key", plan.keys).alias("k"), read("value", plan.fields).alias("v")).select("k.*", "v.*")

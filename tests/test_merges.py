@@ -133,3 +133,27 @@ def test_strongest_state(spark):
     got = spark.createDataFrame(table, "k int, s string").groupBy("k").agg(identity.strongest(F.col("s"), identity.SOURCES).alias("s")).collect()
     want = {k: next((s for s in ("manual", "system", "auto") if (k, s) in table), None) for k, _ in table}
     assert {x.k: x.s for x in got} == want
+
+
+def test_states_are_worked_out_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        read.add(1)
+        return value
+
+    state = lambda rows: spark.createDataFrame(rows, "id long, v string").withColumn("v", F.udf(seen)("v"))
+    source, target = state([(1, "a"), (2, "b")]), state([(2, "x"), (3, "c"), (4, None)])
+    plan = merge_plan.make_plan(source, target, ("id",), ("v",))
+    assert read.value == 5
+    assert sorted(map(tuple, merge_plan.apply(plan, target).collect()), key=str) == [(1, "a"), (2, "b"), (3, "c"), (4, None)]
+    assert read.value == 8
+
+
+def test_digest_sums(spark):
+    import hashlib
+
+    hashes = [hashlib.sha256(f'{{"a":{i}}}'.encode()).hexdigest() for i in range(200)]
+    sums = [sum(int(h[16 * i : 16 * i + 15], 16) for h in hashes) for i in range(4)]
+    assert merge_plan.digest(spark.range(200).select(F.col("id").alias("a"))) == "-".join(map(str, [200, *sums]))
+    assert merge_plan.digest(spark.range(0)) == "0-0-0-0-0"
