@@ -2,52 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.stored import remove, written
+from folioscope.operators.stored import written
 
-#: About so many rows of one key are sorted together.
+#: About so many rows of a large key are sorted together.
 BLOCK = 4096
+#: A key with more rows than so many blocks is large.
+LARGE = 16
 
 
 def latest_before(probes: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """probes (key, at, ...) with found, the struct `value` of the row (key, at, value) that is the key's last with a smaller at.
 
-    A key's rows are cut into blocks of time, each a group of its own; what a block starts with comes from one row for
-    each block, so a key that holds a third of all rows is many small sorts and one sort of its blocks. Null keys find
-    nothing; of rows with equal key and at any one is found.
+    Each row is shuffled once, by its key, and sorted there. Only the rows of large keys, of which there are as few as
+    the rows divided by LARGE blocks, are cut into blocks of their key's time, each a group of its own; what a block starts with
+    comes from one row for each block, so a key that holds a third of all rows is many small sorts and one sort of its
+    blocks. Null keys find nothing; of rows with equal key and at any one is found.
     """
-    span = rows.agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("at").alias("n")).first()  # one row
-    if not span.n:
-        return probes.withColumn("found", F.lit(None).cast(rows.schema["value"].dataType))
-    width = max(1, (span.high - span.low + 1) * block // span.n)
-    cut = F.expr(f"(at - {span.low}L) div {width}L")
-    p = probes.select("key", "at", cut.alias("block"), F.struct(*probes.columns).alias("probe"), F.lit(None).cast(rows.schema["value"].dataType).alias("value"))
-    r = rows.select("key", "at", cut.alias("block"), F.lit(None).cast(p.schema["probe"].dataType).alias("probe"), "value")
-    both = p.unionByName(r)
-    lasts = both.groupBy("key", "block").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("at"))).alias("last"))
-    earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select("key", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    inside = Window.partitionBy("key", "block").orderBy("at", F.col("probe").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = both.withColumn("here", F.last("value", ignorenulls=True).over(inside)).where("probe IS NOT NULL")
-    met = here.alias("h").join(carried.alias("c"), F.col("h.key").eqNullSafe(F.col("c.key")) & (F.col("h.block") == F.col("c.block")), "left")
-    found = F.when(F.col("h.key").isNotNull(), F.coalesce("h.here", "c.carried"))
-    return met.select("h.probe.*", found.alias("found"))
+    spark, more = probes.sparkSession, [c for c in probes.columns if c not in ("key", "at")]
+    none = [F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in more]
+    asking = probes.select("key", "at", *more, F.lit(True).alias("_asks"), F.lit(None).cast(rows.schema["value"].dataType).alias("_value"))
+    both = asking.unionByName(rows.select("key", "at", *none, F.lit(False).alias("_asks"), F.col("value").alias("_value")))
+    sizes = both.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).where(F.col("n") > LARGE * block)
+    width = F.greatest(F.lit(1), F.floor((F.col("high") - F.col("low") + 1) * F.lit(float(block)) / F.col("n"))).cast("long")
+    large = sizes.select(F.col("key").alias("_key"), "low", width.alias("width"))
+    held = large.collect()  # a row for each large key
+
+    def inside(rows: DataFrame, *group: str) -> DataFrame:
+        order = Window.partitionBy(*group).orderBy("at", ~F.col("_asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn("_here", F.last("_value", ignorenulls=True).over(order)).where("_asks")
+
+    def shown(met: DataFrame, found: Column) -> DataFrame:
+        return met.select(*probes.columns, F.when(F.col("key").isNotNull(), found).alias("found"))
+
+    if not held:
+        return shown(inside(both, "key"), F.col("_here"))
+    large = F.broadcast(spark.createDataFrame(held, large.schema))
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    small = shown(inside(both.join(large, same, "left_anti"), "key"), F.col("_here"))
+    cut = both.join(large, same).withColumn("_block", F.expr("(at - low) div width")).drop("_key", "low", "width")
+    lasts = cut.groupBy("key", "_block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("at"))).alias("_last"))
+    earlier = Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(F.col("key").alias("_key"), F.col("_block").alias("_at"), F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    met = inside(cut, "key", "_block").join(carried, same & (F.col("_block") == F.col("_at")), "left")
+    return small.unionByName(shown(met, F.coalesce("_here", "_carried")))
 
 
 def followed(nodes: DataFrame) -> DataFrame:
-    """(id, odd, value): for each node (id, up, odd, value) the value where its chain of ups ends, and whether an odd number of odd nodes is passed.
+    """nodes (id, up, odd, value, ...) without up: the value where its chain of ups ends, and whether an odd number of odd nodes is passed.
 
     A node without up ends its chain. Every round doubles how far a node has come, so a chain of a thousand takes ten
-    rounds; each round is one join with unique ids and is written, so lost executors cost tasks only.
+    rounds; each round is one join with unique ids and writes only the nodes that it moved, so lost executors cost tasks
+    only. Other columns stay. The result reads the tables of all rounds.
     """
-    nodes = written(nodes.select("id", "up", "odd", "value"), "chains")
-    while not nodes.where("up IS NOT NULL").isEmpty():
-        n = nodes.select(F.col("id").alias("up"), F.struct("up", "odd", "value").alias("n"))
-        ahead = nodes.where("up IS NOT NULL").join(n, "up")
-        moved = ahead.select("id", F.col("n.up").alias("up"), (F.col("odd") != F.col("n.odd")).alias("odd"), F.col("n.value").alias("value"))
-        further = written(nodes.where("up IS NULL").unionByName(moved), "chains")
-        remove(nodes)
-        nodes = further
-    return nodes.select("id", "odd", "value")
+    more = [c for c in nodes.columns if c not in ("id", "up", "odd", "value")]
+    last = written(nodes.select("id", "up", "odd", "value", *more), "chains")
+    ended = last.where("up IS NULL")
+    while not (open_ := last.where("up IS NOT NULL")).isEmpty():
+        n = ended.unionByName(open_).select(F.col("id").alias("up"), F.struct("up", "odd", "value").alias("n"))
+        moved = open_.join(n, "up").select("id", F.col("n.up").alias("up"), (F.col("odd") != F.col("n.odd")).alias("odd"), F.col("n.value").alias("value"), *more)
+        last = written(moved, "chains")
+        ended = ended.unionByName(last.where("up IS NULL"))
+    return ended.drop("up")

@@ -57,14 +57,19 @@ def _as_marks(state: Reviewed) -> DataFrame:
 
 
 def _judged(marks: DataFrame) -> DataFrame:
-    """marks with keyword: whether the phrase is a keyword after the mark."""
-    asks = (F.col("status") == "alias") & F.coalesce(F.col("alias_of") != "", F.lit(False)) & (F.col("at") >= 0)
-    own = marks.select(F.col("phrase").alias("key"), "at", F.struct("phrase", "at").alias("value"))
+    """marks with keyword: whether the phrase is a keyword after the mark.
+
+    Only marks that ask for a keyword are nodes of chains, known by their at; one that meets any other mark has its answer at once.
+    """
+    useful = F.col("status").eqNullSafe("useful")
+    asks = F.col("status").eqNullSafe("alias") & F.coalesce(F.col("alias_of") != "", F.lit(False)) & (F.col("at") >= 0)
+    own = marks.select(F.col("phrase").alias("key"), "at", F.struct(F.when(asks, F.col("at")).alias("up"), useful.alias("useful")).alias("value"))
     asking = marks.where(asks).select(F.col("alias_of").alias("key"), "at", "phrase")
-    met = latest_before(asking, own).select(F.struct("phrase", "at").alias("id"), F.col("found").alias("up"), F.col("found").isNotNull().alias("odd"), F.col("found").isNull().alias("value"))
-    plain = marks.where(~asks).select(F.struct("phrase", "at").alias("id"), F.lit(None).cast(met.schema["up"].dataType).alias("up"), F.lit(False).alias("odd"), (F.col("status") == "useful").alias("value"))
-    ends = followed(met.unionByName(plain))
-    judged = written(marks.join(ends.select("id.*", (F.col("value") != F.col("odd")).alias("keyword")), ["phrase", "at"]), "judged")
+    met = latest_before(asking, own)
+    value = F.coalesce("found.useful", F.lit(True))  # an alias of nothing that was marked becomes a keyword
+    ends = followed(met.select(F.col("at").alias("id"), F.col("found.up").alias("up"), F.col("found").isNotNull().alias("odd"), value.alias("value"), "phrase", F.col("key").alias("alias_of")))
+    asked = ends.select("phrase", F.col("id").alias("at"), F.lit("alias").alias("status"), "alias_of", (F.col("value") != F.col("odd")).alias("keyword"))
+    judged = written(marks.where(~asks).select("phrase", "at", "status", "alias_of", useful.alias("keyword")).unionByName(asked), "judged")
     remove(ends)
     return judged
 
@@ -75,22 +80,26 @@ def _homes(judged: DataFrame) -> DataFrame:
     A stored keyword attaches itself; kept says that no mark has ended it.
     """
     real = F.coalesce(F.col("alias_of") != "", F.lit(False)) & F.coalesce(F.col("alias_of") != F.col("phrase"), F.lit(False))
-    aliased = ~F.col("keyword") & (F.col("status") == "alias") & real
-    ending = judged.where(~F.col("keyword")).select(F.col("phrase").alias("key"), (-F.col("at")).alias("at"), F.struct("phrase", "at", aliased.alias("moves")).alias("value"))
+    aliased = ~F.col("keyword") & F.col("status").eqNullSafe("alias") & real
+    ending = judged.where(~F.col("keyword")).select(F.col("phrase").alias("key"), (-F.col("at")).alias("at"), F.struct(F.when(aliased, F.col("at")).alias("moves")).alias("value"))
     stored = F.col("keyword") & (F.col("at") == -2)
     attached = judged.where(aliased | stored).select(F.when(stored, F.col("phrase")).otherwise(F.col("alias_of")).alias("key"), (-F.col("at")).alias("at"), "phrase", stored.alias("stored"))
-    met = written(latest_before(attached, ending), "ended").withColumn("id", F.struct("phrase", (-F.col("at")).alias("at")))
-    up = F.when(F.col("found.moves"), F.struct(F.col("found.phrase").alias("phrase"), F.col("found.at").alias("at")))
-    ends = followed(met.select("id", up.alias("up"), F.lit(False).alias("odd"), F.when(F.col("found").isNull(), F.col("key")).alias("value")))
-    kept = met.select("id", (F.col("stored") & F.col("found").isNull()).alias("kept"))
-    homes = written(ends.join(kept, "id").select("id.*", F.col("value").alias("home"), "kept"), "homes")
-    remove(ends)
-    remove(met)
-    return homes
+    met = latest_before(attached, ending).withColumn("at", -F.col("at"))
+    node = lambda at, phrase: F.struct(at.alias("at"), F.when(at < 0, phrase).alias("stored"))  # noqa: E731  a mark is known by its at
+    up = F.when(F.col("found.moves").isNotNull(), node(F.col("found.moves"), F.col("key")))
+    home, kept = F.when(F.col("found").isNull(), F.col("key")), F.col("stored") & F.col("found").isNull()
+    ends = followed(met.select(node(F.col("at"), F.col("phrase")).alias("id"), up.alias("up"), F.lit(False).alias("odd"), home.alias("value"), "phrase", "at", kept.alias("kept")))
+    return ends.select("phrase", "at", F.col("value").alias("home"), "kept")
 
 
 def replay_marks(state: Reviewed, marks: DataFrame) -> tuple[Reviewed, DataFrame]:
-    """State after all marks, and (seq, phrase, status): what became of each mark.
+    """State after all marks, and (seq, phrase, status): what became of each mark. As replay_asked, without asked."""
+    after, answers = replay_asked(state, marks)
+    return after, answers.drop("asked")
+
+
+def replay_asked(state: Reviewed, marks: DataFrame) -> tuple[Reviewed, DataFrame]:
+    """State after all marks, and (seq, phrase, asked, status): each mark's own status, and what became of it.
 
     A phrase is in one table at most before and after. The result is the same in whatever batches marks come, as long as
     batches follow each other in order of seq.
@@ -108,5 +117,5 @@ def replay_marks(state: Reviewed, marks: DataFrame) -> tuple[Reviewed, DataFrame
     only = lambda status: last.where((F.col("status") == status) & ~F.col("keyword")).select("phrase")
     refused = ~F.coalesce(F.col("alias_of") != "", F.lit(False)) | F.coalesce(F.col("alias_of") == F.col("phrase"), F.lit(False))
     shown = F.when(F.col("keyword"), "useful").when((F.col("status") == "alias") & ~refused, "alias").when(F.col("status").isin("math", "ignore"), F.col("status")).otherwise("unreviewed")
-    answers = judged.where("at >= 0").select(F.col("at").alias("seq"), "phrase", shown.alias("status"))
+    answers = judged.where("at >= 0").select(F.col("at").alias("seq"), "phrase", F.col("status").alias("asked"), shown.alias("status"))
     return Reviewed(keywords, aliases, only("math"), only("ignore"), links), answers

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.operators.marks import Reviewed, replay_marks
+from folioscope.operators.marks import Reviewed, replay_asked, replay_marks
 from folioscope.operators.precedence import revised
 from folioscope.plans.registry import Registry
 from folioscope.plans.relations import candidates, keywords, paper_keywords, papers, table, with_ctes
@@ -31,7 +31,7 @@ def _marks(spark, sf_dir):
     q = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 100
     status = F.when(q == 0, "math").when(q == 1, "ignore").when(q == 2, "unreviewed").when(q < 20, "alias").otherwise("useful")
     one = F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("of"), status.alias("status"))
-    m = lines.groupBy(seq).agg(F.min(one).alias("m"))
+    m = lines.select(seq, one.alias("m")).repartition("seq").groupBy("seq").agg(F.min("m").alias("m"))  # hardly any line repeats a key, so nothing is gained before the shuffle
     named = lambda c: F.concat(F.lit("term "), F.col(c).cast("string"))
     return m.select("seq", named("m.part").alias("phrase"), "m.status", F.when(F.col("m.status") == "alias", named("m.of")).alias("alias_of"))
 
@@ -77,9 +77,8 @@ def candidate_marks_links(spark, sf_dir):
 @query(_REPLAY + """SELECT status AS asked, CASE WHEN keyword THEN 'useful' WHEN status = 'alias' AND alias_of = phrase THEN 'unreviewed' ELSE status END AS answer, count(*) AS n FROM judged WHERE tick >= 0 GROUP BY ALL""")
 def candidate_marks_answers(spark, sf_dir):
     """How often a mark of each kind came out as what: an alias of a phrase that is no keyword then makes a keyword."""
-    marks = _marks(spark, sf_dir)
-    _, answers = replay_marks(_stored_review(spark, sf_dir), marks)
-    return answers.withColumnRenamed("status", "answer").join(marks.select("seq", F.col("status").alias("asked")), "seq").groupBy("asked", "answer").agg(F.count("*").alias("n"))
+    _, answers = replay_asked(_stored_review(spark, sf_dir), _marks(spark, sf_dir))
+    return answers.withColumnRenamed("status", "answer").groupBy("asked", "answer").agg(F.count("*").alias("n"))
 
 
 @query(with_ctes("papers", "candidates", more="""c AS (SELECT paper_id, doi_id, approved, '10.1000/X' || doi_id AS doi FROM candidates),

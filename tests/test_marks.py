@@ -3,7 +3,7 @@ import random
 import pytest
 
 from folioscope.operators.asof import followed, latest_before
-from folioscope.operators.marks import SCHEMAS, Reviewed, replay_marks
+from folioscope.operators.marks import SCHEMAS, Reviewed, replay_asked, replay_marks
 from folioscope.operators.snapshots import Snapshots
 from folioscope.streaming.marks import ingest_marks, stored_review
 
@@ -111,6 +111,33 @@ def test_latest_before_in_small_blocks(spark):
     assert {(r.key, r.at, r.found and r.found.t) for r in found.collect()} == wanted
 
 
+def test_large_and_small_keys_and_null_ones(spark):
+    """Keys on both sides of the limit, probes at the times of rows, and a null key that is large itself."""
+    rng = random.Random(8)
+    events = [(rng.choice("aaaaaabc"), at, (at,)) for at in range(0, 400, 2)]
+    probes = [(rng.choice(["a", "b", "d", None]), at, f"n{at}") for at in range(-10, 410)]
+    found = latest_before(spark.createDataFrame(probes, "key string, at long, note string"), spark.createDataFrame(events, "key string, at long, value struct<t:long>"), block=4)
+    assert found.columns == ["key", "at", "note", "found"]
+    wanted = sorted((str(k), at, note, max((e[1] for e in events if e[0] == k and e[1] < at), default=-1)) for k, at, note in probes)
+    assert sorted((str(r.key), r.at, r.note, r.found.t if r.found else -1) for r in found.collect()) == wanted
+
+
+def test_rounds_write_only_the_nodes_that_moved(spark):
+    """Nodes that end chains are written once, and other columns come along."""
+    nodes = [(i, i - 1 if 0 < i < 9 else None, False, "end" if i == 0 else "own", f"n{i}") for i in range(500)]
+    found = followed(spark.createDataFrame(nodes, "id long, up long, odd boolean, value string, note string"))
+    assert {(r.id, r.value, r.note) for r in found.collect()} == {(i, "end" if i < 9 else "own", f"n{i}") for i in range(500)}
+    roots = {name.rsplit("/", 1)[0] for name in found.inputFiles()}
+    assert sum(spark.read.parquet(root).count() for root in roots) < 600
+
+
+def test_marks_of_unknown_status_and_what_was_asked(spark):
+    marks = spark.createDataFrame([(1, "k", "useful", None), (2, "k", None, None), (3, "a", "alias", "k"), (4, "b", "alias", "a")], MARKS)
+    state, answers = replay_asked(Reviewed.empty(spark), marks)
+    assert sorted((r.seq, r.asked, r.status) for r in answers.collect()) == [(1, "useful", "useful"), (2, None, "unreviewed"), (3, "alias", "useful"), (4, "alias", "alias")]
+    assert rows(state) == {"keywords": {("a", 5)}, "aliases": {("b", "a")}, "math": set(), "ignored": set(), "links": set()}
+
+
 def test_long_chains(spark):
     nodes = [((i,), (i - 1,) if i else None, i % 3 == 0 and i > 0, "end" if i == 0 else None) for i in range(200)]
     found = followed(spark.createDataFrame(nodes, "id struct<n:int>, up struct<n:int>, odd boolean, value string"))
