@@ -3,13 +3,37 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
 POSTINGS = "word string, id long, places array<int>, batch long"
 GONE = "id long, batch long"
+PLACED = "word string, id long, places array<int>"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of each different word of each row (id, words): a document's postings are made where it is read, before any shuffle."""
+    for batch in batches:
+        words = batch.column("words")
+        each = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(each)), each)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+        coded = words.flatten().dictionary_encode()
+        codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        empty = pc.index(coded.dictionary, "").as_py()
+        kept = np.flatnonzero((codes >= 0) & (codes != empty))
+        key = owner[kept] * (len(coded.dictionary) + 1) + codes[kept]
+        order = np.argsort(key, kind="stable")
+        key, kept = key[order], kept[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place[kept].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(codes[kept[first]])), batch.column("id").take(pa.array(owner[kept[first]])), places], names=["word", "id", "places"])
 
 
 class Postings:
@@ -28,8 +52,7 @@ class Postings:
 
     def add(self, docs: DataFrame, batch: int) -> None:
         """docs: (id, words array<string>), ids that are new or gone. Null ids and null or empty words have no postings."""
-        placed = docs.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.posexplode("words").alias("place", "word")).where("word <> ''")
-        rows = placed.groupBy("word", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+        rows = docs.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("words").cast("array<string>").alias("words")).mapInArrow(_placed, PLACED)
         rows = rows.select("word", "id", "places", F.lit(batch).cast("long").alias("batch"), self._bucket(F.col("word")).alias("bucket"))
         # A frequent word's bucket is dealt to several tasks, so no task writes all of it; within a file words are together.
         dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "word")
@@ -53,7 +76,8 @@ class Postings:
             rows = rows.union(self._stored(folder, POSTINGS))
         latest = self._stored("gone", GONE).groupBy("id").agg(F.max("batch").alias("_gone"))
         held = rows.where(F.col("word").isin(words)).join(latest, "id", "left").where("_gone IS NULL OR batch > _gone")
-        return held.select("word", "id", "places")
+        once = held.groupBy("word", "id", "batch").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))  # a batch may have an id in several rows
+        return once.select("word", "id", "places")
 
     def phrase(self, phrase: str) -> DataFrame:
         """(id, times): documents with the words of phrase one after another, and how often; an empty phrase is in none."""

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from folioscope.operators.lists import decide
-from folioscope.operators.postings import Postings, retag
+from folioscope.operators.postings import PLACED, Postings, _placed, retag
 
 
 def scan(docs, phrase):
@@ -35,6 +35,17 @@ def test_batches_against_a_scan(spark, scratch):
             assert got == (scan({i: own for i, own in now.items()}, phrase) if phrase else {}), (batch, phrase)
 
 
+def test_postings_are_made_before_any_shuffle(spark, scratch):
+    """Places of each row's words, without nulls and empty words; an id in two rows of a batch is one posting when it is read."""
+    docs = spark.createDataFrame([(1, ["b", "a", "b", None, "", "é"]), (2, None), (3, []), (4, ["", None]), (1, ["a", "c"])], "id long, words array<string>").coalesce(1)
+    made = docs.mapInArrow(_placed, PLACED)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString().replace("Coalesce", "")
+    assert sorted((r.word, r.id, r.places) for r in made.collect()) == [("a", 1, [0]), ("a", 1, [1]), ("b", 1, [0, 2]), ("c", 1, [1]), ("é", 1, [5])]
+    index = Postings(spark, f"file://{scratch}/index", buckets=4)
+    index.add(docs, 1)
+    assert [(r.word, r.id, r.places) for r in index.of(["a"]).collect()] == [("a", 1, [0, 1])]
+
+
 def test_only_the_phrase_s_buckets_are_read(spark, scratch):
     index = Postings(spark, f"file://{scratch}/index", buckets=64)
     index.add(spark.range(500).select("id", F.array(F.lit("graph"), F.lit("theory"), *(F.concat(F.lit(f"w{k}x"), F.col("id") % 97) for k in range(20))).alias("words")), 1)
