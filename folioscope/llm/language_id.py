@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from folioscope.llm.flat_text import flat, handing_back, slices
+from folioscope.llm.storage import small_batches
 
 BUCKETS = 1 << 15
 SCALE = 8.0
@@ -86,8 +87,10 @@ class LanguageModel:
         if full.any():
             cuts = np.column_stack([starts, ends])[full].ravel()
             cuts = cuts[:-1] if cuts[-1] == len(buckets) else cuts
-            sums = np.add.reduceat(np.take(self.weights, buckets, axis=0), cuts, axis=0)[::2]
-            out[full] = sums / (ends - starts)[full][:, None] * SCALE
+            # One bit after the other: four bytes for each byte of text and not four for each bit of it, however long a text is.
+            for bit in range(out.shape[1]):
+                sums = np.add.reduceat(np.take(self.weights[:, bit], buckets), cuts)[::2]
+                out[full, bit] = sums / (ends - starts)[full] * SCALE
         return out
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +131,8 @@ def fit(training: DataFrame, weight_rows: int = 2048) -> LanguageModel:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(seen), pa.string()), "bucket": pa.array(seen.astype(np.int32)), "share": pa.array(kept[seen])})
 
     shares = usable.mapInArrow(sums, "lang string, bucket int, share double").groupBy("lang", "bucket").agg(F.sum("share").alias("share"))
-    rows = shares.toArrow()  # at most one row for each language and bucket
+    with small_batches(training.sparkSession):
+        rows = shares.toArrow()  # at most one row for each language and bucket
     languages = sorted(set(rows.column("lang").to_pylist()))
     at = {lang: i for i, lang in enumerate(languages)}
     table = np.full((len(languages), BUCKETS), 1e-4)
@@ -172,7 +176,9 @@ def _trust(model: LanguageModel, sample: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(len(at), dtype=np.int32)), "hits": pa.array(hits.tolist()), "seen": pa.array(seen)})
 
     hits, seen = np.zeros(model.code.shape), np.zeros(len(at))
-    for r in sample.mapInArrow(right, "row int, hits array<double>, seen double").collect():  # a few rows for each task
+    with small_batches(sample.sparkSession):
+        judged = sample.mapInArrow(right, "row int, hits array<double>, seen double").collect()  # a few rows for each task
+    for r in judged:
         hits[r.row] += r.hits
         seen[r.row] += r.seen
     trust = hits / seen[:, None]

@@ -31,6 +31,31 @@ def test_language_edges(spark):
     assert min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 8
 
 
+def test_margins_take_bytes_by_the_text_and_not_by_the_bit():
+    """A text of 4 MB is judged as its parts are, in less than 40 bytes of memory for each of its bytes, without a table of bytes by bits."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from folioscope.llm import language_id
+
+    rng = np.random.default_rng(1)
+    model = language_id.LanguageModel(list("abcde"), codewords(5), rng.normal(size=(language_id.BUCKETS, 15)).astype(np.float32), np.full((5, 15), 1 / 15))
+    short = "the tree of the graph and its leaves "
+    texts = pa.array([short * 110_000, "", short, short])
+    small = model.margins(pa.array([short]))
+    tracemalloc.start()
+    found = model.margins(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(found[2], small[0]) and np.array_equal(found[3], small[0]) and not found[1].any()
+    buckets, _ = language_id.trigram_buckets(texts.slice(0, 1))
+    whole = np.bincount(buckets, minlength=language_id.BUCKETS) @ model.weights.astype(np.float64) / len(buckets) * language_id.SCALE
+    assert np.allclose(found[0], whole, atol=1e-3)
+    assert peak < 40 * len(texts[0].as_py()), peak
+
+
 def test_urls(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "/de/", "block")]
     rows = [
