@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.operators.stored import bucketed_name, cleaning_up, write_bucketed
+
 MANIFEST = "name string, path string"
 
 
@@ -18,7 +20,8 @@ class Snapshots:
 
     A commit writes its tables first, then claims the next version by creating a file that must not exist, and
     last writes the manifest; a version without a finished manifest is not there for readers. So a job that dies
-    between two tables leaves nothing but folders that no manifest names.
+    between two tables leaves nothing but folders that no manifest names. Tables that are written by a key are read as
+    dealt by it in the same session, so joins and groups by that key don't shuffle them; elsewhere they are plain folders.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -48,14 +51,20 @@ class Snapshots:
         return {r.name: r.path for r in self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{version}").collect()}
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.folders(version)[name])
+        folder = self.folders(version)[name]
+        table = bucketed_name(folder)
+        return self.spark.table(f"`{table}`") if self.spark.catalog.tableExists(table) else self.spark.read.parquet(folder)
 
-    def commit(self, tables: dict[str, DataFrame], expected: int) -> int:
-        """Makes version expected + 1 of these tables and of expected's others; returns it."""
+    def commit(self, tables: dict[str, DataFrame], expected: int, keys: dict[str, str] | None = None) -> int:
+        """Makes version expected + 1 of these tables and of expected's others; returns it. keys: by what a table's rows are dealt."""
         folders = self.folders(expected)
         for name, df in tables.items():
             folders[name] = f"{self.root}/tables/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(folders[name])
+            if keys and name in keys:
+                write_bucketed(df, folders[name], keys[name])
+            else:
+                with cleaning_up(self.spark):
+                    df.write.parquet(folders[name], compression="zstd")
         return self._publish(folders, expected)
 
     def roll_back(self, to: int, expected: int) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import identity, merge_plan
 from folioscope.operators.snapshots import Snapshots
-from folioscope.operators.stored import shared_folder
+from folioscope.operators.stored import bucketed, remove, shared_folder
 from folioscope.plans.registry import Registry
 from folioscope.plans.relations import table
 
@@ -66,14 +66,15 @@ def one_way_merge(spark, sf_dir):
     return merge_plan.apply(merge_plan.make_plan(source, target, KEYS, FIELDS, only=F.col("status") != "P"), target, source)
 
 
-def _tables(spark, sf_dir):
-    """An archive in which revisions of one work are rows of their own: orders of one customer and priority."""
-    o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+def _tables(spark, sf_dir, lines=None):
+    """An archive in which revisions of one work are rows of their own: orders of one customer and priority. lines: lineitem, if it was dealt by orders."""
+    o, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem") if lines is None else lines
     day, cents = F.col("o_orderdate").cast("date"), F.col("o_totalprice")
     base = F.concat(F.col("o_custkey").cast("string"), F.lit("."), F.substring("o_orderpriority", 1, 1))
     known = lambda least, value: F.when(cents > least, value)
+    arxiv_id = F.concat(base, F.lit("v"), F.col("o_orderkey").cast("string")).alias("arxiv_id")
     papers = o.select(
-        F.col("o_orderkey").alias("id"), base.alias("base_id"), F.concat(base, F.lit("v"), F.col("o_orderkey").cast("string")).alias("arxiv_id"), day.alias("published_date"),
+        F.col("o_orderkey").alias("id"), base.alias("base_id"), arxiv_id, day.alias("published_date"),
         F.when(F.col("o_orderstatus") == "F", F.date_add(day, 400)).alias("updated_date"), day.alias("created_at"), F.date_add(day, 7).alias("updated_at"),
         known(300000, F.concat(F.lit("10."), F.col("o_orderkey").cast("string"))).alias("doi"),
         F.when(cents > 450000, "verified").when(cents > 400000, "arxiv").when(cents > 300000, "auto").when(cents < 50000, "skipped").alias("doi_status"),
@@ -90,7 +91,7 @@ def _tables(spark, sf_dir):
         "tags": lines.groupBy(F.col("l_orderkey").alias("paper_id"), (F.col("l_suppkey") % 5).alias("tag_id")).agg(F.min(shipped).alias("created_at")),
         "keywords": keywords.select("paper_id", "keyword_id", F.when(F.col("flag") == "A", "auto").when(F.col("flag") == "N", "manual").otherwise("system").alias("source")),
         "candidates": candidates.select("candidate_id", "paper_id", F.concat(F.lit("10.9/"), F.col("n").cast("string")).alias("doi"), "confidence", F.when(F.col("flag") == "A", "approved").when(F.col("flag") == "N", "pending").otherwise("rejected").alias("status"), "reviewed_at"),
-        "lists": papers.join(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("list_name")), "id").select("user_id", "list_name", "arxiv_id", F.col("published_date").alias("added_at")),
+        "lists": o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("list_name"), arxiv_id, day.alias("added_at")),
         "authors": lines.groupBy(F.col("l_orderkey").alias("paper_id"), F.col("l_suppkey").alias("author_id")).agg(F.min("l_linenumber").alias("author_order")),
         "categories": o.select(F.col("o_orderkey").alias("paper_id"), F.col("o_orderpriority").alias("category")),
     }
@@ -167,9 +168,15 @@ def identity_lists(spark, sf_dir):
 @query(_ARCHIVE + """SELECT 'papers' AS name, count(*) AS n FROM f_papers UNION ALL SELECT 'tags', count(*) FROM f_tags UNION ALL SELECT 'keywords', count(*) FROM f_keywords UNION ALL SELECT 'candidates', count(*) FROM f_candidates
 UNION ALL SELECT 'lists', count(*) FROM f_lists UNION ALL SELECT 'authors', count(*) FROM f_authors UNION ALL SELECT 'categories', count(*) FROM f_papers UNION ALL SELECT 'stats', 1""")
 def identity_migration(spark, sf_dir):
-    """Rows of each table after the whole migration was committed as one version."""
+    """Rows of each table after the whole migration was committed as one version.
+
+    Lines are dealt by their order once, and what hangs on papers is written by paper: none of it is shuffled again to group lines or to find the kept revision.
+    """
     store = Snapshots(spark, f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}")
-    before = store.commit(_tables(spark, sf_dir), expected=0)
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount", "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("date").alias("l_shipdate")]
+    lines = bucketed(table(spark, sf_dir, "lineitem").select(*columns), "lines", "l_orderkey")
+    before = store.commit(_tables(spark, sf_dir, lines), expected=0, keys={"papers": "id"} | dict.fromkeys(["tags", "keywords", "candidates", "authors"], "paper_id"))
+    remove(lines)
     tables = {name: store.read(name, before) for name in store.folders(before)}
     after = store.commit(identity.migrate(tables), expected=before)
     counts = [store.read(name, after).agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in store.folders(after)]

@@ -157,3 +157,27 @@ def test_digest_sums(spark):
     sums = [sum(int(h[16 * i : 16 * i + 15], 16) for h in hashes) for i in range(4)]
     assert merge_plan.digest(spark.range(200).select(F.col("id").alias("a"))) == "-".join(map(str, [200, *sums]))
     assert merge_plan.digest(spark.range(0)) == "0-0-0-0-0"
+
+
+def test_what_was_dealt_by_paper_is_not_dealt_again(spark, scratch):
+    old, _ = tables(spark)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = Snapshots(spark, f"file://{scratch}/archive")
+        store.commit(old, expected=0, keys={"papers": "id", "tags": "paper_id", "keywords": "paper_id", "candidates": "paper_id", "authors": "paper_id"})
+        new = identity.migrate({name: store.read(name) for name in old})
+        dealt = {name: new[name]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for name in ("papers", "tags", "keywords", "candidates", "authors")}
+        assert dealt == {"papers": 1, "tags": 1, "keywords": 1, "candidates": 1, "authors": 0}
+        plain = identity.migrate(old)
+        assert all(sorted(map(tuple, new[name].collect()), key=repr) == sorted(map(tuple, plain[name].collect()), key=repr) for name in new)
+        folder = store.folders()["tags"]
+        assert spark.read.parquet(folder).count() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_papers_without_a_base_have_no_revisions(spark):
+    old, day = tables(spark)
+    odd = old["papers"].withColumn("base_id", F.nullif("base_id", F.lit("q")))
+    assert sorted(map(tuple, identity.kept_rows(odd).collect())) == [(1, 3), (2, 3), (3, 3)]
