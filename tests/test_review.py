@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from folioscope.plans import review
+from folioscope.plans import relations, review
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +22,10 @@ def test_rows_equal_duckdb(spark, name):
 def test_unknown_order():
     with pytest.raises(ValueError):
         review.in_order("fastest")
+
+
+@pytest.mark.parametrize("relation", [relations.candidates, relations.paper_authors])
+def test_lines_are_dealt_once_and_grouped_after(spark, relation):
+    plan = relation(spark, SF).groupBy("paper_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Aggregate" not in plan[plan.index("Exchange hashpartitioning") :]
