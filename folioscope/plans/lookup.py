@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.bibtex import search_key
 from folioscope.operators.cascade import first_stage
 from folioscope.plans.registry import Registry
-from folioscope.plans.relations import authors, keywords, paper_authors, papers, with_ctes
+from folioscope.plans.relations import authors, keywords, paper_authors, papers, parts, with_ctes
 
 registry = Registry()
 query = registry.query
@@ -15,7 +15,7 @@ query = registry.query
 
 def citation_keys(spark, sf_dir):
     """(key, target): each paper's lower-case citation keys, as published and as preprint, by its authors in order."""
-    named = paper_authors(spark, sf_dir).join(authors(spark, sf_dir), "author_id")
+    named = paper_authors(spark, sf_dir).join(authors(spark, sf_dir), "author_id").repartition(parts(spark, sf_dir, "lineitem"), "paper_id")
     last = F.regexp_replace(F.lower(F.substring_index(F.trim("name"), " ", -1)), r"[^\p{L}\p{N}]", "")
     placed = F.sort_array(F.collect_list(F.struct("author_order", "author_id", last.alias("last"))))
     lists = named.groupBy("paper_id").agg(F.array_join(F.transform(placed, lambda a: a["last"]), "").alias("names"))
@@ -41,7 +41,7 @@ def route(spark, sf_dir, asked):
         ("keyword", "_name", by_phrase),
         ("citation", "_cited", citation_keys(spark, sf_dir)),
     ]
-    routed = first_stage(keys, stages, "text").drop("_number", "_name", "_cited")
+    routed = first_stage(keys, stages, "text", parts(spark, sf_dir, "lineitem")).drop("_number", "_name", "_cited")
     return routed.withColumn("stage", F.when(F.coalesce(q, F.lit("")) == "", "none").otherwise(F.col("stage")))
 
 

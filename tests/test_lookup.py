@@ -1,5 +1,8 @@
+from collections import Counter
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.operators.cascade import first_stage
 from folioscope.operators.lists import apply_decisions, decide
@@ -51,3 +54,19 @@ def test_list_requests(spark):
     after, held = apply_decisions(lists, saved, decided)
     assert sorted(r.list_name for r in after.collect()) == ["Starred", "c", "new"]
     assert sorted((r.list_name, r.target) for r in held.collect()) == [("Starred", 9), ("new", 7)]
+
+
+def test_rows_with_null_keys_are_dealt_apart(spark):
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = {name: spark.conf.get(name) for name in names}
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    try:
+        asked = spark.range(4000).select(F.concat(F.lit("s"), "id").alias("q"), F.when(F.col("id") < 4, F.col("id")).alias("key"))
+        table = spark.createDataFrame([(2, 7), (2, 5), (3, 9)], "key long, target long")
+        got = first_stage(asked, [("one", "key", table)], "none").withColumn("part", F.spark_partition_id()).collect()
+        assert sorted((r.q, r.target) for r in got if r.stage == "one") == [("s2", "5"), ("s3", "9")] and len(got) == 4000
+        assert max(Counter(r.part for r in got).values()) < 2000  # of four parts
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
