@@ -17,7 +17,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +33,8 @@ CAPACITY = 4096
 END_ID = 1
 CACHED_WORDS = 800_000
 BUDGET = 100_000  # nodes of the search for fewer sequences than the first packing's
-ENDINGS = frozenset(".,;:!?")  # one pre-token of their own after a word of letters
+KEPT_WORDS = 100_000  # of these for the worker's next task: the first ones, as frequent words come early
+ENDINGS = ".,;:!?*%$&#"  # a run of them after a word of letters is a pre-token of its own
 WORD_END = "</w>"
 DOTTED_I = "\u0130"  # lower-cased to a letter and a mark
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -83,7 +84,10 @@ class WordEncoder:
 
     def _fresh(self, words: set[str]) -> dict[str, bytes]:
         known = self.known
-        ended = {w: (w[:-1], w[-1]) for w in words if w[-1] in ENDINGS and w[:-1].isalpha() and DOTTED_I not in w}
+        ended = {}
+        for w in words:
+            if w[-1] in ENDINGS and (letters := w.rstrip(ENDINGS)).isalpha() and DOTTED_I not in w:
+                ended[w] = letters, w[len(letters) :]
         need = words.difference(ended) | {x for parts in ended.values() for x in parts if x not in known}
         plain = [w for w in need if w.isalpha() and DOTTED_I not in w]
         fresh = dict(zip(plain, self._plain(plain), strict=True))
@@ -95,7 +99,9 @@ class WordEncoder:
         return fresh
 
     def forget(self) -> None:
+        kept = list(islice(self.known.items(), KEPT_WORDS))
         self.known.clear()
+        self.known.update(kept)
         self.known.fresh = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -108,10 +114,12 @@ class WordEncoder:
         split = [text.split(" ") if CONTROLS.search(text) else text.split() for text in plain]
         new = {w for w in set(chain.from_iterable(split)) if w and w not in known}
         known.fresh = {}
-        known.fresh = self._fresh(new) | {"": b""}
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        fresh = self._fresh(new) | {"": b""}
         if len(known) < CACHED_WORDS:
-            known.update(known.fresh)
+            known.update(fresh)
+        else:
+            known.fresh = fresh
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for i in odd:
             out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
         return out

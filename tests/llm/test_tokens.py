@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from folioscope.llm import packing
 from folioscope.llm.packing import Packing, WordEncoder, complete_bin, least_sequences, pack_documents, pack_lengths
 from folioscope.llm.suffix_tokens import SuffixEncoder, decode_ids, encode_texts, round_trip
 
@@ -118,3 +119,18 @@ def test_empty_tables_and_other_columns(spark):
     assert encode_texts(empty).count() == 0 and round_trip(empty).count() == 0
     one = spark.createDataFrame([(None, None, "x", "y"), (1, "a b", "x", "y"), (1, "a b", "x", "y")], empty.schema)
     assert sorted((r.doc_id or 0, r.length) for r in pack_documents(one).collect()) == [(0, 1), (1, 3), (1, 3)]
+
+
+def test_runs_of_marks_and_words_kept_for_the_next_task(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), WordEncoder(path)
+    texts = ["Tree*** graph.,! é%%% it's.* a*b* x²# İa** ... tree*** 1***", "graph tree** q"]
+    ids = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    read = lambda: [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(texts)]
+    assert read() == ids
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    encoder.forget()
+    assert len(encoder.known) == 3 and read() == ids
+    monkeypatch.setattr(packing, "CACHED_WORDS", 0)
+    encoder.known.clear()
+    assert read() == ids and not encoder.known
